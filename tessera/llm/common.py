@@ -58,13 +58,28 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def without(text: Column, characters: str, instead: str = "") -> Column:
-    """text with each of a few ASCII characters replaced: a byte search each, much faster than a pattern."""
-    for c in characters:
-        text = F.replace(text, F.lit(c), F.lit(instead))
-    return text
-
-
 def space_words(text: Column) -> Column:
     """The words between the characters of SPACE; null has none."""
-    return F.filter(F.split(without(F.coalesce(text, F.lit("")), SPACE[1:], " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def by_value(module: str) -> None:
+    """Functions of the module travel to Python workers whole, so that these need not have this package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def kept_by_worker(name: str, make: Callable):
+    """What make() gives, made once in each Python worker process."""
+    import sys
+
+    held = sys.__dict__.setdefault("_tessera_held", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+by_value(__name__)

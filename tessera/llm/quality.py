@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, let, space_words, without, written
+from .common import let, space_words, written
 
 LEAST, SPREAD, BITS = 50, 4, 5
 #: Measures, in thousandths, and the least distance of a limit above the median.
@@ -54,18 +54,15 @@ def measured(text: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"))
-
-    def removed(characters: str) -> Column:
-        return (F.octet_length(whole) - F.octet_length(without(whole, characters))).cast("long")
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).cast("long").alias("n_repeat_words"))
 
     lines = let(F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), of_lines)
-    parts = F.struct(let(space_words(text), of_words).alias("w"), lines.alias("l"), (F.char_length(whole) - removed(SPACE)).alias("word_chars"), removed("#*$%&|<>").alias("n_symbols"))
+    parts = F.struct(let(space_words(text), of_words).alias("w"), lines.alias("l"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
     return let(
         parts,
         lambda p: F.struct(
             p["w"]["n_words"].alias("n_words"),
-            p["word_chars"].alias("word_chars"),
+            p["w"]["word_chars"].alias("word_chars"),
             p["n_symbols"].alias("n_symbols"),
             p["l"]["n_dup_lines"].alias("n_dup_lines"),
             p["w"]["n_repeat_words"].alias("n_repeat_words"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality
+from . import chat, mixing, quality, tokens
 from .common import table
 
 
@@ -24,7 +24,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources)}
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenized(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op10_token_shards)}
 
 SQL = {
     "op1_chat_format": r"""
