@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, tokens
+from . import chat, decontam, langid, lines, mixing, quality, tokens, urls
 from .common import table
 
 
@@ -28,7 +28,27 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op10_token_shards)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: (action, host, path)
+RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op8_line_dedup, op10_token_shards)}
 
 SQL = {
     "op1_chat_format": r"""
@@ -123,5 +143,38 @@ WITH RECURSIVE sizes AS (
 )
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('0|' || coalesce(doc_id::VARCHAR, '~') || '|' || digest || '|' || copy) AS shuffle_key
 FROM docs JOIN counted USING (rid), unnest(range(0, n)) t(copy)
+""",
+    "op5_decontaminate": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM items, unnest(range(1, len(w) - least(len(w), 10) + 2)) t(i) WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT n FROM windows), places AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM docs, lengths, unnest(range(1, len(w) - n + 2)) t(i) WHERE len(w) >= n
+), found AS (SELECT rid, i, places.n, item_id FROM places JOIN windows USING (n, win)
+), covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + n)) t(p) GROUP BY rid
+), by_doc AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY rid
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (rid) LEFT JOIN by_doc USING (rid)
+""",
+    "op8_line_dedup": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+  SELECT rid, i, l[i] AS line, translate(regexp_replace(regexp_replace(l[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM docs, unnest(range(1, len(l) + 1)) t(i)
+), common AS (
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10
+), marked AS (
+  SELECT rid, i, line, key IN (SELECT key FROM common) AS gone FROM lines
+)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked JOIN docs USING (rid) GROUP BY rid
 """,
 }
