@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lines, mixing, quality, tokens, urls
+from . import chat, decontam, langid, lines, mixing, quality, suffixes, tokens, urls
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op8_line_dedup, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op8_line_dedup, op9_suffix_dedup, op10_token_shards)}
 
 SQL = {
     "op1_chat_format": r"""
