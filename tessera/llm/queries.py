@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lines, mixing, quality, suffixes, tokens, urls
+from . import chat, decontam, jaccard, langid, lines, mixing, quality, suffixes, tokens, urls
 from .common import table
 
 
@@ -48,11 +48,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), RULES)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op8_line_dedup, op9_suffix_dedup, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_suffix_dedup, op10_token_shards)}
 
 SQL = {
     "op1_chat_format": r"""
