@@ -1,7 +1,58 @@
-"""Training-corpus pipeline; filled below."""
-STAGES = []
+"""Training-corpus pipeline: STAGES applied one after the other to the documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's rows to the
+shared folder as Parquet and reads them again, so a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import decontam, jaccard, mixing, quality, tokens
+from tessera.llm.common import table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their group's limits."""
+    return quality.kept(docs).select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least doc_id, of each group of near duplicates."""
+    return jaccard.deduplicated(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as drawn for its source, in shuffled order."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in shards, and a row for each document read back from them."""
+    return tokens.tokenized(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_shards", token_shards),
+]
+
+#: The tokenizer of the last stage is not expressible in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
