@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import by_value, kept_by_worker, new_path
 
-FRAME, LEVEL, CACHE = 1 << 18, 3, 1_000_000
+FRAME, LEVEL, CACHE, AT_ONCE = 1 << 18, 3, 600_000, 2_000
 INDEX = [("doc_id", "<i8"), ("has_id", "u1"), ("frame", "<u4"), ("offset", "<u4"), ("n", "<u4")]
 SKIP, SEEK, TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 SUMMARY = "shard string, n_docs bigint, n_tokens bigint"
@@ -60,8 +60,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def direct(self, keys: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([text_of(k) for k in keys], add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}{self.code}", *e.ids) for e in found]
+        out = []
+        for k in range(0, len(keys), AT_ONCE):  # an encoding takes far more memory than its ids
+            found = self.tokenizer.encode_batch_fast([text_of(x) for x in keys[k : k + AT_ONCE]], add_special_tokens=False)
+            out += [struct.pack(f"<{len(e.ids)}{self.code}", *e.ids) for e in found]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.known.get
@@ -197,11 +200,11 @@ def _writer(model, folder: str, end_id: int):
         shard, out = None, None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for k in range(0, batch.num_rows, 512):
+            for k in range(0, batch.num_rows, 128):
                 if shard is None:
                     out = fs.open_output_stream(part)
                     shard = ShardWriter(out, 4 if encoder.wide else 2)
-                for doc_id, data in zip(ids[k : k + 512].to_pylist(), encoder.encode([t or "" for t in texts[k : k + 512].to_pylist()])):
+                for doc_id, data in zip(ids[k : k + 128].to_pylist(), encoder.encode([t or "" for t in texts[k : k + 128].to_pylist()])):
                     shard.add(doc_id, data)
         if shard:
             shard.close()
