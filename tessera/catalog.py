@@ -190,7 +190,7 @@ def api_reasons(spark, d):
 @query(r"""WITH s AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), '.') AS p FROM documents), n AS (SELECT doc_id, list_transform(list_filter(p, lambda x: trim(x) <> ''), lambda x: trim(x)) AS p FROM s)
 SELECT doc_id, array_to_string(p[1:5], '|') AS items, len(p[1:5])::INT AS n FROM (SELECT doc_id, list_filter(p, lambda x, i: list_position(p, x) = i) AS p FROM n)""")
 def numbered_list(spark, d):
-    parts = F.filter(F.transform(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), r"\."), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), r"\."), lambda s: F.trim(s)), lambda x: x != "")
     made = table(spark, d, "documents").select("doc_id", text.numbered(parts).alias("x"))
     return made.select("doc_id", text.numbered_items(F.col("x"), 5).alias("i")).select("doc_id", F.array_join("i", "|").alias("items"), F.size("i").alias("n"))
 

@@ -179,7 +179,7 @@ def pairwise_winner(x: Column) -> Column:
 def similarity(x: Column) -> Column:
     """struct<flag, topics> of an answer with \\topic{...} marks and a boxed y or n."""
     text = F.element_at(F.split(F.coalesce(F.try_element_at(F.split(x, "</cache_block>"), F.lit(2)), x), "</thinking>"), -1)
-    topics = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\\topic\{([^}]*)\}"), F.lit(1)), F.trim), lambda t: (t != "") & (F.lower(t) != "none"))
+    topics = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\\topic\{([^}]*)\}"), F.lit(1)), lambda s: F.trim(s)), lambda t: (t != "") & (F.lower(t) != "none"))
     return F.struct(F.coalesce(boxed_letter(text, "yn") == "y", F.lit(False)).alias("flag"), topics.alias("topics"))
 
 
