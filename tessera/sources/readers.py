@@ -9,13 +9,14 @@ from ..functions.keys import strip
 from ..functions.names import parsed_name
 from . import schemas
 
-PATH = F.col("_metadata.file_path")
+PATH = "_metadata.file_path"
 
 
 def crawl_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row a log: the document's fields, path, run_id (file name)."""
     docs = spark.read.schema(schemas.CRAWL_LOG).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
-    return docs.withColumns({"path": PATH, "run_id": F.regexp_replace(F.substring_index(PATH, "/", -1), r"\.json$", "")})
+    path = F.col(PATH)
+    return docs.withColumns({"path": path, "run_id": F.regexp_replace(F.substring_index(path, "/", -1), r"\.json$", "")})
 
 
 def run_order(spark: SparkSession, paths: list[str]) -> DataFrame:
