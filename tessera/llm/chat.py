@@ -136,17 +136,17 @@ def json_layouts(df: DataFrame, conv_id: str, record: str, layouts: tuple[Layout
         if layout.kind == "items":
             array = layout.fields[0]
             keys = F.json_object_keys(F.get_json_object(text, f"$.{array}[0]"))
-            nested.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k, a=array: F.concat(F.lit(f"{a}[]."), k)))
+            nested.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{array}[]."), k)))
     rows = df.select(df[conv_id].alias("conv_id"), text.alias("record"), F.concat(top, *nested).alias("paths"))
     name = F.lit(None).cast("string")
     turns = F.lit(None).cast(TURNS)
     for layout in reversed([x for x in layouts if x.kind != "rows"]):
-        have = F.array_sort(F.array_distinct(F.filter("paths", lambda p, x=layout: p.isin(*x.paths))))
+        have = F.array_sort(F.array_distinct(F.filter("paths", lambda p: p.isin(*layout.paths))))
         same = F.substring(F.sha2(F.array_join(have, "\n"), 256), 1, 16) == layout.fingerprint
         if layout.kind == "items":
             array, role, content = layout.fields
             parsed = F.from_json("record", f"struct<`{array}`:array<struct<`{role}`:string,`{content}`:string>>>")
-            got = F.transform(F.filter(parsed[array], lambda x: x.isNotNull()), lambda x, y=layout, r=role, c=content: _turn(_role(x[r], y), x[c]))
+            got = F.transform(F.filter(parsed[array], lambda x: x.isNotNull()), lambda x: _turn(_role(x[role], layout), x[content]))
         else:
             got = _columns_turns(layout, lambda f: F.get_json_object("record", f"$.{f}"))
         name = F.when(same, layout.name).otherwise(name)
