@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, names, parsers, text
-from .operators import coverage, curves, dedup, labels, lineage, matching, ranking, refusal, sampling, stats
+from .operators import coverage, curves, dedup, filters, labels, lineage, matching, ranking, refusal, sampling, stats
 from .plans import loops, providers
 from .streaming import streams
 
@@ -399,6 +399,25 @@ def pivot_rates(spark, d):
     return stats.pivot_rates(rates(spark, d)[0], ["en", "es"]).withColumn("mean_rate", F.round("mean_rate", 9))
 
 
+# Filters
+
+
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -5 WHEN doc_id % 3 > 0 THEN doc_id - 1 END AS parent_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS summary, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_head,
+  doc_id % 5 = 0 AS is_refusal, array_to_string((string_split(replace(text, chr(10), ' '), ' '))[1:2 + doc_id % 4], ' ') AS shortened, source AS raw FROM documents)
+SELECT doc_id, CASE WHEN summary IS NULL AND (is_head IS NULL OR (is_head AND is_refusal)) AND len(list_filter(string_split_regex(shortened, '\\s+'), lambda w: w <> '')) <= 4 THEN coalesce(nullif(shortened, ''), raw) ELSE summary END AS summary FROM t WHERE parent_id IS DISTINCT FROM -5""")
+def short_summaries(spark, d):
+    i = F.col("doc_id")
+    short = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(1), (i % 4 + 2).cast("int")), " ")
+    t = table(spark, d, "documents").select(i, F.when(i % 7 == 0, F.lit(filters.SEED)).when(i % 3 > 0, i - 1).alias("parent_id"), F.when(i % 2 == 0, F.col("lang")).alias("summary"), F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("is_head"), (i % 5 == 0).alias("is_refusal"), short.alias("shortened"), F.col("source").alias("raw"))
+    return filters.short_summaries(filters.without_seeds(t)).select("doc_id", "summary")
+
+
+@query("""WITH b AS (SELECT lang, source FROM documents GROUP BY ALL HAVING count(*) > 5) SELECT lang || ':' || source AS cell, count(*) AS n FROM documents JOIN b USING (lang, source) WHERE source <> 'src1' GROUP BY 1""")
+def large_groups(spark, d):
+    rows = table(spark, d, "documents").select(keys.composite(F.col("lang"), F.col("source")).alias("cell"), F.col("source").alias("query"))
+    return filters.large_groups(rows, "cell", 5, ("src1",)).groupBy("cell").agg(F.count("*").alias("n"))
+
+
 # Counters and rates
 
 
