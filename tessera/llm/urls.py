@@ -6,8 +6,8 @@ cut at characters other than letters and digits, and each piece is segmented by
 that most probably make it up. A multinomial naive Bayes model with equal priors and add-one smoothing scores the
 words of host and path; block wins if its probability is the larger.
 
-What is learned: word counts from the visible text and the urls of all pages (the VOCABULARY most frequent of at least
-LEAST occurrences); the model from the words of all urls, a url being an example of block if a word of its host is in
+What is learned: word counts from the visible text and the urls of all pages (the most frequent of at least LEAST
+occurrences, at most VOCABULARY, frequencies being compared to 1/32); the model from the words of all urls, a url being an example of block if a word of its host is in
 SEEDS, and of allow otherwise. Both are counted by Spark; only the bounded vocabularies come to the driver.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and the verdict of a url without
@@ -24,7 +24,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, by_value
+from .common import LOWER, UPPER, by_value, scratch, written
+from .quality import bucket
 
 VOCABULARY, LEAST, LONGEST, MAX_RULES = 50_000, 5, 24, 200
 #: Words of hosts that are examples of what to block.
@@ -116,15 +117,32 @@ def _example_counts(segmenter, seeds):
     return count
 
 
+def most_frequent(counts: DataFrame, n: Column, most: int) -> DataFrame:
+    """Rows of counts with the largest n, at most `most`: all that are in a bucket of n above a cut."""
+    rows = counts.withColumn("__bucket", bucket(n))
+    sizes = sorted(((r["__bucket"], r["count"]) for r in rows.groupBy("__bucket").count().collect()), reverse=True)  # 32 buckets an octave
+    cut, total = None, 0
+    for least, size in sizes:
+        total += size
+        if total > most:
+            break
+        cut = least
+    return rows.where(F.col("__bucket") >= cut if cut is not None else F.lit(False)).drop("__bucket")
+
+
 def fit(pages: DataFrame, seeds=SEEDS) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
     """The word counts, and for each word its counts in allow and block examples."""
-    words = word_counts(pages).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    counts = {r["word"]: r["n"] for r in words.collect()}
-    shipped = pages.sparkSession.sparkContext.broadcast(counts)
-    urls = pages.select(host(pages["url"]).alias("host"), F.regexp_replace(path(pages["url"]), r"\d+", "0").alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
-    each = urls.mapInArrow(_example_counts(shipped, seeds), "word string, block boolean, n bigint").groupBy("word").agg(F.sum(F.when(~F.col("block"), F.col("n")).otherwise(0)).alias("allow"), F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("block"))
-    top = each.orderBy(F.desc(F.col("allow") + F.col("block")), "word").limit(VOCABULARY)
-    return counts, {r["word"]: (r["allow"], r["block"]) for r in top.collect()}
+    spark = pages.sparkSession
+    with scratch(spark):
+        words = written(word_counts(pages).where(F.col("n") >= LEAST), "words")
+        counts = {r["word"]: r["n"] for r in most_frequent(words, F.col("n"), VOCABULARY).collect()}
+        shipped = spark.sparkContext.broadcast(counts)
+        urls = pages.select(host(pages["url"]).alias("host"), F.regexp_replace(path(pages["url"]), r"\d+", "0").alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
+        labelled = urls.mapInArrow(_example_counts(shipped, seeds), "word string, block boolean, n bigint")
+        sums = [F.sum(F.when(F.col("block") == flag, F.col("n")).otherwise(0)).alias(name) for name, flag in (("allow", False), ("block", True))]
+        each = written(labelled.groupBy("word").agg(*sums), "examples")
+        examples = {r["word"]: (r["allow"], r["block"]) for r in most_frequent(each, F.col("allow") + F.col("block"), VOCABULARY).collect()}
+    return counts, examples
 
 
 def _judge(model):
