@@ -6,6 +6,7 @@ window of LENGTH bytes is represented by the GRAM-byte string in it with the lea
 bytes alone, so equal windows are represented at equal offsets. A run is the windows in a row with one representative,
 about 70 of them. Rounds:
 
+0. equal runs of one text repeat, and all but one of them are settled where the text is read;
 1. runs are sorted by pairs of ranks: that of the representative (GRAM bytes) and that of the whole run (LENGTH bytes
    and more). A unique first rank ends it: no window of the run repeats. An equal pair ends it too: all of them do;
 2. runs that share only the first rank are extended: their bytes are sorted by representative, and each window of LENGTH
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_value, kept_by_worker, written
+from .common import by_value, kept_by_worker, scratch, written
 
 LENGTH, GRAM = 200, 32
 BUFFER, BIG, BROADCAST = 1 << 21, 50_000, 128 << 20
@@ -100,6 +101,31 @@ def find_runs(data, ends, numbers, length: int, gram: int):
     return grams[chosen[a]].astype("i8"), whole.astype("i8"), text[a], a - starts[text[a]], n, at
 
 
+def settled(rank, whole, text, start, n):
+    """Of runs in order of place: which to sort with the other texts' runs, and (index, start, n) of pieces that repeat
+    in their own text. A text that repeats a short period has thousands of equal runs; one of them is enough for others."""
+    import numpy as np
+
+    order = np.lexsort((start, whole, rank, text))
+    same = np.zeros(len(order), dtype=bool)
+    if len(order) > 1:
+        a, b = order[1:], order[:-1]
+        same[1:] = (text[a] == text[b]) & (rank[a] == rank[b]) & (whole[a] == whole[b])
+    further, twice = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
+    further[order] = same
+    twice[order] = same | np.concatenate((same[1:], [False]))
+    at = np.flatnonzero(twice)
+    pieces = []
+    if len(at):
+        joined = (text[at[1:]] == text[at[:-1]]) & (start[at[1:]] == start[at[:-1]] + n[at[:-1]])
+        firsts = np.flatnonzero(np.concatenate(([True], ~joined)))
+        lasts = np.concatenate((firsts[1:], [len(at)])) - 1
+        for a, b in zip(at[firsts], at[lasts]):
+            end = start[b] + n[b]
+            pieces += [(a, p, min(256, end - p)) for p in range(start[a], end, 256)]
+    return ~further, pieces
+
+
 def buffers(texts: list[bytes], length: int):
     """(index of the text, offset in it, its bytes) in groups of about BUFFER bytes; longer texts in pieces that
     overlap by length - 1."""
@@ -137,7 +163,15 @@ def _runs(length: int, gram: int):
                 rank, whole, text, start, n, at = find_runs(data, np.cumsum([len(g[2]) for g in group]), numbers, length, gram)
                 index = np.array([g[0] for g in group])[text]
                 start = start + np.array([g[1] for g in group])[text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rank, whole, ids[index], more[index], start.astype("i4"), n.astype("i4"), at.astype("i4"))], names=["rank", "whole", "text_id", "more", "start", "n", "at"])
+                apart, own = settled(rank, whole, index, start, n)
+                rows = [x[apart] for x in (rank, whole, ids[index], more[index], start, n, at)]
+                if own:  # ranked by place, so that they spread; at tells them apart
+                    i, p, m = (np.array(x) for x in zip(*own))
+                    spread = mixed(ids[index[i]].astype("u8") + p.astype("u8")).astype("i8")
+                    extra = (spread, spread, ids[index[i]], more[index[i]], p, m, np.full(len(i), -1))
+                    rows = [np.concatenate(x) for x in zip(rows, extra)]
+                types = ("i8", "i8", "i8", "i4", "i4", "i4", "i4")
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(rows, types)], names=["rank", "whole", "text_id", "more", "start", "n", "at"])
 
     return runs
 
@@ -165,7 +199,7 @@ def ranked(texts: DataFrame, length: int, gram: int) -> DataFrame:
         flag(F.lead("whole").over(by_rank) == F.col("whole")).alias("after"),
         F.count("*").over(all_).alias("group"),
         (F.min("whole").over(all_) != F.max("whole").over(all_)).alias("differ"),
-    ).where("group > 1")
+    ).where("group > 1 or at < 0")
     return seen.select(
         "rank",
         "text_id",
@@ -173,8 +207,8 @@ def ranked(texts: DataFrame, length: int, gram: int) -> DataFrame:
         F.expr("cast(shiftright(place, 8) & 2147483647 as int)").alias("start"),
         F.expr("cast((place & 255) + 1 as int)").alias("n"),
         F.col("at").cast("int").alias("at"),
-        (F.col("before") | F.col("after")).alias("repeated"),
-        (F.col("after") & ~F.col("before") & F.col("differ")).alias("witness"),
+        (F.col("before") | F.col("after") | (F.col("at") < 0)).alias("repeated"),
+        (F.col("after") & ~F.col("before") & F.col("differ") & (F.col("at") >= 0)).alias("witness"),
         (F.col("group") > BIG).alias("big"),
     )
 
@@ -322,7 +356,8 @@ def _cutter(digest: bool):
 
 
 def _applied(docs: DataFrame, names: list[str], digest: bool, length: int, gram: int) -> DataFrame:
-    found = written(spans(docs, length, gram), "spans")
+    with scratch(docs.sparkSession):
+        found = written(spans(docs, length, gram), "spans", keep=True)
     texts = _identified(docs.select(F.struct(*names).alias("d"), F.col("text")))
     lists = found.select(F.col("text_id").alias("__id"), F.col("more").alias("__more"), "spans")
     size = int(str(lists._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
