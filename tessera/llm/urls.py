@@ -3,10 +3,11 @@
 A rule is (action, host, path): it fits a url whose host is the rule's or a subdomain of it, and whose path starts with the
 rule's; the longest (host and path together) that fits decides. Other urls are judged by words: hosts and paths are
 cut at characters other than letters and digits, and each piece is segmented by a unigram Viterbi search into the words
-that most probably make it up. A multinomial naive Bayes model with equal priors and add-one smoothing scores the
+that most probably make it up; letters in a row where no word fits are one word. A multinomial naive Bayes model with equal priors and add-one smoothing scores the
 words of host and path; block wins if its probability is the larger.
 
-What is learned: word counts from the visible text and the urls of all pages (the most frequent of at least LEAST
+What is learned: word counts from the visible text of all pages, without the labels of the page's own host: counted from
+urls, or from the pages of its own site, an unsplit name would soon be a word by itself and hide its parts (the most frequent of at least LEAST
 occurrences, at most VOCABULARY, frequencies being compared to 1/32); the model from the words of all urls, a url being an example of block if a word of its host is in
 SEEDS, and of allow otherwise. Both are counted by Spark; only the bounded vocabularies come to the driver.
 
@@ -75,11 +76,14 @@ class Segmenter:
                 if p is not None and best[start][0] + p > choice[0]:
                     choice = (best[start][0] + p, start)
             best.append(choice)
-        out, end = [], len(piece)
+        out, end, stray = [], len(piece), False
         while end:
             start = best[end][1]
-            out.append(piece[start:end])
-            end = start
+            word, end = piece[start:end], start
+            # Letters that fit no word, side by side, are taken together.
+            now = word not in self.log and word.isalpha()
+            out[-1:] = [word + out[-1]] if now and stray else [*out[-1:], word]
+            stray = now
         return tuple(reversed(out))
 
 
@@ -90,11 +94,12 @@ def tokens(host_: str, path_: str, segmenter: Segmenter) -> tuple[list[str], lis
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n over the visible text and the urls of all pages."""
+    """word, n over the visible text of all pages; the labels of a page's own host do not count on it."""
     visible = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>|&#?\w{1,10};", " ")
-    both = F.concat_ws(" ", visible, host(pages["url"]), path(pages["url"]))
-    words = F.filter(F.split(F.lower(both), r"[^\p{L}]+"), lambda w: F.length(w).between(2, LONGEST))
-    return pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    cut = lambda c: F.split(F.lower(c), r"[^\p{L}]+")
+    rows = pages.select(cut(visible).alias("words"), cut(host(pages["url"])).alias("own"))
+    words = F.filter("words", lambda w: F.length(w).between(2, LONGEST) & ~F.array_contains("own", w))
+    return rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _example_counts(segmenter, seeds):

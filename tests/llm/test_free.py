@@ -85,6 +85,22 @@ def test_segmentation_and_bayes(spark):
     assert {r["host"]: r["verdict"] for r in got} == {"casino-free.org": "block", "casinobets.org": "block", "dailynews.org": "allow", "paper.org": "allow", "newspaper.org": "allow", "freebets.org": "block"}
 
 
+def pages_with_name(name, pages):
+    """Pages of the host www.<name>.org, and others whose texts have a vocabulary of 4,000 words."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4000)]
+    rows = [(i, f"http://{words[i % 50]}.net/art/{i}", "<p>" + " ".join([*words[i % 40 :: 40], "free casino bonus news daily"]) + "</p>") for i in range(400)]
+    return rows + [(1000 + i, f"http://www.{name}.org/win/{i}", f"<p>welcome to {name}</p>") for i in range(pages)]
+
+
+@pytest.mark.parametrize("pages", [5, 60])
+def test_a_name_with_many_pages_is_still_segmented(spark, pages):
+    df = spark.createDataFrame(pages_with_name("freecasinobonus", pages), "page_id long, url string, html string")
+    got = urls.judged(df, ()).collect()
+    assert {r["verdict"] for r in got if r["page_id"] >= 1000} == {"block"}
+    assert {r["verdict"] for r in got if r["page_id"] < 1000} == {"allow"}
+
+
 def near_copies(rng):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
     texts = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(40)]
