@@ -7,9 +7,10 @@ that most probably make it up; letters in a row where no word fits are one word.
 words of host and path; block wins if its probability is the larger.
 
 What is learned: word counts from the visible text of all pages, without the labels of the page's own host: counted from
-urls, or from the pages of its own site, an unsplit name would soon be a word by itself and hide its parts (the most frequent of at least LEAST
-occurrences, at most VOCABULARY, frequencies being compared to 1/32); the model from the words of all urls, a url being an example of block if a word of its host is in
-SEEDS, and of allow otherwise. Both are counted by Spark; only the bounded vocabularies come to the driver.
+urls, or from the pages of its own site, an unsplit name would soon be a word by itself and hide its parts (all words of at
+least LEAST occurrences, and SEEDS as if they had so many); the model from the words of all urls, a url being an example of
+block if a word of its host is in SEEDS, and of allow otherwise. Counts and model stay tables of any size: the substrings of
+each distinct stretch of letters are joined with the word counts, its words with the model, and urls with their stretches.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and the verdict of a url without
 words (allow); null html adds no words; repeated rows are judged alike and each stays a row; an empty table gives an
@@ -19,16 +20,14 @@ empty table and a model that allows everything.
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, by_value, scratch, written
-from .quality import bucket
 
-VOCABULARY, LEAST, LONGEST, MAX_RULES = 50_000, 5, 24, 200
+LEAST, LONGEST, MAX_RULES = 5, 24, 200
 #: Words of hosts that are examples of what to block.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "xxx")
 
@@ -55,10 +54,13 @@ def rule_for(host_: Column, path_: Column, rules) -> Column:
 
 
 class Segmenter:
-    """words(piece): the most probable segmentation under unigram probabilities."""
+    """words(piece): the most probable segmentation under unigram probabilities.
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    counts may be those of the substrings of a piece alone, if total is given.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) + 1
         self.log = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(1 / total)
         self.longest = min(LONGEST, max(map(len, counts), default=1))
@@ -87,10 +89,10 @@ class Segmenter:
         return tuple(reversed(out))
 
 
-def tokens(host_: str, path_: str, segmenter: Segmenter) -> tuple[list[str], list[str]]:
-    """Words of the host and of the path; the last label of a host (its top domain) is left out."""
-    cut = lambda s: [w for piece in re.findall(r"[^\W_]+", s.lower()) for w in segmenter.words(piece)]
-    return cut(host_.rpartition(".")[0]), cut(path_)
+def parts(text: Column) -> Column:
+    """The parts that are segmented alone, in order: stretches of letters, single digits; # for a piece of digits only."""
+    digits = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}])\p{Nd}+(?![\p{L}\p{N}])", "#")
+    return F.regexp_extract_all(digits, F.lit(r"#|\p{L}+|\p{N}"), F.lit(0))
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
@@ -102,80 +104,78 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _example_counts(segmenter, seeds):
-    def count(batches):
-        from collections import Counter
+def vocabulary(pages: DataFrame, seeds) -> DataFrame:
+    """word, n: all words of at least LEAST occurrences, and the seeds."""
+    added = pages.sparkSession.createDataFrame([(w, 0) for w in seeds], "word string, n bigint")
+    counts = word_counts(pages).where((F.col("n") >= LEAST) | F.col("word").isin(*seeds))
+    return counts.unionByName(added).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(LEAST)).alias("n"))
+
 
+def _segment(total):
+    def segment(batches):
         import pyarrow as pa
 
-        seg, block = Segmenter(segmenter.value), set(seeds)
         for batch in batches:
-            found: Counter = Counter()
-            for h, p, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                own, rest = tokens(h, p, seg)
-                label = bool(block & {*own, *re.findall(r"[^\W_]+", h)})
-                for w in own + rest:
-                    found[w, label] += n
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())], names=["word", "block", "n"])
-
-    return count
-
-
-def most_frequent(counts: DataFrame, n: Column, most: int) -> DataFrame:
-    """Rows of counts with the largest n, at most `most`: all that are in a bucket of n above a cut."""
-    rows = counts.withColumn("__bucket", bucket(n))
-    sizes = sorted(((r["__bucket"], r["count"]) for r in rows.groupBy("__bucket").count().collect()), reverse=True)  # 32 buckets an octave
-    cut, total = None, 0
-    for least, size in sizes:
-        total += size
-        if total > most:
-            break
-        cut = least
-    return rows.where(F.col("__bucket") >= cut if cut is not None else F.lit(False)).drop("__bucket")
-
-
-def fit(pages: DataFrame, seeds=SEEDS) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
-    """The word counts, and for each word its counts in allow and block examples."""
+            names, known = batch.column(0), batch.column(1).to_pylist()
+            found = [Segmenter({k["word"]: k["n"] for k in ks or ()}, total).words(p) for p, ks in zip(names.to_pylist(), known)]
+            yield pa.RecordBatch.from_arrays([names, pa.array(found, pa.list_(pa.string()))], names=["part", "words"])
+
+    return segment
+
+
+def segmented(stretches: DataFrame, counts: DataFrame) -> DataFrame:
+    """part, words for each distinct stretch of letters (part), from all counts (word, n)."""
+    total = (counts.agg(F.sum("n")).head()[0] or 0) + 1
+    size = F.length("part")
+    each = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda k: F.substr("part", i, k)))
+    known = stretches.select("part", F.explode(F.array_distinct(F.flatten(each))).alias("word")).join(counts, "word")
+    known = known.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return stretches.join(known, "part", "left").select("part", "known").mapInArrow(_segment(total), "part string, words array<string>")
+
+
+def in_order(pos: str, value: str) -> Column:
+    """The sum of value in the order of pos, so that it does not depend on how rows are dealt."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct(pos, value))), F.lit(0.0), lambda a, x: a + x[value])
+
+
+def url_scores(pages: DataFrame, seeds=SEEDS) -> DataFrame:
+    """host, path, log_odds (of block against allow, by words) of each distinct url that has words; no rows without examples of block."""
     spark = pages.sparkSession
     with scratch(spark):
-        words = written(word_counts(pages).where(F.col("n") >= LEAST), "words")
-        counts = {r["word"]: r["n"] for r in most_frequent(words, F.col("n"), VOCABULARY).collect()}
-        shipped = spark.sparkContext.broadcast(counts)
-        urls = pages.select(host(pages["url"]).alias("host"), F.regexp_replace(path(pages["url"]), r"\d+", "0").alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
-        labelled = urls.mapInArrow(_example_counts(shipped, seeds), "word string, block boolean, n bigint")
-        sums = [F.sum(F.when(F.col("block") == flag, F.col("n")).otherwise(0)).alias(name) for name, flag in (("allow", False), ("block", True))]
-        each = written(labelled.groupBy("word").agg(*sums), "examples")
-        examples = {r["word"]: (r["allow"], r["block"]) for r in most_frequent(each, F.col("allow") + F.col("block"), VOCABULARY).collect()}
-    return counts, examples
-
-
-def _judge(model):
-    def judge(batches):
-        import pyarrow as pa
-
-        counts, examples = model.value
-        seg = Segmenter(counts)
-        allow, block = (sum(x[i] for x in examples.values()) + len(examples) + 1 for i in (0, 1))
-        base = math.log(allow) - math.log(block)
-        ratio = {w: math.log((b + 1) / (a + 1)) + base for w, (a, b) in examples.items()}
+        words = written(vocabulary(pages, seeds), "words")
+        rows = pages.select(host(pages["url"]).alias("host"), path(pages["url"]).alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
+        own = parts(F.regexp_extract("host", r"(?s)^(.*)\.", 1))
+        rows = rows.select("host", "path", "n", own.alias("own"), parts(F.col("path")).alias("rest"), parts(F.regexp_replace("path", r"\d+", "0")).alias("example"))
+        urls = written(rows, "urls")
+        stretches = urls.select(F.explode(F.concat("own", "rest")).alias("part")).where(r"part rlike '^\\p{L}'").distinct()
+        split = written(segmented(written(stretches, "stretches"), words), "segmented")
+
+        hosts = urls.select("host", "own").distinct()
+        whole = hosts.where(F.arrays_overlap(F.regexp_extract_all(F.lower("host"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array(*map(F.lit, seeds)).cast("array<string>")))
+        inside = hosts.select("host", F.explode("own").alias("part")).join(split.where(F.exists("words", lambda w: w.isin(*seeds))), "part")
+        blocked = written(whole.select("host").union(inside.select("host")).distinct().withColumn("block", F.lit(True)), "blocked")
+
+        labelled = urls.join(blocked, "host", "left").select(F.explode(F.concat("own", "example")).alias("part"), "block", "n")
+        sums = [F.sum(F.when(F.col("block").isNotNull() == flag, F.col("n")).otherwise(0)).alias(name) for name, flag in (("allow", False), ("block", True))]
+        counted = labelled.groupBy("part").agg(*sums).join(split, "part", "left")
+        counted = counted.select(F.explode(F.coalesce("words", F.array("part"))).alias("word"), "allow", "block")
+        examples = written(counted.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "examples")
+
+        allow, block, size = (x or 0 for x in examples.agg(F.sum("allow"), F.sum("block"), F.count("*")).head())
+        base = math.log(allow + size + 1) - math.log(block + size + 1)
+        ratios = examples.select("word", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + base).alias("ratio"))
+        letters = split.select("part", F.posexplode("words").alias("pos", "word")).join(ratios, "word").groupBy("part").agg(in_order("pos", "ratio").alias("score"))
+        others = ratios.where(r"not word rlike '^\\p{L}'").select(F.col("word").alias("part"), F.col("ratio").alias("score"))
+        scores = written(letters.unionByName(others), "scores")
         # Without examples of block there is nothing to tell the classes apart by.
-        learned = any(b for _, b in examples.values())
-        score = lru_cache(maxsize=100_000)(lambda h, p: sum(ratio.get(w, 0.0) for part in tokens(h, p, seg) for w in part) if learned else 0.0)
-        for batch in batches:
-            values = [score(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            arrays = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(values, pa.float64())], names=[*batch.schema.names, "log_odds"])
-
-    return judge
+        judged_urls = urls.where(F.lit(block > 0)).select("host", "path", F.posexplode(F.concat("own", "rest")).alias("pos", "part")).join(scores, "part")
+        return written(judged_urls.groupBy("host", "path").agg(in_order("pos", "score").alias("log_odds")), "url-scores", keep=True)
 
 
 def judged(pages: DataFrame, rules, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict and log_odds (of block against allow, by words)."""
-    model = pages.sparkSession.sparkContext.broadcast(fit(pages, seeds))
     rows = pages.select("page_id", host(pages["url"]).alias("host"), path(pages["url"]).alias("path"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_judge(model), f"page_id {kind}, host string, path string, log_odds double")
+    scored = rows.join(url_scores(pages, seeds), ["host", "path"], "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)))
     found = scored.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     by_words = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
     return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", by_words).alias("verdict"), "log_odds")

@@ -1,8 +1,11 @@
 """Language identification, URL filters, Jaccard join, lines, repeated bytes, token shards."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -101,6 +104,33 @@ def test_a_name_with_many_pages_is_still_segmented(spark, pages):
     assert {r["verdict"] for r in got if r["page_id"] < 1000} == {"allow"}
 
 
+def test_words_of_any_number_and_seeds_without_text(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters[:10] for d in letters[:9]]
+    rows = [(i, f"http://h{i}.net/art/{i}", " ".join(words)) for i in range(6)] + [(9, "http://zzjhcasino.org/art/9", ""), (10, "http://zzjhwarez.org/art/8", "")]
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), ()).collect()}
+    assert len(words) > 60_000 and got == {**dict.fromkeys(range(6), "allow"), 9: "block", 10: "block"}
+
+
+def test_log_odds_equal_one_segmenter_and_model(spark):
+    rows = pages_with_name("freecasinobonus", 7) + [(2000, None, None), (2001, "x://Ads.h2.com/A1b22/33/\u00e9t\u00e9", ""), (2001, "x://Ads.h2.com/A1b22/33/\u00e9t\u00e9", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seg = urls.Segmenter({r["word"]: r["n"] for r in urls.vocabulary(df, urls.SEEDS).collect()})
+    cut = lambda s: [w for piece in re.findall(r"[^\W_]+", s.lower()) for w in seg.words(piece)]
+    got = urls.judged(df, ()).collect()
+    counts = {True: Counter(), False: Counter()}
+    for r in got:
+        own = cut(r["host"].rpartition(".")[0])
+        counts[bool({*own, *re.findall(r"[^\W_]+", r["host"])} & {*urls.SEEDS})].update(own + cut(re.sub(r"\d+", "0", r["path"])))
+    words = {*counts[True], *counts[False]}
+    total = {k: sum(c.values()) + len(words) + 1 for k, c in counts.items()}
+    ratio = {w: math.log((counts[True][w] + 1) / total[True] / ((counts[False][w] + 1) / total[False])) for w in words}
+    for r in got:
+        want = sum(ratio.get(w, 0.0) for w in cut(r["host"].rpartition(".")[0]) + cut(r["path"]))
+        assert math.isclose(r["log_odds"], want, abs_tol=1e-9), r
+    assert len(got) == len(rows)
+
+
 def near_copies(rng):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
     texts = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(40)]
