@@ -1,7 +1,7 @@
 """Registered queries of the analytics operators over the synthetic tables, with the SQL that checks them.
 
 The tables hold no model output, so texts are decorated: both sides build the same text from the same columns. Each query
-reads whole tables.
+reads whole tables, but for run_agreement, which has the events of day 3; run_agreement_all has those of all days.
 """
 
 from __future__ import annotations
@@ -649,6 +649,18 @@ def run_agreement(spark, d):
     return out.select("system", *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")])
 
 
+@query("""WITH h AS (SELECT event_type AS run, user_id AS topic, round(sum(value), 6) AS rating FROM events GROUP BY ALL), ranks AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY rating DESC, topic) AS rank FROM h),
+c AS (SELECT a.run AS run_a, b.run AS run_b, a.topic, a.rank AS ra, b.rank AS rb FROM ranks a JOIN ranks b ON b.topic = a.topic AND b.run > a.run),
+t AS (SELECT x.run_a, x.run_b, sum(sign(x.ra - y.ra) * sign(x.rb - y.rb)) / sqrt(sum(abs(sign(x.ra - y.ra))) * sum(abs(sign(x.rb - y.rb)))) AS tau FROM c x JOIN c y ON x.run_a = y.run_a AND x.run_b = y.run_b AND x.topic < y.topic GROUP BY ALL)
+SELECT 'e' AS system, round(avg(tau), 9) AS mean, round(stddev_pop(tau), 9) AS std, round(min(tau), 9) AS min, round(max(tau), 9) AS max FROM t""")
+def run_agreement_all(spark, d):
+    """Agreement of the final ranks, over the events of all days and every user as a topic; run_agreement has day 3 alone."""
+    e = table(spark, d, "events")
+    totals = e.groupBy(F.lit("e").alias("system"), F.col("event_type").alias("run"), F.col("user_id").alias("topic")).agg(F.round(F.sum("value"), 6).alias("rating"))
+    out = ranking.run_agreement(ranking.ranked(totals, "rating", "topic", "run", base=1).withColumnRenamed("rank_idx", "rank"))
+    return out.select("system", *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")])
+
+
 NATIONS = """v AS (SELECT c_nationkey AS topic, count(*) AS x, round(sum(c_acctbal), 2) AS y FROM customer GROUP BY 1)"""
 
 
