@@ -3,7 +3,7 @@
 A sketch of a measure is a histogram whose buckets keep the five highest bits below a number's first (relative error 1/32),
 so partial sketches merge by adding counts, in any order, to the same result. From the sketch of each (lang, source)
 come the quantiles that set its limit: the median plus SPREAD times its distance from the 10 % quantile, and at
-least SLACK above the median. A group of fewer than LEAST documents uses its language's sketch (the merged sketches
+least SLACK above the median (where the median is 0, SLACK alone sets the limit). A group of fewer than LEAST documents uses its language's sketch (the merged sketches
 of that language's groups), and a language of fewer than LEAST the merged sketch of all.
 
 Base rules are fixed: at least 50 words, and at most half of the words in repeated 3-word windows. Documents that
