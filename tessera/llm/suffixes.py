@@ -1,7 +1,8 @@
-"""Removal of repeated byte strings of LENGTH or more, by distributed prefix doubling over sampled positions.
+"""Removal of repeated byte strings of LENGTH or more, by winnowing with hash comparison.
 
 Ranks are hashes of what follows a position, so equal ranks are equal strings, and Spark's sort by rank finds what
-repeats. Plain doubling would sort every position of the corpus at each offset. Here a first round picks the positions: each
+repeats. This is not prefix doubling, which would sort every position of the corpus at each offset: no offset grows and
+nothing is ranked again. A first round picks the positions: each
 window of LENGTH bytes is represented by the GRAM-byte string in it with the least hash, which depends on the window's
 bytes alone, so equal windows are represented at equal offsets. A run is the windows in a row with one representative,
 about 70 of them. Rounds:
