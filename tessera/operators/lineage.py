@@ -65,18 +65,25 @@ def consistency(topics: DataFrame, n_runs: int) -> DataFrame:
     return topics.agg(F.coalesce(full / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("score"), full.alias("n_consistent"), F.count("*").alias("n_total"))
 
 
-def depth(topics: DataFrame, most: int = 100) -> DataFrame:
-    """id, depth of each topic below its seed (parent_id null or negative: 0), by one self-join a level."""
-    front = topics.where("parent_id is null or parent_id < 0").select("id", F.lit(0).alias("depth"))
-    out, level = front, 0
-    children = topics.select("id", "parent_id")
-    while level < most:
-        level += 1
-        front = children.join(front.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(level).alias("depth"))
-        if not front.limit(1).count():
-            break
-        out = out.unionByName(front)
-    return out
+def depth(topics: DataFrame) -> DataFrame:
+    """id, depth of each topic below its seed (parent_id null or negative: 0), of chains of any length.
+
+    Each round follows every open topic's ancestor to that one's own, so chains take rounds by the logarithm of their
+    length. Topics whose chain ends at an id that is not there have no row; a cycle of parents raises ValueError.
+    """
+    from ..plans.loops import round_table
+
+    seed = F.expr("parent_id is null or parent_id < 0")
+    state = round_table(topics.select("id", F.when(~seed, F.col("parent_id")).alias("at"), F.when(seed, 0).otherwise(1).alias("depth")), "depth")
+    most, reach = state.count(), 1
+    while state.where("at is not null").limit(1).count():
+        if reach > most:
+            raise ValueError("the parents of topics form a cycle")
+        up = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        moved = state.join(up, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
+        state = round_table(state.where("at is null").unionByName(moved), "depth")
+        reach *= 2
+    return state.select("id", "depth")
 
 
 def tree_edges(final: DataFrame, heads: DataFrame, paths: DataFrame) -> DataFrame:

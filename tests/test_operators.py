@@ -56,6 +56,15 @@ def test_trajectory_passes_through_missing_iterations(spark):
     assert rows(lineage.untraced(originals, got), "topic") == [("t3",)]
 
 
+def test_depth_of_long_chains_and_cycles(spark):
+    chain = [(i, i - 1 if i else None) for i in range(300)]
+    t = spark.createDataFrame(chain + [(900, -5), (901, 900), (950, 999), (951, 950)], "id long, parent_id long")
+    assert rows(lineage.depth(t), "id", "depth") == [*((i, i) for i in range(300)), (900, 0), (901, 1)]
+    with pytest.raises(ValueError):
+        lineage.depth(spark.createDataFrame([(1, None), (2, 4), (3, 2), (4, 3)], "id long, parent_id long"))
+    assert lineage.depth(t.limit(0)).count() == 0
+
+
 def test_coverage_first_match_and_none(spark):
     truth = spark.createDataFrame([("c", "ab"), ("c", "zz")], "category string, subtopic string")
     crawl = spark.createDataFrame([("xab", 1), ("ab", 0), ("yab", 2)], "topic string, pos int")
