@@ -313,6 +313,15 @@ def coverage_contains(spark, d):
     return coverage.contained(truth, crawl, lambda s, t: F.contains(t, F.lower(F.left(s, F.lit(3)))), size=8)
 
 
+@query("""WITH truth AS (SELECT DISTINCT p_brand AS category, p_type AS subtopic FROM part), hit AS (SELECT category, subtopic, arg_min('about ' || p_name, p_partkey) AS matched_topic FROM truth JOIN part ON contains('about ' || p_name, lower(subtopic)) GROUP BY ALL)
+SELECT category, subtopic, matched_topic FROM truth LEFT JOIN hit USING (category, subtopic)""")
+def coverage_contains_part(spark, d):
+    p = table(spark, d, "part")
+    truth = p.select(F.col("p_brand").alias("category"), F.col("p_type").alias("subtopic")).distinct()
+    crawl = p.select(F.concat(F.lit("about "), "p_name").alias("topic"), F.col("p_partkey").alias("pos"))
+    return coverage.contained(truth, crawl, lambda s, t: F.contains(t, F.lower(s)), size=2000)
+
+
 @query("""WITH c AS (SELECT p_brand AS category, lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size < 25) AS hit, p_name FROM part)
 SELECT category, count(*) FILTER (hit) AS covered, count(*) AS total, count(*) FILTER (hit)::DOUBLE / count(*) AS rate, sha256(coalesce(string_agg(p_name, '|' ORDER BY p_name) FILTER (NOT hit), '')) AS missing FROM c GROUP BY ROLLUP (category)""")
 def coverage_report(spark, d):

@@ -15,17 +15,23 @@ def contained(truth: DataFrame, crawl: DataFrame, predicate: Callable[[Column, C
     """category, subtopic, matched_topic (null without one): the first topic, by pos, for which predicate(subtopic, topic) holds.
 
     Topics are tried in chunks, and a subtopic leaves the probe side once it has a match. A chunk has `size` topics, so each
-    join pairs the unmatched subtopics with a bounded side, which is broadcast.
+    join pairs the unmatched subtopics with a bounded side, which is broadcast. Each round is written to the shared folder, and
+    the last is that in which no subtopic is left.
     """
-    topics = chunked(crawl.select("topic", "pos"), "pos", size)
+    from ..plans.loops import round_table
+
+    topics = round_table(chunked(crawl.select("topic", "pos"), "pos", size), "chunks")
     n = topics.agg(F.max("chunk")).head()[0]
-    open_, found = truth.select("category", "subtopic"), None
+    open_, found = round_table(truth.select("category", "subtopic"), "open"), None
     for i in range(0 if n is None else n + 1):
+        if not open_.limit(1).count():
+            break
         chunk = topics.where(F.col("chunk") == i)
         pairs = open_.join(F.broadcast(chunk), predicate(F.col("subtopic"), F.col("topic")))
-        hit = pairs.groupBy("category", "subtopic").agg(F.min_by("topic", "pos").alias("matched_topic"))
-        found = hit if found is None else found.unionByName(hit)
-        open_ = open_.join(hit, ["category", "subtopic"], "left_anti")
+        hit = round_table(pairs.groupBy("category", "subtopic").agg(F.min_by("topic", "pos").alias("matched_topic")), "hits")
+        if hit.limit(1).count():
+            found = hit if found is None else found.unionByName(hit)
+            open_ = round_table(open_.join(hit, ["category", "subtopic"], "left_anti"), "open")
     rest = open_.withColumn("matched_topic", F.lit(None).cast("string"))
     return rest if found is None else found.unionByName(rest)
 

@@ -74,6 +74,14 @@ def test_coverage_first_match_and_none(spark):
     assert empty.where("matched_topic is null").count() == 2
 
 
+def test_coverage_rounds_do_not_grow_the_plan(spark):
+    truth = spark.createDataFrame([("c", f"t{i}.") for i in range(9)], "category string, subtopic string")
+    crawl = spark.createDataFrame([(f"a t{i}.", i) for i in range(8)], "topic string, pos int")
+    got = coverage.contained(truth, crawl, lambda s, t: F.contains(t, s), size=1)
+    assert got._jdf.queryExecution().analyzed().toString().count("\n") < 60
+    assert rows(got.na.fill("-"), "subtopic", "matched_topic") == [*((f"t{i}.", f"a t{i}.") for i in range(8)), ("t8.", "-")]
+
+
 def test_probes_and_vote(spark):
     t = spark.createDataFrame([(1, ["q", " ", None], ["a", "b", "c"], "s", "r"), (2, None, None, "", "raw")], "id long, refusal_check_queries array<string>, refusal_check_responses array<string>, shortened string, raw string")
     assert [tuple(r) for r in refusal.probes(t).orderBy("id").collect()] == [(1, 0, "q", "a"), (2, 0, "Tell me about raw", None)]
