@@ -127,6 +127,12 @@ def _exploded(df: DataFrame) -> DataFrame:
     return df.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
+def _objects(record: Column, array: str) -> Column:
+    """The items of an array of a JSON record that are objects, as JSON."""
+    items = F.from_json(F.get_json_object(record, f"$.{array}"), "array<string>")
+    return F.filter(items, lambda x: F.json_object_keys(x).isNotNull())
+
+
 def json_layouts(df: DataFrame, conv_id: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """conv_id, layout and turns of JSON records whose layouts differ from row to row."""
     text = df[record]
@@ -135,7 +141,8 @@ def json_layouts(df: DataFrame, conv_id: str, record: str, layouts: tuple[Layout
     for layout in layouts:
         if layout.kind == "items":
             array = layout.fields[0]
-            keys = F.json_object_keys(F.get_json_object(text, f"$.{array}[0]"))
+            # The keys of all items: the first may be null or lack a field.
+            keys = F.flatten(F.transform(_objects(text, array), F.json_object_keys))
             nested.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{array}[]."), k)))
     rows = df.select(df[conv_id].alias("conv_id"), text.alias("record"), F.concat(top, *nested).alias("paths"))
     name = F.lit(None).cast("string")
@@ -145,8 +152,8 @@ def json_layouts(df: DataFrame, conv_id: str, record: str, layouts: tuple[Layout
         same = F.substring(F.sha2(F.array_join(have, "\n"), 256), 1, 16) == layout.fingerprint
         if layout.kind == "items":
             array, role, content = layout.fields
-            parsed = F.from_json("record", f"struct<`{array}`:array<struct<`{role}`:string,`{content}`:string>>>")
-            got = F.transform(F.filter(parsed[array], lambda x: x.isNotNull()), lambda x: _turn(_role(x[role], layout), x[content]))
+            parsed = F.transform(_objects(F.col("record"), array), lambda x: F.from_json(x, f"struct<`{role}`:string,`{content}`:string>"))
+            got = F.transform(parsed, lambda x: _turn(_role(x[role], layout), x[content]))
         else:
             got = _columns_turns(layout, lambda f: F.get_json_object("record", f"$.{f}"))
         name = F.when(same, layout.name).otherwise(name)

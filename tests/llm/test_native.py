@@ -71,6 +71,25 @@ def test_json_layouts_differ_by_row(spark):
     assert got[4] == got[5] == got[6] == (None, None)
 
 
+def test_layout_of_json_records_from_all_items(spark):
+    rows = [
+        (1, '{"messages": [null, {"role": "user", "content": "a"}]}'),
+        (2, '{"messages": [{"role": "user"}, {"role": "assistant", "content": "b {c} \\"d\\""}]}'),
+        (3, '{"conversations": [{"from": "human"}, {"value": "h"}]}'),
+        (4, '{"messages": [3, "x", {"role": "user", "content": "a"}]}'),
+        (5, '{"messages": [{"role": "user"}, null]}'),
+        (6, '{"messages": {"role": "user", "content": "a"}}'),
+        (7, '{"messages": []}'),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, record string")
+    got = {r["conv_id"]: (r["layout"], r["turns"] and [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.json_layouts(df, "conv_id", "record").collect()}
+    assert got[1] == ("messages", [("user", "a")])
+    assert got[2] == ("messages", [("user", ""), ("assistant", 'b {c} "d"')])
+    assert got[3] == ("from_value", [("user", ""), ("", "h")])
+    assert got[4] == ("messages", [("user", "a")])
+    assert got[5] == got[6] == got[7] == (None, None)
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 
 
