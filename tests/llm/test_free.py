@@ -169,13 +169,21 @@ def test_jaccard_edges(spark, monkeypatch):
     assert jaccard.deduplicated(docs_of(spark, [], rows[:2])).count() == 1
 
 
-def test_bitmaps_never_prune_a_link():
-    rng = np.random.default_rng(1)
-    for n in (1, 5, 64, 65, 300):
-        a = rng.integers(0, 1 << 63, n, dtype="u8")
-        for k in range(0, n // 4 + 1, 3):
-            b = np.concatenate((a[k:], rng.integers(0, 1 << 63, k // 2, dtype="u8")))
-            assert jaccard.differing_bits(jaccard.parity(a), jaccard.parity(b)) <= k + k // 2
+def test_shingles_equal_those_of_words():
+    rng = random.Random(3)
+    alphabet = ["a", "B", "b", "\u00e9", "\u4e2d", " ", "  ", "\t", "\n", "\u00a0"]
+    texts = ["", " ", "a", "A b", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300))]
+    import pyarrow as pa
+
+    found, at = {}, 0
+    for first, n, values, starts, _, _ in jaccard.sets_of(pa.array([t or None for t in texts], pa.string()), 5):
+        for k in range(len(n)):
+            own = values[starts[k] : starts[k + 1]].tolist()
+            want = brute.shingles(texts[first + k])
+            assert len(own) == n[k] == len(want) and own == sorted(set(own))
+            assert found.setdefault(want, own) == own
+            at += 1
+    assert at == len(texts) and len({tuple(v) for v in found.values()}) == len(found)
 
 
 @pytest.mark.parametrize("small", [1_000_000, 0])
