@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import by_value, kept_by_worker, new_path
 
 FRAME, LEVEL, CACHE, AT_ONCE = 1 << 18, 3, 600_000, 2_000
+#: Bytes of text that are cut into pieces at a time.
+PIECES = 1 << 22
 INDEX = [("doc_id", "<i8"), ("has_id", "u1"), ("frame", "<u4"), ("offset", "<u4"), ("n", "<u4")]
 SKIP, SEEK, TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 SUMMARY = "shard string, n_docs bigint, n_tokens bigint"
@@ -66,17 +68,49 @@ class Encoder:
             out += [struct.pack(f"<{len(e.ids)}{self.code}", *e.ids) for e in found]
         return out
 
+    def ids_of(self, keys: list[str]) -> list[bytes]:
+        """Each key's ids, from those known or from the tokenizer."""
+        found = list(map(self.known.get, keys))
+        missing = [k for k, x in zip(keys, found) if x is None]
+        if not missing:
+            return found
+        new = dict(zip(missing, self.direct(missing)))
+        room = CACHE - len(self.known)
+        self.known.update(new if len(new) <= room else dict(list(new.items())[: max(room, 0)]))
+        return [new[k] if x is None else x for k, x in zip(keys, found)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.known.get
-        cut = [keys_of(t) for t in texts]
-        found = [list(map(get, c)) for c in cut]
-        missing = {k for c, f in zip(cut, found) if None in f for k, x in zip(c, f) if x is None}
-        if missing:
-            new = dict(zip(missing, self.direct(list(missing))))
-            room = CACHE - len(self.known)
-            self.known.update(new if len(new) <= room else dict(list(new.items())[: max(room, 0)]))
-            found = [[new[k] if x is None else x for k, x in zip(c, f)] if None in f else f for c, f in zip(cut, found)]
-        return [b"".join(f) + self.end for f in found]
+        """All texts are cut and their pieces numbered at once; each distinct piece is looked up once."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        simple = [is_plain(t) for t in texts]
+        lines = ["\0" + t.replace("\n", " \n") for t, x in zip(texts, simple) if x]
+        others = [keys_of(t) for t, x in zip(texts, simple) if not x]
+        # Large types: a batch may be one text of any length.
+        pieces = [pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").flatten()] if lines else []
+        pieces.append(pa.array([k for keys in others for k in keys], pa.large_string()))
+        coded = pa.concat_arrays(pieces).dictionary_encode()
+        known = self.ids_of(coded.dictionary.to_pylist())
+        width = 4 if self.wide else 2
+        flat = np.frombuffer(b"".join(known), dtype=f"<u{width}")
+        size = np.array([len(x) // width for x in known], dtype="i8")
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        data = flat[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        counts = iter([x.count(" ") + 1 for x in lines] + [len(keys) for keys in others])
+        times = {flag: [next(counts) for x in simple if x == flag] for flag in (True, False)}
+        cuts = ends[np.cumsum([0, *times[True], *times[False]])] * width
+        spans = {True: iter(zip(cuts, cuts[1:])), False: iter(zip(cuts[len(lines) :], cuts[len(lines) + 1 :]))}
+        return [data[slice(*next(spans[x]))] + self.end for x in simple]
+
+
+def is_plain(text: str) -> bool:
+    """Whether text is made of single spaces and line breaks, apart from each other, between printable characters."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n ", " \n", "\n\n")) and text.replace("\n", "").isprintable()
 
 
 def text_of(key: str) -> str:
@@ -87,11 +121,8 @@ def keys_of(text: str) -> list[str]:
     """Keys whose texts make up text, cut only where the byte-level pattern always starts a piece."""
     if not text:
         return []
-    lines = text.split("\n")
-    if all(x and x[0] != " " and x[-1] != " " and "  " not in x and x.isprintable() for x in lines):
-        out = " \n".join(lines).split(" ")
-        out[0] = "\0" + out[0]
-        return out
+    if is_plain(text):
+        return ("\0" + text.replace("\n", " \n")).split(" ")
     parts = text.split(" ")
     out = ["\0" + parts[0]] if parts[0] else []
     for p in parts[1:]:
@@ -190,7 +221,9 @@ class ShardReader:
 
 def _writer(model, folder: str, end_id: int):
     def write(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encoder = kept_by_worker(f"encoder-{hash(model.value)}-{end_id}", lambda: Encoder(model.value, end_id))
@@ -200,12 +233,16 @@ def _writer(model, folder: str, end_id: int):
         shard, out = None, None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for k in range(0, batch.num_rows, 128):
+            upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))))
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + PIECES, side="right")) - 1)
                 if shard is None:
                     out = fs.open_output_stream(part)
                     shard = ShardWriter(out, 4 if encoder.wide else 2)
-                for doc_id, data in zip(ids[k : k + 128].to_pylist(), encoder.encode([t or "" for t in texts[k : k + 128].to_pylist()])):
+                for doc_id, data in zip(ids[a:b].to_pylist(), encoder.encode([t or "" for t in texts[a:b].to_pylist()])):
                     shard.add(doc_id, data)
+                a = b
         if shard:
             shard.close()
             out.close()
