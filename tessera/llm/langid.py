@@ -5,12 +5,15 @@ longest piece that occurs in the language's training text (or one unknown charac
 log2(length of the training text) bits, so phrases * log2(length) / characters estimates the cross entropy; the
 language with the least wins, ties going to the one with more training documents, then the first by name. score is 1 - least / second least.
 
-Texts are reduced to classes of lower-case letters and single spaces (all else). They are parsed in blocks of BLOCK
-classes: an automaton is a dense table of transitions, and all blocks of a batch step through it together.
+Texts are reduced to lower-case letters and single spaces (all else). All blocks of BLOCK letters of a batch step through
+the automaton together, each as if a text began there; then each block is parsed again from the state that the block before
+it ends in, up to the letter where both parses are in one state, and so on until no block ends otherwise. So a text
+of any length gets the phrases of one parse from its first letter to its last.
 
-The training sample is bounded: for each language the ROWS documents with the least hash of doc_id, and of these, in
-that order, the first CHARS classes altogether. A language's automaton knows its LETTERS most frequent letters; rarer
-ones share HASHED classes.
+The training sample is bounded by two parameters: for each language the ROWS documents with the least hash of doc_id, and
+of these, in that order, the first CHARS letters altogether, which is a dozen texts of usual length. Every letter of the
+sample is a class of its own, in any script; a letter outside it is an unknown character. Automata are broadcast as lists
+of transitions (some MB a language); workers make tables of them, if these take at most DENSE bytes altogether.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0, as is everything if nothing could be
 learned; with one language its score is 1; rows with null lang teach nothing; repeated rows are judged alike and each
@@ -29,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import by_value, kept_by_worker
 
-ROWS, CHARS, LETTERS, HASHED, BLOCK = 300, 24_000, 64, 32, 256
+ROWS, CHARS, BLOCK, DENSE = 300, 24_000, 256, 256 << 20
 UNKNOWN = "und"
 
 
@@ -88,51 +91,87 @@ def automaton(classes: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Of one language. class_of: a class for each code; table[state, class]: the next state, or ~state where a new
-    phrase starts. The last class is padding and leads to the root."""
+    """Of one language. letters: the sample's, sorted; a letter's class is its place, then come the classes of unknown ones
+    and of padding. key (state * classes + class) leads to the state at."""
 
     def __init__(self, name: str, codes):
         import numpy as np
 
         self.name, self.bits = name, math.log2(len(codes) + 1)
-        seen = Counter(codes.tolist())
-        known = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.known = {c: i for i, c in enumerate(known)}
-        n = len(known) + HASHED
-        self.pad = n
-        classes = [self.known.get(c, len(known) + c % HASHED) for c in codes.tolist()]
-        states = automaton(classes)
-        root = np.full(n + 1, -1, dtype="i4")
-        for c, s in states[0].items():
-            root[c] = ~s
-        table = np.tile(root, (len(states), 1))
-        for i, out in enumerate(states[1:], 1):
-            for c, s in out.items():
-                table[i, c] = s
-        table[:, n] = 0
-        self.table = table
-
-    def class_of(self):
+        self.letters, classes = np.unique(codes, return_inverse=True)
+        self.unknown, self.pad = len(self.letters), len(self.letters) + 1
+        self.width = self.pad + 1
+        states = automaton(classes.tolist())
+        steps = sorted((i * self.width + c, s) for i, out in enumerate(states) for c, s in out.items())
+        self.n_states = len(states)
+        self.key, self.at = (np.array(x, dtype=t) for x, t in zip(zip(*steps), ("i8", "i4")))
+
+    @property
+    def dense_bytes(self) -> int:
+        return 4 * self.n_states * self.width
+
+
+class Parser:
+    """A model at work. A step gives the next state, or ~state where a new phrase starts."""
+
+    def __init__(self, model: Model, dense: bool):
         import numpy as np
 
-        out = (len(self.known) + np.arange(0x110000) % HASHED).astype("u1")
-        for c, i in self.known.items():
-            out[c] = i
-        return out
+        self.model = model
+        self.class_of = np.full(0x110001, model.unknown, dtype="u2" if model.width < 1 << 16 else "u4")
+        self.class_of[model.letters] = np.arange(len(model.letters))
+        self.class_of[0x110000] = model.pad
+        self.root = np.full(model.width, -1, dtype="i4")
+        first = model.key < model.width
+        self.root[model.key[first]] = ~model.at[first]
+        self.root[model.pad] = 0
+        self.table = None
+        if dense:
+            table = np.tile(self.root, (model.n_states, 1))
+            table.reshape(-1)[model.key[~first]] = model.at[~first]
+            self.table = table.reshape(-1)
+
+    def step(self, state, classes):
+        import numpy as np
 
-    def phrases(self, blocks):
-        """blocks[k, i]: the k-th class of block i; phrases in each."""
+        key = state * np.int64(self.model.width) + classes
+        if self.table is not None:
+            return self.table[key]
+        place = np.minimum(np.searchsorted(self.model.key, key), len(self.model.key) - 1)
+        return np.where((self.model.key[place] == key) & (state > 0), self.model.at[place], self.root[classes])
+
+    def phrases(self, blocks, follows):
+        """Phrases in each block. blocks[k, i]: the k-th class of block i; follows[i]: whether it goes on from block i - 1."""
         import numpy as np
 
-        flat, width = self.table.reshape(-1), self.table.shape[1]
+        states = np.empty(blocks.shape, dtype="i4")
+        starts = np.empty(blocks.shape, dtype=bool)
+
+        def parse(which, state):
+            """Parses the blocks up to where they are in the state held; gives those that end in another."""
+            for k in range(len(blocks)):
+                state = self.step(state, blocks[k, which])
+                start = state < 0
+                state = np.where(start, ~state, state)
+                apart = states[k, which] != state
+                states[k, which], starts[k, which] = state, start
+                which, state = which[apart], state[apart]
+                if not len(which):
+                    break
+            return which
+
         state = np.zeros(blocks.shape[1], dtype="i4")
-        total = np.zeros(blocks.shape[1], dtype="i4")
-        for row in blocks:
-            state = flat[state * width + row]
-            start = state >> 31  # -1 where a phrase starts
-            total -= start
-            state ^= start
-        return total
+        for k, row in enumerate(blocks):
+            state = self.step(state, row)
+            starts[k] = state < 0
+            state = state ^ (state >> 31)
+            states[k] = state
+        again = np.flatnonzero(follows)
+        while len(again):
+            ended = parse(again, states[-1, again - 1]) + 1
+            ended = ended[ended < len(follows)]
+            again = ended[follows[ended]]
+        return starts.sum(axis=0)
 
 
 def _sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
@@ -165,45 +204,46 @@ def fit(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> list[Model]:
     return [Model(lang, np.concatenate(held[lang])) for lang in sorted(held, key=lambda x: (-documents[x], x))]
 
 
-def predict(texts: list[str | None], models: list[Model], letters, maps) -> list[tuple[str, float]]:
+def predict(texts: list[str | None], parsers: list[Parser], letters) -> list[tuple[str, float]]:
     """(language, score) of each text; the blocks of all texts are parsed together."""
     import numpy as np
 
     found = [reduced(t, letters) if t else (None, False) for t in texts]
-    use = [i for i, (_, any_letter) in enumerate(found) if any_letter and models]
+    use = [i for i, (_, any_letter) in enumerate(found) if any_letter and parsers]
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     if not use:
         return out
     lengths = np.array([len(found[i][0]) for i in use])
-    counts = -(-lengths // BLOCK)
-    starts = np.concatenate(([0], np.cumsum(counts)))
+    starts = np.concatenate(([0], np.cumsum(-(-lengths // BLOCK))))
     codes = np.full(starts[-1] * BLOCK, 0x110000, dtype="u4")
     for k, i in enumerate(use):
         codes[starts[k] * BLOCK : starts[k] * BLOCK + lengths[k]] = found[i][0]
-    bits = np.empty((len(models), len(use)))
-    for m, model in enumerate(models):
-        blocks = np.ascontiguousarray(maps[m][codes].reshape(-1, BLOCK).T)
-        bits[m] = np.add.reduceat(model.phrases(blocks), starts[:-1]) * model.bits / lengths
+    follows = np.ones(starts[-1], dtype=bool)
+    follows[starts[:-1]] = False
+    bits = np.empty((len(parsers), len(use)))
+    for m, parser in enumerate(parsers):
+        blocks = np.ascontiguousarray(parser.class_of[codes].reshape(-1, BLOCK).T)
+        bits[m] = np.add.reduceat(parser.phrases(blocks, follows), starts[:-1]) * parser.model.bits / lengths
     best = bits.argmin(axis=0)
     least = bits.min(axis=0)
-    rest = np.partition(bits, 1, axis=0)[1] if len(models) > 1 else np.full(len(use), np.inf)
+    rest = np.partition(bits, 1, axis=0)[1] if len(parsers) > 1 else np.full(len(use), np.inf)
     score = np.clip(1 - least / rest, 0, 1)
     for k, i in enumerate(use):
-        out[i] = (models[best[k]].name, float(score[k]))
+        out[i] = (parsers[best[k]].model.name, float(score[k]))
     return out
 
 
+def parsers_of(models: list[Model]) -> list[Parser]:
+    dense = sum(m.dense_bytes for m in models) <= DENSE
+    return [Parser(m, dense) for m in models]
+
+
 def _predictor(models, name: str):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def make():
-            maps = [np.concatenate((m.class_of(), np.array([m.pad], dtype="u1"))) for m in models.value]
-            return letter_table(), maps
-
-        letters, maps = kept_by_worker(f"langid-{name}", make)
+        letters, parsers = kept_by_worker(f"langid-{name}", lambda: (letter_table(), parsers_of(models.value)))
         for batch in batches:
             texts, first, size = batch.column(1), 0, 0
             lengths = pc.binary_length(texts).fill_null(0).to_pylist()
@@ -211,7 +251,7 @@ def _predictor(models, name: str):
             for i, n in enumerate(lengths):
                 size += n
                 if size >= 2_000_000 or i + 1 == len(lengths):
-                    got += predict(texts.slice(first, i + 1 - first).to_pylist(), models.value, letters, maps)
+                    got += predict(texts.slice(first, i + 1 - first).to_pylist(), parsers, letters)
                     first, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -23,25 +23,37 @@ def docs_of(spark, texts, extra=()):
     return spark.createDataFrame([(i, t, None, None, 0, "x") for i, t in enumerate(texts)] + list(extra), DOCS)
 
 
-def test_phrases_equal_greedy_longest_matches():
+def greedy_phrases(text, known):
+    """Phrases of the longest matches of text in known, a character in no match being one by itself."""
+    i, n = 0, 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in known:
+            k += 1
+        i, n = i + k, n + 1
+    return n
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_phrases_equal_greedy_longest_matches(dense):
     rng = random.Random(2)
-    train = "".join(rng.choice("abc ") for _ in range(400))
     letters = langid.letter_table()
-    codes, _ = langid.reduced(train, letters)
-    model = langid.Model("x", codes)
-    known = "".join(map(chr, codes))
-    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 60))) for _ in range(200)]
-    for t in texts:
-        r, any_letter = langid.reduced(t, letters)
-        s, i, n = "".join(map(chr, r)), 0, 0
-        while i < len(s):
-            k = 0
-            while i + k < len(s) and s[i : i + k + 1] in known:
-                k += 1
-            i, n = i + max(k, 1), n + 1
-        blocks = np.full((langid.BLOCK, 1), model.pad, dtype="u1")
-        blocks[: len(r), 0] = model.class_of()[r]
-        assert model.phrases(blocks)[0] == n, t
+    han = "".join(chr(0x4E00 + i) for i in range(400))
+    trains = {"x": "".join(rng.choice("abc ") for _ in range(400)), "y": "".join(rng.choice("ab") * rng.randrange(1, 90) for _ in range(9)), "z": "".join(rng.choice(han) for _ in range(900))}
+    codes = {k: langid.reduced(t, letters)[0] for k, t in trains.items()}
+    parsers = [langid.Parser(langid.Model(k, c), dense) for k, c in codes.items()]
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 60))) for _ in range(200)] + ["a" * 3000, "ab" * 700, han * 3, "1", "", None]
+    texts += ["".join(rng.choice(["a", "b", "c", " ", "aabb", "d", "q\u4e07", han[:9]]) for _ in range(rng.randrange(200, 2000))) for _ in range(40)]
+    got = langid.predict(texts, parsers, letters)
+    for t, (lang, score) in zip(texts, got):
+        r, any_letter = langid.reduced(t or "", letters)
+        if not any_letter:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        s = "".join(map(chr, r))
+        bits = {k: greedy_phrases(s, "".join(map(chr, c))) * math.log2(len(c) + 1) / len(s) for k, c in codes.items()}
+        least, second = sorted(bits.values())[:2]
+        assert bits[lang] == least and math.isclose(score, 1 - least / second), t
 
 
 def test_language_identification(spark):
