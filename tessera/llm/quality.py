@@ -1,10 +1,13 @@
 """Quality rules: limits from mergeable quantile sketches for each language and source, joined back to filter.
 
 A sketch of a measure is a histogram whose buckets keep the five highest bits below a number's first (relative error 1/32),
-so partial sketches merge by adding counts, in any order, to the same result. From the sketch of each (lang, source)
-come the quantiles that set its limit: the median plus SPREAD times its distance from the 10 % quantile, and at
-least SLACK above the median (where the median is 0, SLACK alone sets the limit). A group of fewer than LEAST documents uses its language's sketch (the merged sketches
-of that language's groups), and a language of fewer than LEAST the merged sketch of all.
+so partial sketches merge by adding counts, in any order, to the same result. The limits of each (lang, source) come from
+the quantiles of its sketch alone: above, the upper quantile of the measure's TAILS plus SPREAD times its distance from the
+median; below (measures in LOWER), the lower quantile less SPREAD times its distance. Symbols and word length take the 90 %
+quantile, which junk in under a tenth of a group does not move; duplicate lines and repeats, which ordinary documents
+have too, the 99 % quantile. There is no fixed part: where a quantile is 0, so is the limit. A group of fewer than LEAST
+documents uses its language's sketch (the merged sketches of that language's groups), and a language of fewer than LEAST
+the merged sketch of all.
 
 Base rules are fixed: at least 50 words, and at most half of the words in repeated 3-word windows. Documents that
 fail them are not part of the sketches.
@@ -21,9 +24,11 @@ from pyspark.sql.window import Window
 
 from .common import let, space_words, written
 
-LEAST, SPREAD, BITS = 50, 4, 5
-#: Measures, in thousandths, and the least distance of a limit above the median.
-SLACK = {"symbols": 100, "duplicate_lines": 350, "repeats": 350, "word_length": 6000}
+LEAST, BITS = 50, 5
+#: Measures, in thousandths: the percentage of the quantile that sets a limit, and SPREAD.
+TAILS = {"symbols": (90, 4), "duplicate_lines": (99, 1), "repeats": (99, 1), "word_length": (90, 4)}
+LOWER = ("word_length",)
+BOUNDS = (*TAILS, *(f"least_{k}" for k in LOWER))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LIMITS = "__limits"
 
@@ -80,10 +85,18 @@ def _measures(m: Column) -> dict[str, Column]:
     return {"symbols": per(m["n_symbols"], m["n_words"]), "duplicate_lines": per(m["n_dup_lines"], m["n_lines"]), "repeats": per(m["n_repeat_words"], m["n_words"]), "word_length": per(m["word_chars"], m["n_words"])}
 
 
+def _width(x: Column) -> Column:
+    return F.greatest(F.length(F.bin(x)) - (BITS + 1), F.lit(0))
+
+
 def bucket(x: Column) -> Column:
     """The least number of x's bucket."""
-    shift = F.greatest(F.length(F.bin(x)) - (BITS + 1), F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
+    return F.call_function("shiftleft", F.call_function("shiftright", x, _width(x)), _width(x))
+
+
+def bucket_end(b: Column) -> Column:
+    """The largest number of the bucket whose least is b."""
+    return b + F.call_function("shiftleft", F.lit(1).cast("long"), _width(b)) - 1
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -98,34 +111,38 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def _limits(sketch: DataFrame, *keys: str) -> DataFrame:
-    """keys, and for each measure its limit and the documents it comes from."""
+    """keys, the BOUNDS, and the documents that they come from."""
     over = Window.partitionBy(*keys, "measure")
     rows = sketch.select(*keys, "measure", "bucket", F.sum("n").over(over.orderBy("bucket")).alias("upto"), F.sum("n").over(over).alias("total"))
-    q = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bucket")))
-    found = rows.groupBy(*keys, "measure").agg(q(5).alias("mid"), q(1).alias("low"), F.max("total").alias("total"))
-    slack = F.coalesce(*[F.when(F.col("measure") == k, v) for k, v in SLACK.items()])
-    limit = F.col("mid") + F.greatest(slack, SPREAD * (F.col("mid") - F.col("low")))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == k, limit)).alias(k) for k in SLACK], F.max("total").alias("total"))
+    of = lambda i: F.coalesce(*[F.when(F.col("measure") == k, v[i]) for k, v in TAILS.items()])
+    q = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket")))
+    found = rows.groupBy(*keys, "measure").agg(q(F.lit(50)).alias("mid"), q(of(0)).alias("top"), q(100 - of(0)).alias("low"), F.max("total").alias("total"))
+    upper = bucket_end(F.col("top")) + of(1) * (bucket_end(F.col("top")) - bucket_end(F.col("mid")))
+    lower = F.col("low") - of(1) * (F.col("mid") - F.col("low"))
+    pick = lambda k, x: F.max(F.when(F.col("measure") == k, x))
+    return found.groupBy(*keys).agg(*[pick(k, upper).alias(k) for k in TAILS], *[pick(k, lower).alias(f"least_{k}") for k in LOWER], F.max("total").alias("total"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """lang, source and a limit for each measure, from the group's own sketch or the next larger one."""
-    named = lambda df, tag, *keys: df.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in (*SLACK, "total")])
+    """lang, source and the BOUNDS, from the group's own sketch or the next larger one."""
+    named = lambda df, tag, *keys: df.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in (*BOUNDS, "total")])
     groups = named(_limits(sketch, "lang", "source"), "g", "lang", "source")
     langs = named(_limits(merged(sketch, "lang"), "lang"), "l", F.col("lang").alias("l_lang"))
     whole = named(_limits(merged(sketch)), "w")
     rows = groups.join(langs, F.col("lang").eqNullSafe(F.col("l_lang"))).join(whole, F.lit(True))
     pick = lambda k: F.when(F.col("g_total") >= LEAST, F.col(f"g_{k}")).when(F.col("l_total") >= LEAST, F.col(f"l_{k}")).otherwise(F.col(f"w_{k}"))
-    return rows.select("lang", "source", *[pick(k).alias(k) for k in SLACK])
+    return rows.select("lang", "source", *[pick(k).alias(k) for k in BOUNDS])
 
 
 def judged(rows: DataFrame, limit: DataFrame) -> DataFrame:
     """rows with the struct m, plus base_failed and kept."""
-    keys = limit.select(F.col("lang").alias(f"{LIMITS}_lang"), F.col("source").alias(f"{LIMITS}_source"), F.struct(*SLACK).alias(LIMITS))
+    keys = limit.select(F.col("lang").alias(f"{LIMITS}_lang"), F.col("source").alias(f"{LIMITS}_source"), F.struct(*BOUNDS).alias(LIMITS))
     both = rows.join(keys, rows["lang"].eqNullSafe(keys[f"{LIMITS}_lang"]) & rows["source"].eqNullSafe(keys[f"{LIMITS}_source"]), "left")
     within = F.lit(True)
     for k, v in _measures(rows["m"]).items():
         within = within & F.coalesce(v <= keys[LIMITS][k], F.lit(False))
+        if k in LOWER:
+            within = within & F.coalesce(v >= keys[LIMITS][f"least_{k}"], F.lit(False))
     failed = base_failed(rows["m"])
     return both.withColumn("base_failed", failed).withColumn("kept", ~failed & within).drop(LIMITS, f"{LIMITS}_lang", f"{LIMITS}_source")
 
@@ -138,7 +155,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns. Texts are measured twice, and not shuffled: only sketches are."""
-    rows = docs.select(F.struct(*docs.columns).alias("d"), "lang", "source", measured(docs["text"]).alias("m"))
-    limit = written(limits(sketches(rows.select("lang", "source", "m"))), "limits")
+    """The documents that pass, with their columns. They are written with their measures, so that texts are measured once."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("d"), "lang", "source", measured(docs["text"]).alias("m")), "measured")
+    limit = written(limits(sketches(rows)), "limits")
     return judged(rows, limit).where("kept").select("d.*")

@@ -111,13 +111,18 @@ WITH docs AS (
 ), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM levels
 ), limits AS (
-  SELECT level, lang, source, measure, max(total) AS total,
-    min(bucket) FILTER (10 * upto >= 5 * total) AS mid, min(bucket) FILTER (10 * upto >= total) AS low
+  SELECT level, lang, source, measure, max(total) AS total, min(bucket) FILTER (100 * upto >= 50 * total) AS mid,
+    min(bucket) FILTER (100 * upto >= CASE WHEN measure IN ('symbols', 'word_length') THEN 90 ELSE 99 END * total) AS top,
+    min(bucket) FILTER (100 * upto >= CASE WHEN measure IN ('symbols', 'word_length') THEN 10 ELSE 1 END * total) AS low
   FROM ranked GROUP BY level, lang, source, measure
+), ends AS (
+  SELECT *, top + (1::BIGINT << greatest(length(bin(top)) - 6, 0)) - 1 AS top_end, mid + (1::BIGINT << greatest(length(bin(mid)) - 6, 0)) - 1 AS mid_end,
+    CASE WHEN measure IN ('symbols', 'word_length') THEN 4 ELSE 1 END AS spread
+  FROM limits
 ), capped AS (
-  SELECT level, lang, source, measure, total, mid + greatest(CASE measure WHEN 'symbols' THEN 100 WHEN 'duplicate_lines' THEN 350 WHEN 'repeats' THEN 350 ELSE 6000 END, 4 * (mid - low)) AS limit_ FROM limits
+  SELECT level, lang, source, measure, total, top_end + spread * (top_end - mid_end) AS most, CASE measure WHEN 'word_length' THEN low - spread * (mid - low) ELSE 0 END AS least FROM ends
 ), chosen AS (
-  SELECT e.rid, bool_and(e.x <= CASE WHEN a.total >= 50 THEN a.limit_ WHEN b.total >= 50 THEN b.limit_ ELSE c.limit_ END) AS within
+  SELECT e.rid, bool_and(CASE WHEN a.total >= 50 THEN e.x BETWEEN a.least AND a.most WHEN b.total >= 50 THEN e.x BETWEEN b.least AND b.most ELSE e.x BETWEEN c.least AND c.most END) AS within
   FROM each e
   JOIN capped a ON a.level = 1 AND a.measure = e.measure AND a.lang IS NOT DISTINCT FROM e.lang AND a.source IS NOT DISTINCT FROM e.source
   JOIN capped b ON b.level = 2 AND b.measure = e.measure AND b.lang IS NOT DISTINCT FROM e.lang
