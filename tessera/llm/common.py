@@ -56,8 +56,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+def written(df: DataFrame, label: str, keep: bool = False, partition: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, with a folder for each value of partition: cuts the lineage and
+    survives lost executors.
 
     Inside a scratch() the table goes with it; with keep it goes with the one around that, if any.
     """
@@ -65,7 +66,7 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     path = new_path(spark, label)
     if len(_scratches) > keep:
         _scratches[-1 - keep].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=partition)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +75,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Bytes in memory that a side of a join may have to be broadcast.
+BROADCAST = 128 << 20
+
+
+def small(df: DataFrame, growth: int = 4, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if the size of its files allows it; else the join shuffles. growth: memory over file size."""
+    return F.broadcast(df) if plan_bytes(df) * growth <= (BROADCAST if most is None else most) else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body refers to it inside a lambda."""
     return F.transform(F.array(value), body)[0]
