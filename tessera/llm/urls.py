@@ -1,20 +1,23 @@
 """URL filters: rules first, else host word segmentation and naive Bayes.
 
 A rule is (action, host, path): it fits a url whose host is the rule's or a subdomain of it, and whose path starts with the
-rule's; the longest (host and path together) that fits decides. Other urls are judged by words: hosts and paths are
-cut at characters other than letters and digits, and each piece is segmented by a unigram Viterbi search into the words
-that most probably make it up; letters in a row where no word fits are one word. A multinomial naive Bayes model with equal priors and add-one smoothing scores the
-words of host and path; block wins if its probability is the larger.
-
-What is learned: word counts from the visible text of all pages, without the labels of the page's own host: counted from
-urls, or from the pages of its own site, an unsplit name would soon be a word by itself and hide its parts (all words of at
-least LEAST occurrences, and SEEDS as if they had so many); the model from the words of all urls, a url being an example of
-block if a word of its host is in SEEDS, and of allow otherwise. Counts and model stay tables of any size: the substrings of
-each distinct stretch of letters are joined with the word counts, its words with the model, and urls with their stretches.
-
-Defined results: a null url, or one without ``://``, has empty host and path, no rule and the verdict of a url without
-words (allow); null html adds no words; repeated rows are judged alike and each stays a row; an empty table gives an
-empty table and a model that allows everything.
+rule's; the longest (host and path together; of equal ones the last) that fits decides. Rules are a table of any size: each
+distinct url is joined by the suffixes of its host and those beginnings of its path that are as long as some rule's path.
+
+Other urls are judged by words: hosts and paths are cut at characters other than letters and digits, and each piece is
+segmented by a unigram Viterbi search into the words that most probably make it up; letters in a row where no word fits
+are one word. A multinomial naive Bayes model with equal priors and add-one smoothing scores the words of host and path;
+block wins if its probability is the larger.
+
+What is learned: the segmenter's word counts from the visible text of all pages, without the labels of the page's own host
+(counted from urls, or from the pages of its own site, an unsplit name would soon be a word by itself and hide its parts);
+the model from the urls that a rule decides, each page's url being an example of its rule's action. All of them are used.
+Counts and model stay tables of any size: the substrings of each distinct stretch of letters are joined with the word
+counts, its words with the model, and urls with their stretches. A word has at most LONGEST letters, in names as in text.
+
+Defined results: a null url, or one without ``://``, has empty host and path, and is judged by its rule or as a url without
+words (allow); null html adds no words; repeated rows are judged alike and each stays a row; without examples of both
+actions all other urls are allowed; an empty table gives an empty table. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -27,9 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, by_value, scratch, written
 
-LEAST, LONGEST, MAX_RULES = 5, 24, 200
-#: Words of hosts that are examples of what to block.
-SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "xxx")
+#: Letters of a word; rules that are broadcast (some ten MB), more are joined by a shuffle.
+LONGEST, FEW_RULES = 24, 100_000
 
 
 def host(url: Column) -> Column:
@@ -42,15 +44,18 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_for(host_: Column, path_: Column, rules) -> Column:
-    """The longest rule that fits, as struct<action, rule>, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    out = F.lit(None).cast("struct<action:string,rule:string>")
-    for action, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
-        fits = ((host_ == h) | host_.endswith("." + h)) & path_.startswith(p)
-        out = F.when(fits, F.struct(F.lit(action).alias("action"), F.lit(h + p).alias("rule"))).otherwise(out)
-    return out
+def ruled(urls: DataFrame, rules) -> DataFrame:
+    """host, path, action, rule of the distinct urls (host, path) that a rule fits; rules: (action, host, path)."""
+    rows = [(k, action, h.translate(str.maketrans(UPPER, LOWER)), p) for k, (action, h, p) in enumerate(rules)]
+    table = urls.sparkSession.createDataFrame(rows, "k int, action string, r_host string, r_path string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    lengths = F.array(*map(F.lit, sorted({len(r[3]) for r in rows}) or [0]))
+    begins = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substr("path", F.lit(1), n))
+    each = urls.select("host", "path", F.explode(suffixes).alias("r_host"), begins.alias("begins")).select("host", "path", "r_host", F.explode("begins").alias("r_path"))
+    fits = each.join(F.broadcast(table) if len(rows) <= FEW_RULES else table, ["r_host", "r_path"])
+    order = F.struct((F.char_length("r_host") + F.char_length("r_path")).alias("n"), "k", "action", F.concat("r_host", "r_path").alias("rule"))
+    return fits.groupBy("host", "path").agg(F.max(order).alias("r")).select("host", "path", "r.action", "r.rule")
 
 
 class Segmenter:
@@ -104,13 +109,6 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def vocabulary(pages: DataFrame, seeds) -> DataFrame:
-    """word, n: all words of at least LEAST occurrences, and the seeds."""
-    added = pages.sparkSession.createDataFrame([(w, 0) for w in seeds], "word string, n bigint")
-    counts = word_counts(pages).where((F.col("n") >= LEAST) | F.col("word").isin(*seeds))
-    return counts.unionByName(added).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(LEAST)).alias("n"))
-
-
 def _segment(total):
     def segment(batches):
         import pyarrow as pa
@@ -138,47 +136,41 @@ def in_order(pos: str, value: str) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(F.struct(pos, value))), F.lit(0.0), lambda a, x: a + x[value])
 
 
-def url_scores(pages: DataFrame, seeds=SEEDS) -> DataFrame:
-    """host, path, log_odds (of block against allow, by words) of each distinct url that has words; no rows without examples of block."""
-    spark = pages.sparkSession
-    with scratch(spark):
-        words = written(vocabulary(pages, seeds), "words")
+def decided(pages: DataFrame, rules) -> DataFrame:
+    """host, path, action and rule (null without one), log_odds (of block against allow, by words) of each distinct url."""
+    with scratch(pages.sparkSession):
+        words = written(word_counts(pages), "words")
         rows = pages.select(host(pages["url"]).alias("host"), path(pages["url"]).alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
         own = parts(F.regexp_extract("host", r"(?s)^(.*)\.", 1))
-        rows = rows.select("host", "path", "n", own.alias("own"), parts(F.col("path")).alias("rest"), parts(F.regexp_replace("path", r"\d+", "0")).alias("example"))
-        urls = written(rows, "urls")
+        urls = written(rows.select("host", "path", "n", own.alias("own"), parts(F.col("path")).alias("rest")), "urls")
+        found = written(ruled(urls.select("host", "path"), rules), "ruled")
         stretches = urls.select(F.explode(F.concat("own", "rest")).alias("part")).where(r"part rlike '^\\p{L}'").distinct()
         split = written(segmented(written(stretches, "stretches"), words), "segmented")
 
-        hosts = urls.select("host", "own").distinct()
-        whole = hosts.where(F.arrays_overlap(F.regexp_extract_all(F.lower("host"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array(*map(F.lit, seeds)).cast("array<string>")))
-        inside = hosts.select("host", F.explode("own").alias("part")).join(split.where(F.exists("words", lambda w: w.isin(*seeds))), "part")
-        blocked = written(whole.select("host").union(inside.select("host")).distinct().withColumn("block", F.lit(True)), "blocked")
-
-        labelled = urls.join(blocked, "host", "left").select(F.explode(F.concat("own", "example")).alias("part"), "block", "n")
-        sums = [F.sum(F.when(F.col("block").isNotNull() == flag, F.col("n")).otherwise(0)).alias(name) for name, flag in (("allow", False), ("block", True))]
+        labelled = urls.join(found, ["host", "path"]).select(F.explode(F.concat("own", "rest")).alias("part"), "action", "n")
+        sums = [F.sum(F.when(F.col("action") == name, F.col("n")).otherwise(0)).alias(name) for name in ("allow", "block")]
         counted = labelled.groupBy("part").agg(*sums).join(split, "part", "left")
         counted = counted.select(F.explode(F.coalesce("words", F.array("part"))).alias("word"), "allow", "block")
-        examples = written(counted.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "examples")
+        model = written(counted.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "model")
 
-        allow, block, size = (x or 0 for x in examples.agg(F.sum("allow"), F.sum("block"), F.count("*")).head())
+        allow, block, size = (x or 0 for x in model.agg(F.sum("allow"), F.sum("block"), F.count("*")).head())
         base = math.log(allow + size + 1) - math.log(block + size + 1)
-        ratios = examples.select("word", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + base).alias("ratio"))
+        ratios = model.select("word", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + base).alias("ratio"))
         letters = split.select("part", F.posexplode("words").alias("pos", "word")).join(ratios, "word").groupBy("part").agg(in_order("pos", "ratio").alias("score"))
         others = ratios.where(r"not word rlike '^\\p{L}'").select(F.col("word").alias("part"), F.col("ratio").alias("score"))
         scores = written(letters.unionByName(others), "scores")
-        # Without examples of block there is nothing to tell the classes apart by.
-        judged_urls = urls.where(F.lit(block > 0)).select("host", "path", F.posexplode(F.concat("own", "rest")).alias("pos", "part")).join(scores, "part")
-        return written(judged_urls.groupBy("host", "path").agg(in_order("pos", "score").alias("log_odds")), "url-scores", keep=True)
+        # Without examples of both there is nothing to tell them apart by.
+        each = urls.where(F.lit(bool(allow and block))).select("host", "path", F.posexplode(F.concat("own", "rest")).alias("pos", "part")).join(scores, "part")
+        odds = each.groupBy("host", "path").agg(in_order("pos", "score").alias("log_odds"))
+        return written(urls.select("host", "path").join(found, ["host", "path"], "left").join(odds, ["host", "path"], "left"), "decided", keep=True)
 
 
-def judged(pages: DataFrame, rules, seeds=SEEDS) -> DataFrame:
+def judged(pages: DataFrame, rules) -> DataFrame:
     """page_id, host, path, rule, verdict and log_odds (of block against allow, by words)."""
     rows = pages.select("page_id", host(pages["url"]).alias("host"), path(pages["url"]).alias("path"))
-    scored = rows.join(url_scores(pages, seeds), ["host", "path"], "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)))
-    found = scored.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
+    both = rows.join(decided(pages, rules), ["host", "path"], "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)))
     by_words = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
-    return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", by_words).alias("verdict"), "log_odds")
+    return both.select("page_id", "host", "path", "rule", F.coalesce("action", by_words).alias("verdict"), "log_odds")
 
 
 by_value(__name__)
