@@ -4,14 +4,16 @@ A line's key is the line without white space at its ends and with A-Z in lower c
 key; keys that the runs already count as common are taken out by an anti-join, the rest is added as a run of level 0:
 a table bucketed and sorted by hash, so that joins with it merge and need no shuffle. When a level has FANOUT runs, they
 are merged (counts added) into one run of the next level. A key in THRESHOLD documents or more is common, and all
-lines with it are dropped from every document.
+lines with it are dropped from every document. A whole table is added in batches, one for each BATCH bytes within limits
+that let every size use several levels; its keys are written once, with a folder for each batch. The runs are dropped
+when the common keys are known.
 
 The common keys go to the workers as a broadcast if there are at most SMALL of them (16 bytes each); with more, each
 document is joined with the list of its own common keys.
 
 Defined results: null text is an empty text, which is one empty line; lines whose key has fewer than MIN_CHARS code
 points are never dropped and never counted; repeated rows are documents of their own; an empty table gives an empty
-table; further columns stay in dropped().
+table; further columns stay in dropped(), but for those named n_lines or n_dropped, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, new_path
+from .common import by_value, delete_path, new_path, plan_bytes, scratch, written
 
-THRESHOLD, MIN_CHARS, BATCHES, FANOUT, SMALL = 10, 1, 4, 4, 1_000_000
+THRESHOLD, MIN_CHARS, FANOUT, SMALL = 10, 1, 4, 1_000_000
+#: Bytes of a batch; least and most batches of a table.
+BATCH, LEAST, MOST = 1 << 30, 6, 64
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -38,19 +42,23 @@ def keys_of(lines: list[bytes], min_chars: int) -> list[bytes]:
     return out
 
 
-def _document_keys(min_chars: int):
+def _document_keys(min_chars: int, *names: str):
+    """Texts and further columns to the further columns and h1, h2: a row for each key of a document."""
+
     def keys(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = []
+            found, times = [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 own = set(keys_of((text or b"").split(b"\n"), min_chars))
                 own.discard(b"")
                 found.append(b"".join(own))
+                times.append(len(own))
             both = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["h1", "h2"])
+            at = pa.array(np.repeat(np.arange(batch.num_rows), times))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).take(at) for i in range(len(names))), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=[*names, "h1", "h2"])
 
     return keys
 
@@ -91,7 +99,10 @@ class LineRuns:
         return self._merged(self.names()).where(F.col("n") >= self.threshold).select("h1", "h2")
 
     def add(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> None:
-        counts = document_counts(docs, min_chars)
+        self.add_counts(document_counts(docs, min_chars))
+
+    def add_counts(self, counts: DataFrame) -> None:
+        """h1, h2, n of one batch."""
         if self.names():
             counts = counts.join(self.common(), ["h1", "h2"], "left_anti")
         self.levels[0].append(self._write(counts))
@@ -104,9 +115,12 @@ class LineRuns:
             self._drop(old)
             at += 1
 
-    def _drop(self, names: list[str]) -> None:
-        from .common import delete_path
+    def close(self) -> None:
+        """Drops all runs."""
+        self._drop(self.names())
+        self.levels = [[]]
 
+    def _drop(self, names: list[str]) -> None:
         for name in names:
             path = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").head()["data_type"]
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -159,11 +173,16 @@ def _dropper(common, digest: bool, min_chars: int):
     return drop
 
 
-def fitted(docs: DataFrame, batches: int = BATCHES, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> LineRuns:
+def fitted(docs: DataFrame, batches: int | None = None, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> LineRuns:
     """The runs of all documents, added in batches of about the same size."""
-    runs = LineRuns(docs.sparkSession, threshold)
-    for b in range(batches):
-        runs.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b), min_chars)
+    spark = docs.sparkSession
+    batches = batches or min(MOST, max(LEAST, plan_bytes(docs) // BATCH))
+    runs = LineRuns(spark, threshold)
+    with scratch(spark):
+        rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+        keys = written(rows.mapInArrow(_document_keys(min_chars, "batch"), "batch int, h1 bigint, h2 bigint").select("h1", "h2", "batch"), "line-keys", partition="batch")
+        for b in range(batches):
+            runs.add_counts(keys.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.count("*").alias("n")))
     return runs
 
 
@@ -171,41 +190,26 @@ def _apply(docs: DataFrame, runs: LineRuns, digest: bool, min_chars: int, small:
     import numpy as np
 
     spark, schema = docs.sparkSession, docs.schema
-    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields if not digest or f.name == 'doc_id')}, __n_lines bigint, __n_dropped bigint, __kept string"
-    columns = [F.col(f.name) for f in schema.fields if not digest or f.name == "doc_id"]
-    common = runs.common()
-    if (n := common.count()) <= small:
-        table = np.array(common.orderBy("h1", "h2").collect(), dtype="<i8").reshape(n, 2)
-        rows = docs.select(F.col("text").alias("__text"), *columns)
-        return rows.mapInArrow(_dropper(spark.sparkContext.broadcast(table), digest, min_chars), out)
-    base = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    each = base.select("text", "doc_id", "digest").mapInArrow(_document_key_rows(min_chars), "doc_id bigint, digest bigint, h1 bigint, h2 bigint")
-    own = each.join(common, ["h1", "h2"]).groupBy("doc_id", "digest").agg(F.collect_set("h1").alias("a"), F.collect_set(F.struct("h1", "h2")).alias("keys"))
-    own = own.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("keys").alias("__keys"))
+    fields = [f for f in schema.fields if not digest or f.name == "doc_id"]
+    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}, __n_lines bigint, __n_dropped bigint, __kept string"
+    columns = [F.col(f.name) for f in fields]
+    with scratch(spark):
+        common = written(runs.common(), "common-lines")
+        runs.close()
+        if common.count() <= small:
+            found = common.orderBy("h1", "h2").toArrow()
+            table = np.column_stack([found.column(c).to_numpy() for c in ("h1", "h2")])
+            rows = docs.select(F.col("text").alias("__text"), *columns)
+            return rows.mapInArrow(_dropper(spark.sparkContext.broadcast(table), digest, min_chars), out)
+        base = docs.select("text", "doc_id", F.xxhash64("text").alias("digest"))
+        each = base.mapInArrow(_document_keys(min_chars, "doc_id", "digest"), f"doc_id {schema['doc_id'].dataType.simpleString()}, digest bigint, h1 bigint, h2 bigint")
+        own = each.join(common, ["h1", "h2"]).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
+        own = written(own.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("keys").alias("__keys")), "own-lines", keep=True)
     joined = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]) & (F.xxhash64(docs["text"]) == own["__digest"]), "left")
     rows = joined.select(F.col("text").alias("__text"), F.col("__keys"), *columns)
     return rows.mapInArrow(_listed(digest, min_chars), out)
 
 
-def _document_key_rows(min_chars: int):
-    def keys(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            found, times = [], []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                own = set(keys_of((text or b"").split(b"\n"), min_chars))
-                own.discard(b"")
-                found.append(b"".join(own))
-                times.append(len(own))
-            both = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), times))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "digest", "h1", "h2"])
-
-    return keys
-
-
 def _listed(digest: bool, min_chars: int):
     drop = _dropper(None, digest, min_chars)
 
