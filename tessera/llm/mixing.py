@@ -10,7 +10,7 @@ again. The output is shuffled globally: dealt out and sorted by a hash of (seed,
 Defined results: a null source is a source of its own; a source without a target weight gets the square root of its
 size (sampling with temperature 2) among those without one; weight 0 drops a source; null or empty text counts one
 character, so that such a source has a size; repeated rows draw the same count each; an empty table gives an empty
-table; further columns stay.
+table; further columns stay, but for columns named copy or shuffle_key, in whose place come the new ones.
 """
 
 from __future__ import annotations
@@ -56,7 +56,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int =
     rate = rates(docs, weights)
     draws = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     table = written(rate.select(F.col("source").alias("__source"), draws.alias("__draws"), _distribution(F.col("rate") / draws).alias("__upto")), "rates")
-    rows = docs.select(F.struct(*docs.columns).alias("d")).join(table, F.col("d.source").eqNullSafe(F.col("__source")))
+    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    rows = docs.select(F.struct(*names).alias("d")).join(table, F.col("d.source").eqNullSafe(F.col("__source")))
     digest = F.md5(F.coalesce(F.col("d.text"), F.lit("")))
     drawn = rows.select("d", "__draws", "__upto", digest.alias("__digest"))
     count = lambda j: F.size(F.filter("__upto", lambda c: c <= uniform(F.lit(seed), F.col("d.doc_id"), F.col("__digest"), j)))

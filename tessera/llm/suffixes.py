@@ -19,7 +19,8 @@ The joins of spans to texts broadcast the spans if they take at most BROADCAST b
 
 Defined results: null text is empty; texts shorter than LENGTH bytes keep everything; repeated rows with LENGTH bytes
 are all emptied; an empty table gives an empty table; a character may be cut in two (kept bytes are bytes); further
-columns stay in trimmed(), where bytes that are no longer UTF-8 become U+FFFD.
+columns stay in trimmed(), but for those named n_bytes, n_removed or n_spans, which the new ones replace; bytes that are
+no longer UTF-8 become U+FFFD there.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Token-ID output: shards of independent zstandard frames with a trailing seek table and checksums for each frame.
 
-A shard holds documents in ascending doc_id; the shards' names sort in the same order. Layout of a shard:
+A shard holds documents in ascending doc_id, or in the order that they come in; the shards' names sort in the same order. Layout of a shard:
 
 * data frames, each a complete zstandard frame with the ids of some whole documents (little-endian, unsigned 16 bits
   where the vocabulary allows, else 32). A frame is closed once it holds FRAME bytes;
@@ -16,7 +16,7 @@ breaks between such characters. The byte-level pattern always starts a piece the
 one gives the ids of the whole; a worker keeps the ids of the first CACHE pieces that it meets.
 
 Defined results: null text is empty (the end id alone); null doc_ids come first; equal doc_ids are all written, in any
-order; strings of special tokens inside a text are ordinary text; an empty table gives no shard and an empty result.
+order; doc_ids that are not integers raise a TypeError before anything is written; strings of special tokens inside a text are ordinary text; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import by_value, kept_by_worker, new_path
 
@@ -252,17 +253,22 @@ def _writer(model, folder: str, end_id: int):
     return write
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> list[tuple[str, int, int]]:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, by_id: bool = True) -> list[tuple[str, int, int]]:
     """Writes docs (doc_id, text) as shards to the folder; (name, documents, ids) of each shard, in order.
 
-    tokenizer: the path of a tokenizers file on the driver; its content is broadcast.
+    tokenizer: the path of a tokenizers file on the driver; its content is broadcast. by_id: in ascending doc_id; else
+    the order of docs stays (a shard for each partition), as for documents that have been shuffled on purpose.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("shards hold doc_ids of an integer type")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    if by_id:
+        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return sorted(tuple(r) for r in rows.mapInArrow(_writer(model, folder, end_id), SUMMARY).collect())
 
 
@@ -301,10 +307,10 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, end_id: int = 0) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, end_id: int = 0, by_id: bool = True) -> DataFrame:
     """Writes the shards and reads them back: doc_id, start, n_tokens, ids_crc32."""
     folder = folder or new_path(docs.sparkSession, "tokens")
-    return read_shards(docs.sparkSession, folder, write_shards(docs, folder, tokenizer or default_tokenizer(), end_id))
+    return read_shards(docs.sparkSession, folder, write_shards(docs, folder, tokenizer or default_tokenizer(), end_id, by_id))
 
 
 by_value(__name__)

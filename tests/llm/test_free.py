@@ -1,6 +1,7 @@
 """Language identification, URL filters, Jaccard join, lines, repeated bytes, token shards."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -79,8 +80,8 @@ def test_url_rules_and_words(spark):
         ("http://a.EXAMPLE.com/en/1?q", "a.example.com", "/en/1", "example.com/en/", "block"),
         ("https://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"),
         ("x://notexample.com/en/", "notexample.com", "/en/", "com/", "allow"),
-        ("x://a.com", "a.com", "", None, "allow"),
-        ("x://a.net/ES/", "a.net", "/ES/", None, "allow"),
+        ("x://b.com", "b.com", "", None, "allow"),
+        ("x://c.net/ES/", "c.net", "/ES/", None, "allow"),
         (None, "", "", None, "allow"),
         ("no scheme/en", "", "", None, "allow"),
         ("x://h#f/", "h", "", None, "allow"),
@@ -92,55 +93,95 @@ def test_url_rules_and_words(spark):
     assert urls.judged(df.limit(0), rules).count() == 0
 
 
-def test_segmentation_and_bayes(spark):
+PAGES = "page_id long, url string, html string"
+
+
+def test_segmentation():
     s = urls.Segmenter({"free": 50, "bets": 30, "freeb": 1, "news": 40, "a": 5})
     assert s.words("freebets") == ("free", "bets") and s.words("123") == ("<digits>",) and s.words("newsq") == ("news", "q")
-    rows = [(i, f"http://{h}.org/{p}", "<p>free bets casino news paper daily</p>" * 5) for i, (h, p) in enumerate([("casino-free", "win/1"), ("casinobets", "win/2"), ("dailynews", "art/1"), ("paper", "art/2"), ("newspaper", "art/3"), ("freebets", "win/9")] * 4)]
-    got = urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), ()).collect()
-    assert {r["host"]: r["verdict"] for r in got} == {"casino-free.org": "block", "casinobets.org": "block", "dailynews.org": "allow", "paper.org": "allow", "newspaper.org": "allow", "freebets.org": "block"}
+    assert s.words("xyfree") == ("xy", "free") and s.words("") == ()
+
+
+def test_segmentation_is_the_most_probable():
+    rng = random.Random(8)
+    for _ in range(100):
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 4))): rng.randrange(1, 50) for _ in range(6)} | {"a": 1, "b": 1}
+        total = sum(counts.values()) + 1
+        piece = "".join(rng.choice("ab") for _ in range(9))
+        cuts = [[piece[i:j] for i, j in zip((0, *c), (*c, len(piece)))] for k in range(len(piece)) for c in itertools.combinations(range(1, len(piece)), k)]
+        best = max(sum(math.log(counts[w] / total) for w in c) for c in cuts if all(w in counts for w in c))
+        assert math.isclose(sum(math.log(counts[w] / total) for w in urls.Segmenter(counts).words(piece)), best)
+
+
+def rule_of(host, path, rules):
+    fits = [(len(h) + len(p), k) for k, (_, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return rules[max(fits)[1]] if fits else None
+
+
+def test_many_rules(spark, monkeypatch):
+    rng = random.Random(3)
+    rules = [(rng.choice(("allow", "block")), rng.choice(("", "a.", "b.a.")) + f"h{rng.randrange(900)}.{rng.choice(('com', 'net'))}", "/" + "xy"[: rng.randrange(3)] * rng.randrange(4)) for _ in range(10_000)]
+    rules += [("block", "com", "/x"), ("allow", "net", "")]
+    sites = [(f"{rng.choice(('', 'a.', 'c.b.a.', 'z'))}h{rng.randrange(1000)}.{rng.choice(('com', 'net', 'org'))}", rng.choice(("", "/", "/x", "/xyxy/1", "/y"))) for _ in range(500)]
+    df = spark.createDataFrame(sorted(set(sites)), "host string, path string")
+    for few in (urls.FEW_RULES, 10):
+        monkeypatch.setattr(urls, "FEW_RULES", few)
+        got = {(r["host"], r["path"]): (r["action"], r["rule"]) for r in urls.ruled(df, rules).collect()}
+        want = {s: rule_of(*s, rules) for s in sites}
+        assert got == {s: (r[0], r[1] + r[2]) for s, r in want.items() if r}
 
 
 def pages_with_name(name, pages):
-    """Pages of the host www.<name>.org, and others whose texts have a vocabulary of 4,000 words."""
+    """Pages of the host www.<name>.org, of two hosts with rules, and others whose texts have a vocabulary of 4,000 words."""
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4000)]
     rows = [(i, f"http://{words[i % 50]}.net/art/{i}", "<p>" + " ".join([*words[i % 40 :: 40], "free casino bonus news daily"]) + "</p>") for i in range(400)]
+    rows += [(3000 + i, f"http://casino-bonus{'s' * (i % 2)}.biz/win/{i}", "<p>play</p>") for i in range(40)]
     return rows + [(1000 + i, f"http://www.{name}.org/win/{i}", f"<p>welcome to {name}</p>") for i in range(pages)]
 
 
+NAME_RULES = (("allow", "net", "/"), ("block", "biz", "/"))
+
+
 @pytest.mark.parametrize("pages", [5, 60])
 def test_a_name_with_many_pages_is_still_segmented(spark, pages):
-    df = spark.createDataFrame(pages_with_name("freecasinobonus", pages), "page_id long, url string, html string")
-    got = urls.judged(df, ()).collect()
-    assert {r["verdict"] for r in got if r["page_id"] >= 1000} == {"block"}
-    assert {r["verdict"] for r in got if r["page_id"] < 1000} == {"allow"}
+    """No word between punctuation is a word of the blocked hosts: only the segmented name tells."""
+    rows = pages_with_name("freecasinobonus", pages) + [(5000, "http://dailynews.org/art/1", "")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judged(spark.createDataFrame(rows, PAGES), NAME_RULES).collect()}
+    assert {v for i, v in got.items() if 1000 <= i < 3000} == {(None, "block")}
+    assert {v for i, v in got.items() if i < 1000} == {("net/", "allow")} and got[5000] == (None, "allow")
 
 
-def test_words_of_any_number_and_seeds_without_text(spark):
+def test_words_of_any_number_and_without_repetition(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     words = [a + b + c + d for a in letters for b in letters for c in letters[:10] for d in letters[:9]]
-    rows = [(i, f"http://h{i}.net/art/{i}", " ".join(words)) for i in range(6)] + [(9, "http://zzjhcasino.org/art/9", ""), (10, "http://zzjhwarez.org/art/8", "")]
-    got = {r["page_id"]: r["verdict"] for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), ()).collect()}
-    assert len(words) > 60_000 and got == {**dict.fromkeys(range(6), "allow"), 9: "block", 10: "block"}
+    rows = [(i, f"http://h{i}.net/art/{i}", " ".join(words) + " casino") for i in range(2)] + [(8, "http://zzjhcasino.org/art/9", ""), (9, "http://casino.biz/art/9", "")]
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(spark.createDataFrame(rows, PAGES), NAME_RULES).collect()}
+    assert len(words) > 60_000 and got == {0: "allow", 1: "allow", 8: "block", 9: "block"}
 
 
 def test_log_odds_equal_one_segmenter_and_model(spark):
-    rows = pages_with_name("freecasinobonus", 7) + [(2000, None, None), (2001, "x://Ads.h2.com/A1b22/33/\u00e9t\u00e9", ""), (2001, "x://Ads.h2.com/A1b22/33/\u00e9t\u00e9", "")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    seg = urls.Segmenter({r["word"]: r["n"] for r in urls.vocabulary(df, urls.SEEDS).collect()})
+    rows = pages_with_name("freecasinobonus", 7) + [(2000, None, None), (2001, "x://Ads.h2.com/A1b22/33/\u00e9t\u00e9", ""), (2001, "x://Ads.h2.com/A1b22/33/\u00e9t\u00e9", ""), (2002, "x://" + "casinonews" * 300 + ".org/", None)]
+    df = spark.createDataFrame(rows, PAGES)
+    seg = urls.Segmenter({r["word"]: r["n"] for r in urls.word_counts(df).collect()})
     cut = lambda s: [w for piece in re.findall(r"[^\W_]+", s.lower()) for w in seg.words(piece)]
-    got = urls.judged(df, ()).collect()
-    counts = {True: Counter(), False: Counter()}
+    got = urls.judged(df, NAME_RULES).collect()
+    counts = {"block": Counter(), "allow": Counter()}
+    of = lambda r: cut(r["host"].rpartition(".")[0]) + cut(r["path"])
     for r in got:
-        own = cut(r["host"].rpartition(".")[0])
-        counts[bool({*own, *re.findall(r"[^\W_]+", r["host"])} & {*urls.SEEDS})].update(own + cut(re.sub(r"\d+", "0", r["path"])))
-    words = {*counts[True], *counts[False]}
+        rule = rule_of(r["host"], r["path"], NAME_RULES)
+        assert (rule and rule[1] + rule[2]) == r["rule"]
+        if rule:
+            counts[rule[0]].update(of(r))
+    words = {*counts["block"], *counts["allow"]}
     total = {k: sum(c.values()) + len(words) + 1 for k, c in counts.items()}
-    ratio = {w: math.log((counts[True][w] + 1) / total[True] / ((counts[False][w] + 1) / total[False])) for w in words}
+    ratio = {w: math.log((counts["block"][w] + 1) / total["block"] / ((counts["allow"][w] + 1) / total["allow"])) for w in words}
     for r in got:
-        want = sum(ratio.get(w, 0.0) for w in cut(r["host"].rpartition(".")[0]) + cut(r["path"]))
+        want = sum(ratio.get(w, 0.0) for w in of(r))
         assert math.isclose(r["log_odds"], want, abs_tol=1e-9), r
     assert len(got) == len(rows)
+    only = urls.judged(df, NAME_RULES[1:]).collect()
+    assert {r["verdict"] for r in only if not r["rule"]} == {"allow"}
 
 
 def near_copies(rng):
@@ -158,9 +199,11 @@ def near_copies(rng):
     return texts + texts[:5] + ["", None, " \n", "one two", "One  two", "one two three"]
 
 
-@pytest.mark.parametrize("common", [16, 2])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, common):
+@pytest.mark.parametrize("common,block,columns", [(16, 1024, 2048), (2, 8, 16)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, common, block, columns):
     monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
     texts = near_copies(random.Random(common))
     got = {r["doc_id"]: r for r in jaccard.joined(docs_of(spark, texts).repartition(5)).collect()}
     want = brute.groups(texts)
@@ -181,6 +224,30 @@ def test_jaccard_edges(spark, monkeypatch):
     assert jaccard.deduplicated(docs_of(spark, [], rows[:2])).count() == 1
 
 
+def test_blocks_give_a_link_for_every_two_components(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 62), 1 << 62, 40)
+    sets = [np.unique(np.where(rng.random(40) < rng.choice([0.02, 0.1, 0.2]), rng.integers(-(1 << 62), 1 << 62, 40), base)) for _ in range(60)]
+    label = rng.integers(0, 25, 60)
+    for i, j, block in ((0, 1, np.arange(60) % 2), (3, 3, np.full(60, 3))):
+        t = pa.table({"i": [i] * 60, "j": [j] * 60, "block": block.astype("i4"), "node": np.arange(60), "n": [len(x) for x in sets], "label": label, "shared": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+        got = jaccard._block_links(t).to_pylist()
+        linked = lambda a, b: 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))
+        assert all(linked(r["a"], r["b"]) for r in got)
+        want = {(int(label[a]), int(label[b])) for a in range(60) for b in range(60) if block[a] == i and block[b] == j and linked(a, b)}
+        joined = [{int(c)} for c in set(label.tolist())]
+        for edges, out in ((want, []), ({(int(label[r["a"]]), int(label[r["b"]])) for r in got}, [])):
+            at = {c: c for c in set(label.tolist())}
+            for _ in at:
+                for a, b in edges:
+                    at[a] = at[b] = min(at[a], at[b])
+            joined.append(at)
+        assert joined[-1] == joined[-2]
+
+
 def test_shingles_equal_those_of_words():
     rng = random.Random(3)
     alphabet = ["a", "B", "b", "\u00e9", "\u4e2d", " ", "  ", "\t", "\n", "\u00a0"]
