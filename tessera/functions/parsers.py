@@ -132,18 +132,42 @@ MARKERS = r"<｜begin▁of▁sentence｜>|<\|begin_of_text\|>|<\|start_header_id
 PREFIXES = r"(?i)(?:查询|query)\s*[:：]\s*"
 
 
+#: Starts of lines that instruct, labels of a query, and what separates examples.
+INSTRUCTIONS = ("You are", "你是一个", "Example", "示例", "Topic:", "主题:", "Now,", "现在")
+LABEL = r"(?:Query|查询)"
+EXAMPLES = r"\n\n|\n(?:或者：|或者|再一个|一个例子|最后一个)"
+
+
+def labelled_query(text: str) -> str | None:
+    """The query of a long text: after a topic and a label, else after a label, else the last paragraph that does not instruct.
+
+    None if nothing tells, "" if a label is there without a query.
+    """
+    if block := re.search(r"Topic:.+?\n\s*Query[:：](.*?)(?:<|$)", text, re.S | re.I):
+        return re.sub(rf"^{LABEL}[:：]$", "", block[1].strip())
+    if label := re.search(f"{LABEL}[:：]", text):
+        return re.split(rf"\n\n|\n{LABEL}|\n或者", text[label.end() :].lstrip(), maxsplit=1)[0].strip()
+    paragraphs = [p.strip() for p in re.split(EXAMPLES, text)]
+    fits = [p for p in paragraphs if p and len(p) < 300 and "Topic:" not in p and not p.startswith(INSTRUCTIONS[:4])]
+    return fits[-1] if len(paragraphs) > 1 and fits else None
+
+
 def user_message(query: str | None) -> str:
-    """The user's text of a logged query; empty if what remains is a system text (over 500 characters, or ``You are``)."""
+    """The user's text of a logged query, without lines that instruct; empty if what remains is a system text (over 500
+    characters, or an instruction)."""
     text = query or ""
     for start, end in DIALECTS:
         if m := re.search(start, text):
             text = re.split(end, text[m.end() :], maxsplit=1)[0]
             break
-    text = re.sub(MARKERS, "", re.split(ENDS, text, maxsplit=1)[0])
-    if len(text) > 200 and (m := re.search(PREFIXES, text)):
-        text = text[m.end() :]
+    text = re.sub(MARKERS, "", re.split(ENDS, text, maxsplit=1)[0]).strip()
+    if len(text) > 200 and (found := labelled_query(text)) is not None:
+        text = found
     text = re.sub(r"\n{3,}", "\n\n", re.sub(PREFIXES, "", text)).strip()
-    return "" if len(text) > 500 or text.startswith("You are") else text
+    lines = [x.strip() for x in text.split("\n")]
+    asked = [x for x in lines if x and not x.startswith(INSTRUCTIONS)]
+    text = "\n".join(asked) if asked else text
+    return "" if len(text) > 500 or text.startswith(INSTRUCTIONS[:2]) else text
 
 
 @F.pandas_udf(T.StringType())

@@ -68,21 +68,14 @@ def cleaned(x: Column) -> Column:
 
 
 def refusal_fast(x: Column, patterns=REFUSAL_PATTERNS) -> Column:
-    """false for null, true for the sentinel or a known opening, else null (not decided)."""
-    text = cleaned(x)
-    opening = F.lit(False)
-    for p in patterns:
-        opening = opening | F.rlike(text, F.lit(f"(?i){p}"))
+    """false for null, true for the sentinel or a known opening, else null (not decided). The text is cleaned and searched once."""
+    opening = F.rlike(cleaned(x), F.lit(f"(?i)(?:{'|'.join(patterns)})")) if patterns else F.lit(False)
     return F.when(x.isNull(), False).when(F.startswith(x, F.lit(SENTINEL)) | opening, True)
 
 
 def refusal_legacy(x: Column, patterns=REFUSAL_PATTERNS) -> Column:
     """Any opening in what follows the last ``ssistant``."""
-    text = F.substring_index(x, "ssistant", -1)
-    out = F.lit(False)
-    for p in patterns:
-        out = out | F.rlike(text, F.lit(f"(?i){p}"))
-    return out
+    return F.rlike(F.substring_index(x, "ssistant", -1), F.lit(f"(?i)(?:{'|'.join(patterns)})")) if patterns else F.lit(False)
 
 
 def probe_text(x: Column) -> Column:

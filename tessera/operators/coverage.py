@@ -43,10 +43,12 @@ def keyed_coverage(truth: DataFrame, crawl: DataFrame) -> DataFrame:
 
 
 def report(coverage: DataFrame) -> DataFrame:
-    """category (null: all), covered, total, rate, missing (sorted)."""
+    """category (null: all), covered, total, rate, missing (sorted), matches (subtopic to topic; of equal subtopics one)."""
     missing = F.array_sort(F.collect_list(F.when(F.col("matched_topic").isNull(), F.col("subtopic"))))
-    rolled = coverage.rollup("category").agg(F.count("matched_topic").alias("covered"), F.count("*").alias("total"), missing.alias("missing"))
-    return rolled.select("category", "covered", "total", F.coalesce(F.col("covered") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("rate"), "missing")
+    pairs = F.array_sort(F.collect_list(F.when(F.col("matched_topic").isNotNull(), F.struct("subtopic", "matched_topic"))))
+    rolled = coverage.rollup("category").agg(F.count("matched_topic").alias("covered"), F.count("*").alias("total"), missing.alias("missing"), pairs.alias("pairs"))
+    firsts = F.filter("pairs", lambda p, i: (i == 0) | (p["subtopic"] != F.get(F.col("pairs"), i - 1)["subtopic"]))
+    return rolled.select("category", "covered", "total", F.coalesce(F.col("covered") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("rate"), "missing", F.map_from_entries(firsts).alias("matches"))
 
 
 def resolved(terms: DataFrame, reference: DataFrame) -> DataFrame:

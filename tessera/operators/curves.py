@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dedup import cumulated, dense_ids
+
 
 def _upto(order: str, *by: str):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -32,17 +34,18 @@ def precision_recall_as_coded(first_ids: DataFrame, n: int) -> DataFrame:
     spark = first_ids.sparkSession
     ids = first_ids.select(F.col("first_id").alias("k"), F.lit(1).alias("hit")).distinct()
     rows = spark.range(n).withColumnRenamed("id", "k").join(ids, "k", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    tp = F.sum("hit").over(_upto("k"))
-    total = F.sum("hit").over(Window.partitionBy())
-    return rows.select("k", F.when(F.col("k") == 0, 1.0).otherwise(tp / F.nullif(F.col("k"), F.lit(0))).alias("precision"), (tp / F.nullif(total, F.lit(0))).alias("recall"))
+    total = ids.where((F.col("k") >= 0) & (F.col("k") < n)).agg(F.count("*").alias("total"))
+    rows = cumulated(rows, "k", "hit", "tp").join(F.broadcast(total), F.lit(True))
+    tp = F.col("tp")
+    return rows.select("k", F.when(F.col("k") == 0, 1.0).otherwise(tp / F.nullif(F.col("k"), F.lit(0))).alias("precision"), (tp / F.nullif(F.col("total"), F.lit(0))).alias("recall"))
 
 
 def recall_curve(first_ids: DataFrame, steps: int, total: int) -> DataFrame:
     """step 1..steps, recall: the share of labels whose first_id is at most step (null: never found)."""
     found = first_ids.where("first_id is not null").groupBy(F.greatest(F.col("first_id"), F.lit(1)).alias("step")).agg(F.count("*").alias("n"))
     grid = first_ids.sparkSession.range(1, steps + 1).withColumnRenamed("id", "step")
-    rows = grid.join(found, "step", "left")
-    return rows.select("step", (F.coalesce(F.sum("n").over(_upto("step")), F.lit(0)) / F.lit(total)).alias("recall"))
+    rows = cumulated(grid.join(found, "step", "left"), "step", "n", "n_found")
+    return rows.select("step", (F.col("n_found") / F.lit(total)).alias("recall"))
 
 
 def precision_at(rows: DataFrame, order: str, hit: str, ks: tuple[int, ...] = (10, 100, 1000), *, clip: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -55,7 +58,7 @@ def precision_at(rows: DataFrame, order: str, hit: str, ks: tuple[int, ...] = (1
 
 def discovery(first_ids: DataFrame, max_steps: int | None = None) -> DataFrame:
     """first_id, n_found before it; with max_steps a last point that carries the total on."""
-    rows = first_ids.where("first_id is not null").select("first_id", (F.row_number().over(Window.orderBy("first_id")) - 1).cast("long").alias("n_found"))
+    rows = dense_ids(first_ids.where("first_id is not null").select("first_id"), "first_id").select("first_id", F.col("id").cast("long").alias("n_found"))
     if max_steps is None:
         return rows
     return rows.unionByName(first_ids.agg(F.lit(max_steps).cast("long").alias("first_id"), F.count("first_id").alias("n_found")))

@@ -42,8 +42,7 @@ def assigned_clusters(deduped: DataFrame, n_clusters: int, pos: str = "pos", as_
     as_coded gives all new heads of the batch the index after the last known cluster.
     """
     heads = deduped.where("is_head").select(F.col("key").alias("head_key"), F.col(pos).alias("head_pos"))
-    new = F.lit(n_clusters) if as_coded else F.lit(n_clusters) + F.row_number().over(Window.orderBy("head_pos")) - 1
-    numbered = heads.withColumn("new_cluster", new.cast("int"))
+    numbered = heads.withColumn("new_cluster", F.lit(n_clusters)) if as_coded else dense_ids(heads, "head_pos", n_clusters).withColumn("new_cluster", F.col("id").cast("int")).drop("id")
     named = numbered.where("head_key <> ''").select("head_key", F.col("new_cluster").alias("by_key"))
     blank = numbered.where("head_key = ''").select("head_pos", F.col("new_cluster").alias("by_pos"))
     out = deduped.join(named, deduped["key"] == named["head_key"], "left").join(blank, deduped[pos] == blank["head_pos"], "left")
@@ -62,6 +61,15 @@ def dense_ids(rows: DataFrame, order: str, offset: int = 0) -> DataFrame:
     return within.join(F.broadcast(before), "__part").withColumn("id", F.lit(offset) + F.col("__before") + F.col("__n") - 1).drop("__part", "__n", "__before")
 
 
+def cumulated(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with name: the sum of value up to each row in order, by range partitions and their totals as in dense_ids."""
+    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    upto = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = parts.groupBy("__part").agg(F.sum(value).alias("__total"))
+    before = totals.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return parts.withColumn(name, upto).join(F.broadcast(before), "__part").withColumn(name, F.coalesce(name, F.lit(0)) + F.col("__before")).drop("__part", "__before")
+
+
 def first_occurrence(rows: DataFrame, key: str, pos: str) -> DataFrame:
     """The row with the least pos of each key; an aggregate, so partial results combine before the shuffle."""
     picked = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), pos).alias("r"))

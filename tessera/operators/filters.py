@@ -55,5 +55,15 @@ def by_language(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(has_han(F.col(text))), rows.where(~has_han(F.col(text)))
 
 
+def uses_seeds(has_template: Column, n_seeds: Column, wanted: Column, has_broad: Column) -> Column:
+    """Whether a seeded template applies: there is one and a seed for it, and it is wanted or there is no broad one to use instead."""
+    return F.coalesce(has_template, F.lit(False)) & (F.coalesce(n_seeds, F.lit(0)) > 0) & (F.coalesce(wanted, F.lit(False)) | ~F.coalesce(has_broad, F.lit(False)))
+
+
+def samples(items: Column, n: int = 3) -> Column:
+    """The first n of a list."""
+    return F.slice(items, 1, n)
+
+
 def stage(step: Column, warmup: int) -> Column:
     return F.when(step < warmup, "warmup").otherwise("seeded")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import by_value
+from .dedup import dense_ids
 
 
 def win_counts(topics: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -22,7 +23,10 @@ def win_counts(topics: DataFrame, comparisons: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, score: str, pos: str, *by: str, base: int = 0) -> DataFrame:
-    """rows with rank_idx: by descending score, ties in order of pos."""
+    """rows with rank_idx: by descending score, ties in order of pos. Without by, ranks come from range partitions."""
+    if not by:
+        placed = dense_ids(rows.withColumn("__o", F.struct((-F.col(score)).alias("s"), F.col(pos).alias("p"))), "__o", base)
+        return placed.withColumn("rank_idx", F.col("id").cast("int")).drop("__o", "id")
     return rows.withColumn("rank_idx", (F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), pos)) - 1 + base).cast("int"))
 
 
@@ -35,6 +39,17 @@ def paired(topics: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
     return pairs.where("n = 2").select("round", "pair", "a", "b")
 
 
+def random_pairs(topics: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """i, a, b: n pairs of different topics (topic, pos from 0, dense), drawn with replacement by hashes; none for fewer than two topics."""
+    size = topics.agg(F.count("*").alias("n_topics"))
+    draw = lambda name, below: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(name), F.col("i"))), 1, 12), 16, 10).cast("long") % below
+    slots = topics.sparkSession.range(n).withColumnRenamed("id", "i").join(F.broadcast(size), F.lit(True)).where("n_topics > 1")
+    first = slots.select("i", "n_topics", draw("a", F.col("n_topics")).alias("pa"))
+    both = first.select("i", "pa", ((F.col("pa") + 1 + draw("b", F.col("n_topics") - 1)) % F.col("n_topics")).alias("pb"))
+    at = lambda c: topics.select(F.col("pos").alias(f"p{c}"), F.col("topic").alias(c))
+    return both.join(at("a"), "pa").join(at("b"), "pb").select("i", "a", "b")
+
+
 class RatingSystem:
     """An ordered aggregate over comparisons; extend it for a system of your own."""
 
@@ -142,7 +157,7 @@ def kendall(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
 
 def average_ranks(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """rows with avg_rank: ascending, ties share the mean of their places."""
-    places = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
+    places = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(value))) if by else dense_ids(rows, value, 1).withColumnRenamed("id", "place")
     return places.withColumn("avg_rank", F.avg("place").over(Window.partitionBy(*by, value))).drop("place")
 
 

@@ -15,18 +15,32 @@ def cascade(answers: DataFrame, classifier: DataFrame, judge: DataFrame, sure: f
     """id, is_refusal, stage of answers (id, query, answer): known openings, then classifier, then judge.
 
     classifier: id, label (rejection or normal), score. A sure rejection is final, and so is a sure normal if there is no
-    query for the judge. judge: id, verdict (a text; yes means refusal). Each stage sees only what the one before
-    left open, as staged filters, so that an expensive provider behind classifier or judge gets no more rows.
+    query for the judge. judge: id, verdict (a text; yes means refusal). One pass over answers: a stage's key is null for
+    rows that an earlier stage has settled, so they match nothing.
     """
-    first = answers.withColumn("fast", refusal_fast(F.col("answer"), patterns))
-    done = first.where("fast is not null").select("id", F.col("fast").alias("is_refusal"), F.lit("pattern").alias("stage"))
-    open_ = first.where("fast is null").select("id", "query").join(classifier, "id", "left")
-    rejected = (F.col("score") >= sure) & (F.col("label") == "rejection")
-    normal = (F.col("score") >= sure) & (F.col("label") == "normal") & (F.coalesce("query", F.lit("")) == "")
-    final = open_.where(F.coalesce(rejected | normal, F.lit(False))).select("id", rejected.alias("is_refusal"), F.lit("classifier").alias("stage"))
-    rest = open_.where(~F.coalesce(rejected | normal, F.lit(False))).select("id").join(judge, "id", "left")
-    judged = rest.select("id", says_yes(F.col("verdict")).alias("is_refusal"), F.lit("judge").alias("stage"))
-    return done.unionByName(final).unionByName(judged)
+    first = answers.select("id", (F.coalesce("query", F.lit("")) == "").alias("blank"), refusal_fast(F.col("answer"), patterns).alias("fast"))
+    found = first.join(classifier.select(F.col("id").alias("c_id"), "label", "score"), F.when(F.col("fast").isNull(), F.col("id")) == F.col("c_id"), "left")
+    sure_of = lambda name: F.coalesce((F.col("score") >= sure) & (F.col("label") == name), F.lit(False))
+    staged = found.select("id", "fast", sure_of("rejection").alias("rejected"), (sure_of("rejection") | (sure_of("normal") & F.col("blank"))).alias("final"))
+    open_ = F.when(F.col("fast").isNull() & ~F.col("final"), F.col("id"))
+    judged = staged.join(judge.select(F.col("id").alias("j_id"), "verdict"), open_ == F.col("j_id"), "left")
+    stage = F.when(F.col("fast").isNotNull(), "pattern").when(F.col("final"), "classifier").otherwise("judge")
+    return judged.select("id", F.coalesce("fast", F.when(F.col("final"), F.col("rejected")), says_yes(F.col("verdict"))).alias("is_refusal"), stage.alias("stage"))
+
+
+def self_refused(rows: DataFrame, probe: DataFrame, *, patterns=REFUSAL_PATTERNS, threshold: float = THRESHOLD) -> DataFrame:
+    """id, is_refusal, judge_refused of topics by the vote on their probes' own refusals, with a default probe to fall back on.
+
+    rows: id, query, response. A query that is itself a refusal says that its writer declined to probe: it does not vote, and
+    a topic whose share of such queries is over the threshold takes the answer to the default probe (probe: id,
+    response) in place of the vote, as does a topic without other queries; judge_refused marks both.
+    """
+    own = F.coalesce(refusal_fast(F.col("query"), patterns), F.lit(False))
+    answer = F.coalesce(refusal_fast(F.col("response"), patterns), F.lit(False)).cast("int")
+    votes = rows.groupBy("id").agg(F.avg(own.cast("int")).alias("declined"), F.avg(F.when(~own, answer)).alias("share"))
+    fallback = (F.col("declined") > threshold) | F.col("share").isNull()
+    asked = votes.join(probe.select("id", F.coalesce(refusal_fast(F.col("response"), patterns), F.lit(False)).alias("default")), "id", "left")
+    return asked.select("id", F.when(fallback, F.coalesce("default", F.lit(False))).otherwise(F.col("share") > threshold).alias("is_refusal"), fallback.alias("judge_refused"))
 
 
 def probes(topics: DataFrame) -> DataFrame:

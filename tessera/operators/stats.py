@@ -25,6 +25,18 @@ def crawl_metrics(steps: DataFrame) -> DataFrame:
     return steps.agg(total.alias("total_all"), F.coalesce(F.sum("n_deduped"), F.lit(0)).alias("total_deduped"), refused.alias("total_refusals"), (refused / (total + EPS)).alias("avg_refusal_rate"), F.count("*").alias("n_steps"))
 
 
+def step_averages(steps: DataFrame, *by: str) -> DataFrame:
+    """by, n_steps, topics_per_step and refusal_rate of a log's steps (n_all, n_refused)."""
+    out = steps.groupBy(*by).agg(F.count("*").alias("n_steps"), F.sum("n_all").alias("n"), F.sum("n_refused").alias("r"))
+    return out.select(*by, "n_steps", (F.col("n") / F.col("n_steps")).alias("topics_per_step"), (F.col("r") / (F.col("n") + EPS)).alias("refusal_rate"))
+
+
+def column_sums(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """column, total, n: sums and numbers of the values of a pivoted table's columns."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    return wide.select(F.explode(each).alias("e")).groupBy("e.column").agg(F.sum("e.value").alias("total"), F.count("e.value").alias("n"))
+
+
 def refusal_rollup(rows: DataFrame, *levels: str) -> DataFrame:
     """Prompts (distinct), generations, refusals and rate at each level, null standing for all. rows: levels, prompt, refused."""
     out = rows.rollup(*levels).agg(F.count_distinct("prompt").alias("total_prompts"), F.count("*").alias("total_generations"), F.count_if("refused").alias("total_refusals"))

@@ -6,41 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.keys import trim_key
 from ..functions.parsers import parse_clustering
 from ..functions.text import listed_queries, numbered, pairwise_winner, refusal_fast, similarity
 from ..operators.coverage import resolved
+from ..operators.curves import precision_at, recall_curve, roc
 from ..operators.dedup import chunked
+from ..operators.matching import first_match, match_summary, matched_clusters
 from ..operators.ranking import RatingSystem, folded, paired
 from ..operators.refusal import vote
 from ..operators.sampling import repeated
 from ..operators.stats import pool_recall, untested
+from ..sources.writers import cached
 from .loops import round_table
-from .providers import Provider, chat, requests
+from .providers import Provider, chat, requests, with_request_id
 
 #: Neutral texts; a project supplies its own.
 MATCH_PROMPT = "Which of the topics mean the same as {}? Mark each as \\topic{{}} and answer \\boxed{{y}} or \\boxed{{n}}.\n"
 
 
-def judged_matches(truth: DataFrame, topics: DataFrame, provider: Provider, *, size: int = 50, model: str = "judge") -> DataFrame:
-    """gt, flag, matched: the topics of each chunk that the judge names for a label, chunks put together.
+def judged_matches(truth: DataFrame, topics: DataFrame, provider: Provider, *, size: int = 50, model: str = "judge", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, gt, flag, matched: the topics of each chunk that the judge names for a label, chunks put together.
 
-    truth: gt; topics: topic, pos. A request is a label and a chunk; chunks have a bounded number of topics.
+    truth: gt; topics: topic, pos and the columns of by, inside whose values chunks are cut. A request is a label and a
+    chunk, of a bounded number of topics; every label meets every chunk, since each such pair is a question to the judge.
     """
-    lists = chunked(topics.select("topic", "pos"), "pos", size).groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "topic"))), lambda x: x["topic"]).alias("items"))
+    lists = chunked(topics.select("topic", "pos", *by), "pos", size, *by).groupBy(*by, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "topic"))), lambda x: x["topic"]).alias("items"))
     lists = round_table(lists, "chunks")
-    asked = truth.select("gt").join(F.broadcast(lists), F.lit(True))
+    asked = lists.crossJoin(truth.select("gt"))
     prompt = F.concat(F.replace(F.lit(MATCH_PROMPT.replace("{{}}", "{x}").replace("{{y}}", "{y}").replace("{{n}}", "{n}")), F.lit("{}"), F.col("gt")), numbered(F.col("items"), "dash"))
     answers = provider.answer(requests(asked, "match", model, chat(None, prompt))).withColumn("s", similarity(F.col("text")))
-    return answers.groupBy("gt").agg(F.bool_or("s.flag").alias("flag"), F.array_distinct(F.flatten(F.collect_list("s.topics"))).alias("matched"))
+    return answers.groupBy(*by, "gt").agg(F.bool_or("s.flag").alias("flag"), F.array_distinct(F.flatten(F.collect_list("s.topics"))).alias("matched"))
 
 
-def judged_terms(terms: DataFrame, reference: DataFrame, provider: Provider, model: str = "judge") -> DataFrame:
-    """id, term, match, resolved: the judge's JSON answer {match, matched_term}, the term in the reference's spelling."""
-    items = reference.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("items"))
-    asked = provider.answer(requests(terms.join(F.broadcast(items), F.lit(True)), "contain", model, chat(None, F.concat(F.col("term"), F.lit("\n"), numbered(F.col("items"))))))
+def judged_terms(terms: DataFrame, reference: DataFrame, provider: Provider, model: str = "judge", size: int = 200) -> DataFrame:
+    """id, term, match, resolved: the judge's JSON answer {match, matched_term}, the term in the reference's spelling.
+
+    The reference goes to the judge in chunks; of several chunks with a match the first counts.
+    """
+    lists = round_table(chunked(reference.select("term", "pos"), "pos", size).groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("items")), "chunks")
+    asked = provider.answer(requests(terms.crossJoin(lists), "contain", model, chat(None, F.concat(F.col("term"), F.lit("\n"), numbered(F.col("items"))))))
     parsed = F.from_json("text", "struct<match:boolean,matched_term:string>")
-    rows = asked.select("id", F.col("term").alias("asked"), F.coalesce(parsed["match"], F.lit(False)).alias("match"), parsed["matched_term"].alias("term"))
+    each = asked.select("id", F.col("term").alias("asked"), "chunk", F.coalesce(parsed["match"], F.lit(False)).alias("match"), parsed["matched_term"].alias("term"))
+    rows = each.groupBy("id", "asked").agg(F.bool_or("match").alias("match"), F.min_by("term", F.when(F.col("match"), F.col("chunk"))).alias("term"))
     found = resolved(rows.select("id", "term"), reference)
     return rows.drop("term").join(found.select("id", "resolved"), "id").select("id", F.col("asked").alias("term"), "match", F.when(F.col("match"), F.col("resolved")).alias("resolved"))
 
@@ -57,9 +67,14 @@ def ranking_experiment(topics: DataFrame, provider: Provider, name: str, make: C
 
 
 def generated_queries(clusters: DataFrame, provider: Provider, *, n: int, model: str = "writer") -> DataFrame:
-    """cluster, pos, query: n queries at most for each cluster."""
+    """cluster, pos, query: n queries at most for each cluster. Where a list has fewer, the rest is asked for one by one."""
     asked = provider.answer(requests(clusters, "queries", model, chat(None, F.concat(F.lit("Write queries about "), F.col("cluster")))))
-    return asked.select("cluster", F.posexplode(listed_queries(F.col("text"), n)).alias("pos", "query"))
+    listed = round_table(asked.select("cluster", F.coalesce(listed_queries(F.col("text"), n), F.array().cast("array<string>")).alias("q")), "queries")
+    rest = listed.where(F.size("q") < n).select("cluster", F.size("q").alias("have"), F.explode(F.sequence(F.size("q"), F.lit(n - 1))).alias("i"))
+    prompt = F.concat(F.lit("Write query "), F.col("i").cast("string"), F.lit(" about "), F.col("cluster"))
+    more = provider.answer(requests(rest, "query", model, chat(None, prompt))).select("cluster", "have", "i", F.trim("text").alias("query")).where(F.length("query") > 10)
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("i")) - 1 + F.col("have")
+    return listed.select("cluster", F.posexplode("q").alias("pos", "query")).unionByName(more.select("cluster", place.alias("pos"), "query"))
 
 
 def refusal_benchmark(bench: DataFrame, provider: Provider, *, times: int, model: str, temperature: float = 0.6) -> DataFrame:
@@ -77,13 +92,30 @@ def pool_recall_of(pool: DataFrame, discovered: DataFrame, bench: DataFrame, pro
     return pool_recall(pool, discovered, refused).withColumn("model", F.lit(model))
 
 
-def clustered_in_batches(topics: DataFrame, provider: Provider, *, size: int, model: str = "clusterer") -> DataFrame:
+def clustering_answers(groups: DataFrame, provider: Provider, model: str = "clusterer", retries: int = 3) -> DataFrame:
+    """chunk, clusters (map) of groups (chunk, items): asked again, up to retries times, while an answer does not name each item once.
+
+    The last answer counts where none is valid; what it leaves out becomes clusters of one.
+    """
+    open_, done = round_table(groups.select("chunk", "items"), "groups"), None
+    for attempt in range(retries + 1):
+        asked = with_request_id(requests(open_, "cluster", model, chat(None, numbered(F.col("items"), "bracket"))).withColumn("sample_idx", F.lit(attempt)))
+        got = round_table(provider.answer(asked).select("chunk", "items", parse_clustering("text", "items").alias("p")), "answers")
+        good = got.where("p.valid") if attempt < retries else got
+        rows = good.select("chunk", F.col("p.clusters").alias("clusters"))
+        done = rows if done is None else done.unionByName(rows)
+        open_ = got.where("not p.valid").select("chunk", "items")
+        if attempt == retries or not open_.limit(1).count():
+            return done
+
+
+def clustered_in_batches(topics: DataFrame, provider: Provider, *, size: int, model: str = "clusterer", retries: int = 3) -> DataFrame:
     """topic, cluster: batches are clustered, then their names once more; members of equal names of two batches stay together."""
 
     def step(rows: DataFrame) -> DataFrame:
         groups = chunked(rows, "pos", size).groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "topic"))), lambda x: x["topic"]).alias("items"))
-        asked = provider.answer(requests(groups, "cluster", model, chat(None, numbered(F.col("items"), "bracket"))))
-        return asked.select(F.explode(parse_clustering("text", "items")["clusters"]).alias("cluster", "m")).select("cluster", F.explode("m").alias("topic")).distinct()
+        found = clustering_answers(groups, provider, model, retries)
+        return found.select(F.explode("clusters").alias("cluster", "m")).select("cluster", F.explode("m").alias("topic")).distinct()
 
     first = round_table(step(topics.select("topic", "pos")), "clusters")
     names = first.select(F.col("cluster").alias("topic")).distinct().withColumn("pos", F.col("topic"))
@@ -111,3 +143,42 @@ def merged_heads(heads: DataFrame, provider: Provider, *, size: int, model: str
         step = found.join(lead, "name").where("not old").select("topic", "head", "o")
         known = round_table(known.unionByName(step), "known")
     return known.select("topic", "head")
+
+
+def model_analysis(topics: DataFrame, truth: DataFrame, provider: Provider, *, size: int = 50, model: str = "judge") -> DataFrame:
+    """model, run (null: the union of its runs), n_topics, n_found, n_labels, recall, first_id of each model's crawls.
+
+    topics: model, run, topic, pos. A model's runs are put together, one topic for each key, and judged once; a run has found a
+    label if one of its topics has the key of a match.
+    """
+    keyed = topics.withColumn("k", trim_key(F.col("topic"))).where("k <> ''")
+    pooled = round_table(keyed.groupBy("model", "k").agg(F.min_by("topic", F.struct("pos", "run")).alias("topic")), "pooled")
+    listed = pooled.select(F.col("model").alias("of_model"), "topic", F.col("topic").alias("pos"))
+    asked = judged_matches(truth, listed, provider, size=size, model=model, by=("of_model",)).withColumnRenamed("of_model", "model")
+    hits = round_table(asked.select("model", "gt", F.explode("matched").alias("topic")).select("model", "gt", trim_key(F.col("topic")).alias("k")).distinct(), "hits")
+    found = keyed.join(hits, ["model", "k"], "left")
+    out = found.rollup("model", "run").agg(F.count_distinct("k").alias("n_topics"), F.count_distinct("gt").alias("n_found"), F.min(F.when(F.col("gt").isNotNull(), F.col("pos"))).alias("first_id"), F.grouping("model").alias("g"))
+    n = truth.select("gt").distinct().agg(F.count("*").alias("n_labels"))
+    shares = out.where("g = 0").join(F.broadcast(n), F.lit(True))
+    return shares.select("model", "run", "n_topics", "n_found", "n_labels", F.coalesce(F.col("n_found") / F.nullif(F.col("n_labels"), F.lit(0)), F.lit(0.0)).alias("recall"), "first_id")
+
+
+#: What evaluate() computes, by mode: a function of the tables and of the settings that it names.
+MODES: dict[str, Callable[..., DataFrame]] = {
+    "match": lambda t, **s: judged_matches(t["truth"], t["topics"], **s),
+    "clusters": lambda t, **s: matched_clusters(t["clusters"], t["answers"], **s),
+    "first": lambda t, **s: first_match(t["clusters"], t["answers"]),
+    "recall": lambda t, **s: recall_curve(first_match(t["clusters"], t["answers"]).select("first_id"), **s),
+    "precision": lambda t, **s: precision_at(t["ranked"], "rank", "is_match", **s),
+    "roc": lambda t, **s: roc(t["ranked"], "rank", "is_match", **s),
+    "summary": lambda t, **s: match_summary(t["clusters"], t["truth"]),
+    "rank": lambda t, **s: ranking_experiment(t["topics"], **s),
+    "benchmark": lambda t, **s: refusal_benchmark(t["benchmark"], **s),
+    "pool": lambda t, **s: pool_recall_of(t["pool"], t["discovered"], t["benchmark"], **s),
+    "models": lambda t, **s: model_analysis(t["topics"], t["truth"], **s),
+}
+
+
+def evaluate(tables: dict[str, DataFrame], modes: dict[str, dict], path: str) -> dict[str, DataFrame]:
+    """The results of several modes, each written below path and kept: a mode whose table is there is not computed again."""
+    return {mode: cached(next(iter(tables.values())).sparkSession, f"{path}/{mode}", lambda: MODES[mode](tables, **settings)) for mode, settings in modes.items()}

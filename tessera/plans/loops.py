@@ -3,6 +3,8 @@ executor repeats a round at most."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -21,16 +23,22 @@ from ..operators.sampling import drawn
 from .providers import Provider, chat, requests
 
 
-def round_table(df: DataFrame, label: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back; without that setting, on one machine, below a folder of its own."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; without that setting, on one machine, one of our own that goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
+    return folder.rstrip("/")
+
+
+def round_table(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -117,8 +125,23 @@ def formatted(generations: DataFrame, provider: Provider, model: str = "formatte
     return split_rows(short.unionByName(long)).where("summary is not null")
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider: Provider, *, steps: int, batch: int, warmup: int, max_topics: int, n_probes: int = 3, threshold: float = 0.25, seed: int = 0, model: str = "target") -> tuple[DataFrame, DataFrame]:
-    """(topics, steps) of a crawl. seeds: topic; templates: item (with {}), pos.
+def resumed(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The topics that a crawl has kept at path, or None. A step that was not written whole has no success mark and is left out."""
+    if not path:
+        return None
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    steps = []
+    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/after={len(steps)}/_SUCCESS")):
+        steps.append(f"{path}/after={len(steps)}")
+    return spark.read.parquet(*steps) if steps else None
+
+
+def crawl(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider: Provider, *, steps: int, batch: int, warmup: int, max_topics: int, n_probes: int = 3, threshold: float = 0.25, seed: int = 0, model: str = "target", state_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(topics, steps) of a crawl. seeds: topic; templates: item (with {}), pos, and where it has one, lang (a template without lang serves all).
+
+    With state_path each step's topics are kept there as a folder of their own, and a crawl that finds some goes on after the
+    last of them. Where templates have languages, steps take turns among these in order of their names.
 
     A step draws prompts (no topic in the first `warmup` steps, else a refused head), generates, formats, deduplicates against all
     heads, probes new heads, and appends. It stops when there are more than max_topics heads.
@@ -127,9 +150,22 @@ def crawl(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider:
     columns = ["id", "parent_id", "raw", "english", "shortened", "summary", "is_chinese", "is_head", "is_refusal", "cluster_idx", "step"]
     state = first.select("id", F.lit(-5).cast("long").alias("parent_id"), "raw", F.col("raw").alias("english"), plain_words(F.col("raw")).alias("shortened"), F.col("raw").alias("summary"), has_han(F.col("raw")).alias("is_chinese"), F.lit(True).alias("is_head"), F.lit(True).alias("is_refusal"), F.col("id").cast("int").alias("cluster_idx"), F.lit(-1).alias("step"))
     state = round_table(state.select(*columns), "topics")
-    for step in range(steps):
+    begun = resumed(spark, state_path)
+    if begun is not None:
+        state = round_table(begun.select(*columns), "topics")
+    elif state_path:
+        state.write.parquet(f"{state_path}/after=0")
+    langs = sorted(r[0] for r in templates.select("lang").where("lang is not null").distinct().collect()) if "lang" in templates.columns else []
+    done = state.agg(F.max("step")).head()[0]
+    for step in range((-1 if done is None else done) + 1, steps):
+        if step and state.where("is_head").count() > max_topics:
+            break
         slots = spark.range(batch).select(F.lit(step).alias("step"), F.col("id").alias("i"))
-        slots = drawn(slots, templates, seed, "template")
+        usable = templates.select("item", "pos")
+        if langs:
+            own = templates.where(F.col("lang").isNull() | (F.col("lang") == langs[step % len(langs)]))
+            usable = dense_ids(own.select("item", F.col("pos").alias("o")), "o").select("item", F.col("id").alias("pos"))
+        slots = drawn(slots, usable, seed, "template")
         if step >= warmup:
             heads = dense_ids(state.where("is_head and is_refusal").select("id", "raw").withColumnsRenamed({"id": "parent_id"}), "parent_id").select(F.struct("parent_id", "raw").alias("item"), F.col("id").alias("pos"))
             slots = drawn(slots, heads, seed, "parent")
@@ -150,21 +186,18 @@ def crawl(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider:
         votes = vote(answered.select("id", F.coalesce(refusal_fast(F.col("text")), F.lit(False)).alias("refused")), "id", threshold=threshold).select("id", "is_refusal")
         new = marked.join(votes, "id", "left").withColumns({"step": F.lit(step), "cluster_idx": F.col("cluster_idx").cast("int")})
         state = round_table(state.unionByName(new.select(*columns)), "topics")
-        if state.where("is_head").count() > max_topics:
-            break
+        if state_path:
+            state.where(F.col("step") == step).write.mode("overwrite").parquet(f"{state_path}/after={step + 1}")
     from ..operators.stats import step_counts
 
     return state, step_counts(state.where("step >= 0"), "step")
 
 
-def cluster_recursively(topics: DataFrame, provider: Provider, *, size: int, model: str = "clusterer", most_rounds: int = 20) -> DataFrame:
+def cluster_recursively(topics: DataFrame, provider: Provider, *, size: int, model: str = "clusterer") -> DataFrame:
     """topic, head, path: topics merged in full batches until a round merges nothing; the rest of a round is carried over."""
     paths = round_table(topics.select("topic", F.col("topic").alias("head"), F.array("topic").alias("path")), "paths")
     front = round_table(topics.select("topic", "pos"), "front")
-    for _ in range(most_rounds):
-        n = front.count()
-        if n < size:
-            break
+    while (n := front.count()) >= size:
         batches = chunked(front, "pos", size)
         full = batches.where(F.col("chunk") < n // size)
         groups = full.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "topic"))), lambda x: x["topic"]).alias("items"))

@@ -87,9 +87,25 @@ class FunctionProvider(Provider):
         return requests.join(answers, "request_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def classified(rows: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> DataFrame:
+    """id, label, score of rows (id, text) by a classifier on the workers: load() gives it, once for each Python worker's task,
+    and it takes a batch of texts. A null text is not classified (null label and score)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classify = load()
+        for pdf in batches:
+            known = pdf["text"].notna()
+            found = iter(classify(pdf.loc[known, "text"].tolist()))
+            both = [next(found) if k else (None, None) for k in known]
+            yield pd.DataFrame({"id": pdf["id"], "label": [b[0] for b in both], "score": [b[1] for b in both]})
+
+    return rows.select("id", F.col(text).alias("text")).mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, label string, score double")
+
+
 def chat(system: Column | None, user: Column) -> Column:
     """messages of an optional system text and a user text."""
-    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    # Names given as literals: an alias is lost where the text holds a lambda.
+    message = lambda role, text: F.named_struct(F.lit("role"), F.lit(role), F.lit("content"), text)
     return F.array(*([message("system", system)] if system is not None else []), message("user", user))
 
 

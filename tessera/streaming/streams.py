@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,6 +42,24 @@ def append_table(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def feedback(stream: DataFrame, path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str):
+    """A loop whose state grows without end: step(batch, known) gives the rows that a micro-batch adds to the table at path.
+
+    known is the table before the batch (None at first). A batch that is repeated after a failure sees the rows of earlier
+    batches only, and overwrites its own.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+        known = spark.read.parquet(path).where(F.col("epoch") < epoch).drop("epoch") if there else None
+        rows = step(batch, known).withColumn("epoch", F.lit(epoch))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+
+
 class CurrentLabel(StatefulProcessor):
     """Keeps the label with the largest seq of each topic."""
 
