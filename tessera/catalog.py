@@ -328,7 +328,7 @@ def coverage_report(spark, d):
     p = table(spark, d, "part")
     truth = p.select(F.col("p_brand").alias("category"), F.col("p_name").alias("subtopic"))
     crawl = p.where("p_size < 25").select(F.concat(F.lit(" "), F.upper("p_name")).alias("topic"), F.col("p_partkey").alias("pos"))
-    return coverage.report(coverage.keyed_coverage(truth, crawl)).withColumn("missing", F.sha2(F.array_join("missing", "|"), 256))
+    return coverage.report(coverage.keyed_coverage(truth, crawl)).withColumn("missing", F.sha2(F.array_join("missing", "|"), 256)).drop("matches")
 
 
 @query("""SELECT s_suppkey AS id, lower(s_name) AS term, CASE WHEN s_acctbal > 0 THEN s_name END AS resolved FROM supplier""")
@@ -634,20 +634,20 @@ def trueskill(spark, d):
     return ranking.folded(games(spark, d), players(spark, d), "trueskill", ranking.TrueSkill, every=1000)
 
 
-HISTORY = """hist AS (SELECT 'e' AS system, event_type AS run, day(ts) AS snapshot, user_id % 20 AS topic, round(sum(value), 6) AS rating FROM events GROUP BY ALL),
+HISTORY = """hist AS (SELECT 'e' AS system, event_type AS run, day(ts) AS snapshot, user_id % 20 AS topic, sum(round(value * 1000000)::BIGINT)::BIGINT AS rating FROM events GROUP BY ALL),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY run, snapshot ORDER BY rating DESC, topic) AS rank FROM hist)"""
 
 
 def history(spark, d):
     e = table(spark, d, "events")
-    h = e.groupBy(F.lit("e").alias("system"), F.col("event_type").alias("run"), F.day("ts").alias("snapshot"), (F.col("user_id") % 20).alias("topic")).agg(F.round(F.sum("value"), 6).alias("rating"))
+    h = e.groupBy(F.lit("e").alias("system"), F.col("event_type").alias("run"), F.day("ts").alias("snapshot"), (F.col("user_id") % 20).alias("topic")).agg(F.sum(F.round(F.col("value") * 1000000).cast("long")).alias("rating"))  # millionths
     return ranking.ranked(h, "rating", "topic", "run", "snapshot", base=1).withColumnRenamed("rank_idx", "rank").withColumn("sigma", F.lit(1.0))
 
 
 @query(f"""WITH {HISTORY}, c AS (SELECT *, coalesce(rank <> lag(rank) OVER (PARTITION BY run, topic ORDER BY snapshot), false) AS changed FROM ranks)
-SELECT system, run, snapshot::INT AS snapshot, round(avg(rating), 4) AS mean_rating, 1.0::DOUBLE AS mean_sigma, round(stddev_pop(rank), 9) AS rank_std, count(*) FILTER (changed) AS n_changed FROM c GROUP BY ALL""")
+SELECT system, run, snapshot::INT AS snapshot, floor(avg(rating))::BIGINT AS mean_rating, 1.0::DOUBLE AS mean_sigma, round(stddev_pop(rank), 9) AS rank_std, count(*) FILTER (changed) AS n_changed FROM c GROUP BY ALL""")
 def convergence(spark, d):
-    return ranking.convergence(history(spark, d)).withColumns({"mean_rating": F.round("mean_rating", 4), "rank_std": F.round("rank_std", 9)})
+    return ranking.convergence(history(spark, d)).withColumns({"mean_rating": F.floor("mean_rating"), "rank_std": F.round("rank_std", 9)})
 
 
 @query(f"""WITH {HISTORY}, p AS (SELECT a.run AS run_a, b.run AS run_b, sign(a.rank - a2.rank) * sign(b.rank - b2.rank) AS s, abs(sign(a.rank - a2.rank)) AS x, abs(sign(b.rank - b2.rank)) AS y
@@ -814,3 +814,6 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 def event_sessions(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").cast("timestamp_ntz").alias("started"), F.count("*").alias("n")).select("user_id", "started", "n")
+
+
+from . import catalog_rows  # noqa: E402, F401  (registers its queries here)
