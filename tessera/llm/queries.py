@@ -189,5 +189,22 @@ WITH docs AS (
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked JOIN docs USING (rid) GROUP BY rid
+""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0
+), sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), common AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached(x, y) AS (
+  SELECT rid, rid FROM sizes UNION SELECT r.x, b.y FROM reached r JOIN both_ways b ON r.y = b.x
+)
+SELECT d.doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes ON sizes.rid = d.rid LEFT JOIN reached ON reached.x = d.rid LEFT JOIN docs o ON o.rid = reached.y GROUP BY d.rid, d.doc_id
 """,
 }

@@ -1,16 +1,18 @@
-"""Removal of repeated byte strings of LENGTH or more, by winnowing with hash comparison.
+"""Removal of repeated byte strings of LENGTH or more, by prefix doubling over sampled positions.
 
-Ranks are hashes of what follows a position, so equal ranks are equal strings, and Spark's sort by rank finds what
-repeats. This is not prefix doubling, which would sort every position of the corpus at each offset: no offset grows and
-nothing is ranked again. A first round picks the positions: each
-window of LENGTH bytes is represented by the GRAM-byte string in it with the least hash, which depends on the window's
-bytes alone, so equal windows are represented at equal offsets. A run is the windows in a row with one representative,
-about 70 of them. Rounds:
+Ranks are hashes of what follows a position, so equal ranks are equal strings, and Spark's sorts by rank find what
+repeats. A first round picks the positions: each window of LENGTH bytes is represented by the GRAM-byte string in it with
+the least hash, which depends on the window's bytes alone, so equal windows are represented at equal offsets. A run is the
+windows in a row with one representative, about 70 of them. (Doubling over all positions would sort every byte of the corpus
+at each offset.) Rounds:
 
 0. equal runs of one text repeat, and all but one of them are settled where the text is read;
-1. runs are sorted by pairs of ranks: that of the representative (GRAM bytes) and that of the whole run (LENGTH bytes
-   and more). A unique first rank ends it: no window of the run repeats. An equal pair ends it too: all of them do;
-2. runs that share only the first rank are extended: their bytes are sorted by representative, and each window of LENGTH
+1. representatives are sorted by rank (GRAM bytes). A unique rank ends it: no window of the run repeats. So do equal runs
+   (a rank of the whole run, LENGTH bytes and more): all of their windows repeat;
+2. at growing offsets, pairs of the rank at a position and the rank of as many bytes at the offset are sorted and ranked
+   anew, to the right of the representative and to its left: 32, 64 and 116 bytes. A window has at least 84 bytes on one
+   side of its representative, so a position that is unique on both sides before then ends;
+3. past that, what is left is extended: the runs' bytes are sorted by representative, and each window of LENGTH
    bytes is compared with those at the same offset. One run of each repeated pair takes part as a witness. For
    representatives with over BIG runs, windows are sorted by rank one by one instead, so no group must fit a task.
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_value, kept_by_worker, scratch, written
+from .common import by_value, kept_by_worker, scratch, small, written
 
 LENGTH, GRAM = 200, 32
 BUFFER, BIG, BROADCAST = 1 << 21, 50_000, 128 << 20
@@ -37,6 +39,15 @@ MULTIPLIER = 0x5851F42D4C957F2D
 RUN = "rank bigint, whole bigint, text_id bigint, more int, start int, n int, at int"
 
 
+def doublings(length: int, gram: int) -> list[tuple[int, int]]:
+    """(length known, next length) of each round, up to what a window has at least on one side of its representative."""
+    out, known, most = [], gram, gram + -(-(length - gram) // 2)
+    while known < most:
+        out.append((known, min(2 * known, most)))
+        known = out[-1][1]
+    return out
+
+
 def mixed(x):
     """A bijection of 64-bit numbers that spreads their bits (the finaliser of splitmix64)."""
     import numpy as np
@@ -73,7 +84,8 @@ def sums(data, numbers):
 
 def find_runs(data, ends, numbers, length: int, gram: int):
     """Runs of windows with one representative. data: texts one after the other; ends: where each ends.
-    Gives rank, whole, text, start (in the text), n (windows), at (the representative's offset from start)."""
+    Gives rank, whole, text, start (in the text), n (windows), at (the representative's offset from start), and for each
+    round the ranks of the bytes that its offset adds to the right and to the left (0 where the text ends before)."""
     import numpy as np
 
     inverse = numbers[2]
@@ -100,7 +112,13 @@ def find_runs(data, ends, numbers, length: int, gram: int):
     n, at = b - a, chosen[a] - a
     end = b - 1 + length
     whole = mixed((pre[end] - pre[a]) * inverse[a]) ^ mixed((n * 4096 + at).astype("u8"))
-    return grams[chosen[a]].astype("i8"), whole.astype("i8"), text[a], a - starts[text[a]], n, at
+    place, further = chosen[a], []
+    for known, more in doublings(length, gram):
+        for p, inside in ((place + more - known, place + more <= ends[text[a]]), (place + gram - more, place + gram - more >= starts[text[a]])):
+            p = np.where(inside, p, 0)
+            ranks = mixed((pre[np.minimum(p + known, len(data))] - pre[p]) * inverse[p])
+            further.append(np.where(inside, np.where(ranks == 0, np.uint64(1), ranks), np.uint64(0)).astype("i8"))
+    return grams[place].astype("i8"), whole.astype("i8"), text[a], a - starts[text[a]], n, at, further
 
 
 def settled(rank, whole, text, start, n):
@@ -162,18 +180,19 @@ def _runs(length: int, gram: int):
             ids, more = np.array(ids, dtype="i8"), np.array(more, dtype="i4")
             for group in buffers([t or b"" for t in texts], length):
                 data = np.frombuffer(b"".join(g[2] for g in group), dtype="u1")
-                rank, whole, text, start, n, at = find_runs(data, np.cumsum([len(g[2]) for g in group]), numbers, length, gram)
+                rank, whole, text, start, n, at, further = find_runs(data, np.cumsum([len(g[2]) for g in group]), numbers, length, gram)
                 index = np.array([g[0] for g in group])[text]
                 start = start + np.array([g[1] for g in group])[text]
                 apart, own = settled(rank, whole, index, start, n)
-                rows = [x[apart] for x in (rank, whole, ids[index], more[index], start, n, at)]
+                rows = [x[apart] for x in (rank, whole, ids[index], more[index], start, n, at, *further)]
                 if own:  # ranked by place, so that they spread; at tells them apart
                     i, p, m = (np.array(x) for x in zip(*own))
                     spread = mixed(ids[index[i]].astype("u8") + p.astype("u8")).astype("i8")
-                    extra = (spread, spread, ids[index[i]], more[index[i]], p, m, np.full(len(i), -1))
+                    extra = (spread, spread, ids[index[i]], more[index[i]], p, m, np.full(len(i), -1), *[np.zeros(len(i), "i8")] * len(further))
                     rows = [np.concatenate(x) for x in zip(rows, extra)]
-                types = ("i8", "i8", "i8", "i4", "i4", "i4", "i4")
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(rows, types)], names=["rank", "whole", "text_id", "more", "start", "n", "at"])
+                types = ("i8", "i8", "i8", "i4", "i4", "i4", "i4", *["i8"] * len(further))
+                names = ["rank", "whole", "text_id", "more", "start", "n", "at", *(f"further{k}" for k in range(len(further)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(rows, types)], names=names)
 
     return runs
 
@@ -186,10 +205,11 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def ranked(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """The runs whose representative occurs elsewhere: state repeated, or open; witness; big."""
-    rows = texts.select("text", "text_id", "more").mapInArrow(_runs(length, gram), RUN)
+    further = [f"further{k}" for k in range(2 * len(doublings(length, gram)))]
+    rows = texts.select("text", "text_id", "more").mapInArrow(_runs(length, gram), ", ".join([RUN, *(f"{c} bigint" for c in further)]))
     # Three numbers and the text's extra bits in one, for narrow rows in the sort.
     place = F.expr("shiftleft(cast(more as bigint), 39) | shiftleft(cast(start as bigint), 8) | (n - 1)")
-    rows = rows.select("rank", "whole", "text_id", place.alias("place"), F.col("at").cast("short").alias("at"))
+    rows = rows.select("rank", "whole", "text_id", place.alias("place"), F.col("at").cast("short").alias("at"), *further)
     by_rank = Window.partitionBy("rank").orderBy("whole", "text_id", "place")
     twice = (F.lag("text_id").over(by_rank) == F.col("text_id")) & (F.lag("place").over(by_rank) == F.col("place")) & (F.lag("whole").over(by_rank) == F.col("whole"))
     once = rows.withColumn("twice", twice).where(~F.coalesce("twice", F.lit(False))).drop("twice")
@@ -202,6 +222,13 @@ def ranked(texts: DataFrame, length: int, gram: int) -> DataFrame:
         F.count("*").over(all_).alias("group"),
         (F.min("whole").over(all_) != F.max("whole").over(all_)).alias("differ"),
     ).where("group > 1 or at < 0")
+    seen = seen.withColumns({"settled": F.col("before") | F.col("after") | (F.col("at") < 0), "right": F.col("rank"), "left": F.col("rank")})
+    for k in range(0, len(further), 2):  # the sorts stay inside the partitions by rank
+        for side, column in (("right", further[k]), ("left", further[k + 1])):
+            pair = F.when((F.col(column) != 0) & F.col(side).isNotNull(), F.xxhash64(side, column))
+            seen = seen.withColumn(side, pair).withColumn("same", F.count(side).over(Window.partitionBy("rank", side)))
+            seen = seen.withColumn(side, F.when(F.col("same") > 1, F.col(side))).drop("same")
+        seen = seen.where("settled or right is not null or left is not null")
     return seen.select(
         "rank",
         "text_id",
@@ -209,7 +236,7 @@ def ranked(texts: DataFrame, length: int, gram: int) -> DataFrame:
         F.expr("cast(shiftright(place, 8) & 2147483647 as int)").alias("start"),
         F.expr("cast((place & 255) + 1 as int)").alias("n"),
         F.col("at").cast("int").alias("at"),
-        (F.col("before") | F.col("after") | (F.col("at") < 0)).alias("repeated"),
+        F.col("settled").alias("repeated"),
         (F.col("after") & ~F.col("before") & F.col("differ") & (F.col("at") >= 0)).alias("witness"),
         (F.col("group") > BIG).alias("big"),
     )
@@ -218,8 +245,7 @@ def ranked(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def _with_texts(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """texts joined to lists by text; lists is broadcast if its files show that it is small."""
     lists = lists.select(F.col("text_id").alias("__id"), F.col("more").alias("__more"), *[c for c in lists.columns if c not in ("text_id", "more")])
-    size = int(str(lists._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return texts.join(F.broadcast(lists) if size * 4 <= BROADCAST else lists, (texts["text_id"] == lists["__id"]) & (texts["more"] == lists["__more"]))
+    return texts.join(small(lists, most=BROADCAST), (texts["text_id"] == lists["__id"]) & (texts["more"] == lists["__more"]))
 
 
 def _compare(length: int):
@@ -315,8 +341,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     wanted = written(open_.groupBy("text_id", "more").agg(F.collect_list(F.struct("rank", "start", "n", "at", "repeated", "big")).alias("r")), "open")
     cut = _with_texts(texts.select("text", "text_id", "more"), wanted).select("text_id", "more", F.col("text").cast("binary").alias("b"), F.explode("r").alias("r"))
     cut = cut.select("r.rank", "text_id", "more", "r.start", "r.n", "r.at", F.col("r.repeated").alias("witness"), F.expr(f"substring(b, r.start + 1, r.n + {length - 1})").alias("data"), "r.big")
-    small = cut.where("not big").drop("big").repartition("rank").sortWithinPartitions("rank")
-    by_run = small.mapInArrow(_compare(length), "text_id bigint, more int, first int, last int")
+    few = cut.where("not big").drop("big").repartition("rank").sortWithinPartitions("rank")
+    by_run = few.mapInArrow(_compare(length), "text_id bigint, more int, first int, last int")
     found = by_run.unionByName(runs.where("repeated").select("text_id", "more", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1 + length).alias("last")))
     if runs.where("big and (not repeated or witness)").limit(1).count():
         each = cut.where("big").select("text_id", "more", "start", "data").mapInArrow(_windows(length), "rank bigint, text_id bigint, more int, first int")
@@ -362,8 +388,7 @@ def _applied(docs: DataFrame, names: list[str], digest: bool, length: int, gram:
         found = written(spans(docs, length, gram), "spans", keep=True)
     texts = _identified(docs.select(F.struct(*names).alias("d"), F.col("text")))
     lists = found.select(F.col("text_id").alias("__id"), F.col("more").alias("__more"), "spans")
-    size = int(str(lists._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    joined = texts.join(F.broadcast(lists) if size * 4 <= BROADCAST else lists, (texts["text_id"] == lists["__id"]) & (texts["more"] == lists["__more"]), "left")
+    joined = texts.join(small(lists, most=BROADCAST), (texts["text_id"] == lists["__id"]) & (texts["more"] == lists["__more"]), "left")
     none = F.array().cast("array<struct<first:int,last:int>>")
     rows = joined.select(F.coalesce("text", F.lit("")).alias("__text"), F.coalesce("spans", none).alias("__spans"), "d.*")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema.fields)
