@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ranking
-from tessera.plans import config, evaluation, providers
+from tessera.plans import config, evaluation, loops, providers
 
 
 class Rule(providers.Provider):
@@ -62,3 +62,47 @@ def test_clusters_over_batches_and_files(spark):
     assert {r["cluster"] for r in evaluation.clustered_in_batches(topics, one, size=2).collect()} == {"all"}
     heads = {r["topic"]: r["head"] for r in evaluation.merged_heads(topics, Rule(F.lit('{"x": [1, 2, 3]}')), size=2).collect()}
     assert heads == {f"t{i}": "t0" for i in range(4)}
+
+
+class Echo(providers.Provider):
+    """Topics and probes that depend on the request alone."""
+
+    def answer(self, requests):
+        text = F.when(F.col("role") == "extract", F.to_json(F.array(F.concat(F.lit("topic "), F.substring("request_id", 1, 6)), F.lit("common theme"))))
+        return requests.withColumn("text", text.when(F.col("role") == "probe", F.when(F.substring("request_id", 1, 1) < "8", "I cannot help you with that").otherwise("Sure")).otherwise(F.concat(F.lit("about "), "request_id")))
+
+
+def test_a_crawl_goes_on_where_it_stopped(spark, tmp_path):
+    seeds = spark.createDataFrame([("first seed",), ("other seed",)], "topic string")
+    templates = spark.createDataFrame([("Say {}", 0, "en"), ("Tell {}", 1, "en"), ("Sag {}", 2, "de")], "item string, pos long, lang string")
+    run = lambda steps, path: loops.crawl(spark, seeds, templates, Echo(), steps=steps, batch=2, warmup=1, max_topics=100, state_path=path)[0]
+    key = lambda df: sorted(map(str, df.collect()))
+    whole = key(run(2, None))
+    run(1, f"file://{tmp_path}/state")
+    assert loops.resumed(spark, f"file://{tmp_path}/none") is None
+    assert key(run(2, f"file://{tmp_path}/state")) == whole
+    assert key(run(2, f"file://{tmp_path}/state")) == whole  # nothing is left to do
+
+
+def test_clusters_of_any_number_of_rounds(spark):
+    """A clusterer that merges the first pair of a round alone: 22 rounds."""
+    n = 23
+    topics = spark.createDataFrame([(f"t{i:02d}", i) for i in range(n)], "topic string, pos long")
+    got = loops.cluster_recursively(topics, Rule(F.when(F.col("chunk") == 0, '{"a": [1, 2]}').otherwise('{"a": [1], "b": [2]}')), size=2)
+    assert got.count() == n and got.select("head").distinct().count() == 1
+
+
+def test_a_judge_that_sees_the_reference_in_chunks(spark):
+    terms = spark.createDataFrame([(1, "x"), (2, "y")], "id long, term string")
+    reference = spark.createDataFrame([(f"r{i}", i) for i in range(5)], "term string, pos long")
+    answer = F.when((F.col("id") == 1) & F.array_contains("items", "r3"), '{"match": true, "matched_term": "R3"}').otherwise('{"match": false}')
+    got = {r["id"]: (r["match"], r["resolved"]) for r in evaluation.judged_terms(terms, reference, Rule(answer), size=2).collect()}
+    assert got == {1: (True, "r3"), 2: (False, None)}
+
+
+def test_endpoints_and_keys():
+    assert config.endpoint("openai:m:x", {"OPENAI_API_KEY": "k"}) == {"model": "m:x", "url": "https://api.openai.com/v1", "key": "k"}
+    for model, default in (("m", "openrouter"), ("m", "unknown")):
+        with pytest.raises(ValueError):
+            config.endpoint(model, {}, default=default)
+    assert config.missing_keys(["local", "ollama:m", "gemini:m"], {}) == {"gemini": "GEMINI_API_KEY"}

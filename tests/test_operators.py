@@ -162,3 +162,26 @@ def test_recursive_clustering_carries_the_rest(spark):
     topics = spark.createDataFrame([(f"t{i}", i) for i in range(5)], "topic string, pos long")
     got = {r["topic"]: (r["head"], r["path"]) for r in loops.cluster_recursively(topics, Pair(), size=2).collect()}
     assert set(got) == {f"t{i}" for i in range(5)} and len({h for h, _ in got.values()}) == 1
+
+
+def test_cascade_stages(spark):
+    from tessera.operators import refusal
+
+    no = "I cannot help you with that"
+    answers = spark.createDataFrame([(1, "q", no), (2, "q", "a"), (3, "", "a"), (4, "q", "a"), (5, "q", "a"), (6, None, None)], "id long, query string, answer string")
+    classifier = spark.createDataFrame([(1, "normal", 1.0), (2, "rejection", 0.999), (3, "normal", 0.999), (4, "normal", 0.999), (5, "rejection", 0.5)], "id long, label string, score double")
+    judge = spark.createDataFrame([(2, "no"), (4, " YES "), (5, "no")], "id long, verdict string")
+    got = {r["id"]: (r["is_refusal"], r["stage"]) for r in refusal.cascade(answers, classifier, judge).collect()}
+    assert got == {1: (True, "pattern"), 2: (True, "classifier"), 3: (False, "classifier"), 4: (True, "judge"), 5: (False, "judge"), 6: (False, "pattern")}
+
+
+def test_running_sums_over_partitions(spark):
+    from tessera.operators.dedup import cumulated
+
+    rows = spark.range(1000).selectExpr("id", "if(id % 7 = 0, null, id % 5) as v").repartition(7)
+    got = {r["id"]: r["s"] for r in cumulated(rows, "id", "v", "s").collect()}
+    total = 0
+    for i in range(1000):
+        total += i % 5 if i % 7 else 0
+        assert got[i] == total
+    assert cumulated(rows.limit(0), "id", "v", "s").count() == 0
