@@ -1,7 +1,7 @@
 """Registered queries of the analytics operators over the synthetic tables, with the SQL that checks them.
 
 The tables hold no model output, so texts are decorated: both sides build the same text from the same columns. Each query
-reads whole tables, but for run_agreement, which has the events of day 3; run_agreement_all has those of all days.
+reads whole tables.
 """
 
 from __future__ import annotations
@@ -303,19 +303,9 @@ def topic_depth(spark, d):
 # Coverage and matching
 
 
-@query("""WITH hit AS (SELECT a.r_name AS category, a.n_name AS subtopic, arg_min('about ' || lower(b.n_name), b.n_nationkey) AS matched_topic
-  FROM (SELECT r_name, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey) a JOIN nation b ON contains('about ' || lower(b.n_name), lower(left(a.n_name, 3))) AND b.n_nationkey % 3 <> 0 GROUP BY ALL)
-SELECT r_name AS category, n_name AS subtopic, matched_topic FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN hit ON r_name = category AND n_name = subtopic""")
-def coverage_contains(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    truth = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("category"), F.col("n_name").alias("subtopic"))
-    crawl = n.where("n_nationkey % 3 <> 0").select(F.concat(F.lit("about "), F.lower("n_name")).alias("topic"), F.col("n_nationkey").alias("pos"))
-    return coverage.contained(truth, crawl, lambda s, t: F.contains(t, F.lower(F.left(s, F.lit(3)))), size=8)
-
-
 @query("""WITH truth AS (SELECT DISTINCT p_brand AS category, p_type AS subtopic FROM part), hit AS (SELECT category, subtopic, arg_min('about ' || p_name, p_partkey) AS matched_topic FROM truth JOIN part ON contains('about ' || p_name, lower(subtopic)) GROUP BY ALL)
 SELECT category, subtopic, matched_topic FROM truth LEFT JOIN hit USING (category, subtopic)""")
-def coverage_contains_part(spark, d):
+def coverage_contains(spark, d):
     p = table(spark, d, "part")
     truth = p.select(F.col("p_brand").alias("category"), F.col("p_type").alias("subtopic")).distinct()
     crawl = p.select(F.concat(F.lit("about "), "p_name").alias("topic"), F.col("p_partkey").alias("pos"))
@@ -650,22 +640,14 @@ def convergence(spark, d):
     return ranking.convergence(history(spark, d)).withColumns({"mean_rating": F.floor("mean_rating"), "rank_std": F.round("rank_std", 9)})
 
 
-@query(f"""WITH {HISTORY}, p AS (SELECT a.run AS run_a, b.run AS run_b, sign(a.rank - a2.rank) * sign(b.rank - b2.rank) AS s, abs(sign(a.rank - a2.rank)) AS x, abs(sign(b.rank - b2.rank)) AS y
-  FROM ranks a JOIN ranks a2 ON a.run = a2.run AND a.snapshot = a2.snapshot AND a.topic < a2.topic JOIN ranks b ON b.topic = a.topic AND b.snapshot = a.snapshot AND b.run > a.run JOIN ranks b2 ON b2.run = b.run AND b2.snapshot = a.snapshot AND b2.topic = a2.topic WHERE a.snapshot = 3),
-t AS (SELECT run_a, run_b, sum(s) / sqrt(sum(x) * sum(y)) AS tau FROM p GROUP BY ALL) SELECT 'e' AS system, round(avg(tau), 9) AS mean, round(stddev_pop(tau), 9) AS std, round(min(tau), 9) AS min, round(max(tau), 9) AS max FROM t""")
-def run_agreement(spark, d):
-    out = ranking.run_agreement(history(spark, d).where("snapshot = 3").select("system", "run", "topic", "rank"))
-    return out.select("system", *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")])
-
-
-@query("""WITH h AS (SELECT event_type AS run, user_id AS topic, round(sum(value), 6) AS rating FROM events GROUP BY ALL), ranks AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY rating DESC, topic) AS rank FROM h),
+@query("""WITH h AS (SELECT event_type AS run, user_id AS topic, sum(round(value * 1000000)::BIGINT) AS rating FROM events GROUP BY ALL), ranks AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY rating DESC, topic) AS rank FROM h),
 c AS (SELECT a.run AS run_a, b.run AS run_b, a.topic, a.rank AS ra, b.rank AS rb FROM ranks a JOIN ranks b ON b.topic = a.topic AND b.run > a.run),
 t AS (SELECT x.run_a, x.run_b, sum(sign(x.ra - y.ra) * sign(x.rb - y.rb)) / sqrt(sum(abs(sign(x.ra - y.ra))) * sum(abs(sign(x.rb - y.rb)))) AS tau FROM c x JOIN c y ON x.run_a = y.run_a AND x.run_b = y.run_b AND x.topic < y.topic GROUP BY ALL)
 SELECT 'e' AS system, round(avg(tau), 9) AS mean, round(stddev_pop(tau), 9) AS std, round(min(tau), 9) AS min, round(max(tau), 9) AS max FROM t""")
-def run_agreement_all(spark, d):
-    """Agreement of the final ranks, over the events of all days and every user as a topic; run_agreement has day 3 alone."""
+def run_agreement(spark, d):
+    """Agreement of the final ranks, over the events of all days and every user as a topic."""
     e = table(spark, d, "events")
-    totals = e.groupBy(F.lit("e").alias("system"), F.col("event_type").alias("run"), F.col("user_id").alias("topic")).agg(F.round(F.sum("value"), 6).alias("rating"))
+    totals = e.groupBy(F.lit("e").alias("system"), F.col("event_type").alias("run"), F.col("user_id").alias("topic")).agg(F.sum(F.round(F.col("value") * 1000000).cast("long")).alias("rating"))
     out = ranking.run_agreement(ranking.ranked(totals, "rating", "topic", "run", base=1).withColumnRenamed("rank_idx", "rank"))
     return out.select("system", *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")])
 

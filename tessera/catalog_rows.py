@@ -160,9 +160,9 @@ def mapped_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", names.mapped_name(F.col("n_name"), {"NATION_3": "fr", "NATION_5": "zh"}).alias("name"))
 
 
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'click') THEN 'click' WHEN bool_or(event_type = 'view') THEN 'view' END AS mode FROM events WHERE event_id % 3 = 0 GROUP BY user_id""")
+@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'click') THEN 'click' WHEN bool_or(event_type = 'view') THEN 'view' END AS mode FROM events GROUP BY user_id""")
 def preferred_modes(spark, d):
-    rows = table(spark, d, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("m"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("m"))
     return rows.select("user_id", names.preferred(F.col("m"), ("purchase", "click", "view")).alias("mode"))
 
 
@@ -560,20 +560,20 @@ def marked_topics(chats):
     return out
 
 
-@query("""SELECT gt, count(topic) > 0 AS flag, count(topic) AS n_matched FROM (SELECT DISTINCT p_name AS gt FROM part WHERE p_size = 7) g LEFT JOIN (SELECT DISTINCT p_name AS topic FROM part) t ON split_part(topic, ' ', 1) LIKE split_part(gt, ' ', 1) || '%' GROUP BY gt""")
+@query("""SELECT gt, count(topic) > 0 AS flag, count(topic) AS n_matched FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS gt FROM part) g LEFT JOIN (SELECT DISTINCT p_name AS topic FROM part) t ON split_part(topic, ' ', 1) LIKE split_part(gt, ' ', 1) || '%' GROUP BY gt""")
 def judged_matches(spark, d):
     p = parts(spark, d)
     topics = p.select(F.col("p_name").alias("topic")).distinct().withColumn("pos", F.col("topic"))
-    out = evaluation.judged_matches(p.where("p_size = 7").select(F.col("p_name").alias("gt")).distinct(), topics, providers.FunctionProvider(marked_topics), size=20)
+    out = evaluation.judged_matches(p.select(F.substring_index("p_name", " ", 1).alias("gt")).distinct(), topics, providers.FunctionProvider(marked_topics), size=20)
     return out.select("gt", "flag", F.size("matched").cast("long").alias("n_matched"))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_type AS model, (p_size % 3)::VARCHAR AS run, p_name AS topic FROM part), g AS (SELECT DISTINCT p_name AS gt FROM part WHERE p_size = 7), h AS (SELECT model, run, topic, gt FROM t LEFT JOIN g ON split_part(topic, ' ', 1) LIKE split_part(gt, ' ', 1) || '%')
+@query("""WITH t AS (SELECT DISTINCT p_type AS model, (p_size % 3)::VARCHAR AS run, p_name AS topic FROM part), g AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS gt FROM part), h AS (SELECT model, run, topic, gt FROM t LEFT JOIN g ON split_part(topic, ' ', 1) LIKE split_part(gt, ' ', 1) || '%')
 SELECT model, run, count(DISTINCT topic) AS n_topics, count(DISTINCT gt) AS n_found, (SELECT count(*) FROM g) AS n_labels, count(DISTINCT gt) / (SELECT count(*) FROM g) AS recall, min(topic) FILTER (gt IS NOT NULL) AS first_id FROM h GROUP BY GROUPING SETS ((model, run), (model))""")
 def model_analysis(spark, d):
     p = parts(spark, d)
     topics = p.select(F.col("p_type").alias("model"), (F.col("p_size") % 3).cast("string").alias("run"), F.col("p_name").alias("topic"), F.col("p_name").alias("pos"))
-    return evaluation.model_analysis(topics, p.where("p_size = 7").select(F.col("p_name").alias("gt")).distinct(), providers.FunctionProvider(marked_topics), size=20)
+    return evaluation.model_analysis(topics, p.select(F.substring_index("p_name", " ", 1).alias("gt")).distinct(), providers.FunctionProvider(marked_topics), size=20)
 
 
 @query("""WITH r AS (SELECT p_name AS topic, row_number() OVER (ORDER BY p_partkey) AS rank, p_size < 25 AS hit FROM part), c AS (SELECT count(*) FILTER (rank <= 10 AND hit) / 10 AS p10, count(*) FILTER (rank <= 100 AND hit) / 100 AS p100 FROM r)

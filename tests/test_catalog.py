@@ -47,4 +47,4 @@ def test_run_agreement_counts_every_day(spark, tmp_path):
     later = [("b", u, 20, 100.0 - 10 * u) for u in range(4)]
     e = spark.createDataFrame(day3 + later, "event_type string, user_id long, d int, value double")
     e.selectExpr("*", "make_timestamp(2024, 1, d, 0, 0, 0) AS ts").write.parquet(f"{tmp_path}/events.parquet")
-    assert tuple(catalog.QUERIES["run_agreement_all"](spark, str(tmp_path)).head()) == ("e", -1.0, 0.0, -1.0, -1.0)
+    assert tuple(catalog.QUERIES["run_agreement"](spark, str(tmp_path)).head()) == ("e", -1.0, 0.0, -1.0, -1.0)
