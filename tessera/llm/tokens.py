@@ -93,7 +93,7 @@ class Encoder:
         pieces = [pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").flatten()] if lines else []
         pieces.append(pa.array([k for keys in others for k in keys], pa.large_string()))
         coded = pa.concat_arrays(pieces).dictionary_encode()
-        known = self.ids_of(coded.dictionary.to_pylist())
+        known = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         width = 4 if self.wide else 2
         flat = np.frombuffer(b"".join(known), dtype=f"<u{width}")
         size = np.array([len(x) // width for x in known], dtype="i8")
