@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, lines, mixing, quality, suffixes, tokens, urls
+from . import chat, collocations, decontam, jaccard, langid, lines, mixing, quality, suffixes, tokens, urls, vectors
 from .common import table
 
 
@@ -56,7 +56,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_suffix_dedup, op10_token_shards)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_suffix_dedup, op10_token_shards, op11_collocations, op12_vector_codes)}
 
 SQL = {
     "op1_chat_format": r"""
@@ -206,5 +214,70 @@ WITH RECURSIVE docs AS (
 )
 SELECT d.doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id
 FROM docs d LEFT JOIN sizes ON sizes.rid = d.rid LEFT JOIN reached ON reached.x = d.rid LEFT JOIN docs o ON o.rid = reached.y GROUP BY d.rid, d.doc_id
+""",
+    "op11_collocations": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT rid, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, w[i:i + size - 1] AS words
+  FROM split, unnest(range(1, 6)) s(size), unnest(range(1, len(w) - size + 2)) t(i) WHERE len(w) >= size
+), f AS (
+  SELECT lang, size, phrase, any_value(words) AS words, count(*) AS f FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 100
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang
+), candidates AS (SELECT lang, size, phrase, words, f AS a FROM f WHERE size > 1
+), cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(words[1:k], ' ') AS first, array_to_string(words[k + 1:], ' ') AS rest FROM candidates, unnest(range(1, size)) t(k)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored
+), alone AS (
+  SELECT * FROM lowest p WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM candidates q WHERE q.lang = p.lang AND len(q.phrase) > len(p.phrase) AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ') AND 100 * q.a >= 100 * p.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM alone
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """,
 }
+
+#: A round assigns each part to the nearest entry and replaces the entries that are used.
+_ROUND = """
+near{k} AS (
+  SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+  FROM (SELECT v.rid, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM comps v JOIN book{k} b USING (part, place) GROUP BY ALL) GROUP BY rid, part
+), book{next} AS (
+  SELECT part, b.entry, place, coalesce(s.x, b.x) AS x FROM book{k} b LEFT JOIN (
+    SELECT part, entry, place, floor_div(sum(x)::HUGEINT, count(*)) AS x FROM comps JOIN near{k} USING (rid, part) GROUP BY ALL) s USING (part, entry, place)
+)"""
+
+
+def _codes_sql() -> str:
+    """The rounds written out, one after the other."""
+    rounds = ",".join(_ROUND.format(k=k, next=k + 1) for k in range(vectors.ROUNDS))
+    for name in ("floor_div(sum(x)::HUGEINT, count(*))",):
+        rounds = rounds.replace(name, "((sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*)) % count(*)) // count(*))::BIGINT")
+    last = _ROUND.format(k=vectors.ROUNDS, next=vectors.ROUNDS + 1).split("), book")[0]
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comps AS (
+  SELECT rid, (i - 1) // (len(embedding) // 4) AS part, (i - 1) % (len(embedding) // 4) AS place, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM kept, unnest(range(1, len(embedding) + 1)) t(i)
+), book0 AS (SELECT part, rid - 1 AS entry, place, x FROM comps WHERE rid <= 256),{rounds},{last}
+), by_row AS (
+  SELECT rid, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{vectors.ROUNDS} GROUP BY rid
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM book{vectors.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN by_row USING (rid)
+"""
+
+
+SQL["op12_vector_codes"] = _codes_sql()
