@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontam, jaccard, langid, lines, mixing, quality, suffixes, tokens, urls, vectors
+from . import chat, collocations, decontam, jaccard, langid, lines, mixing, quality, suffixes, tokens, toxicity, urls, vectors
 from .common import table
 
 
@@ -64,7 +64,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.code_digests(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_suffix_dedup, op10_token_shards, op11_collocations, op12_vector_codes)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontaminate, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_suffix_dedup, op10_token_shards, op11_collocations, op12_vector_codes, op13_toxicity)}
 
 SQL = {
     "op1_chat_format": r"""
