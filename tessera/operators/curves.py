@@ -1,4 +1,4 @@
-"""Curves over ranked or ordered topics. A curve is of one ranking, so its rows are as many as topics of a run."""
+"""Curves over ranked or ordered topics, as running sums in segments: a group is no one task's."""
 
 from __future__ import annotations
 
@@ -7,26 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .dedup import cumulated, dense_ids
+from .scan import numbered, scanned
 
 
-def _upto(order: str, *by: str):
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def _rate(x: str, n: str):
+    return F.col(x) / F.nullif(F.col(n), F.lit(0))
 
 
 def roc(rows: DataFrame, order: str, hit: str, *by: str) -> DataFrame:
-    """rows with tp, fp, tpr, fpr along the order; a rate without a denominator is null."""
-    up, all_ = _upto(order, *by), Window.partitionBy(*by)
-    tp, fp = F.count_if(hit).over(up), F.count_if(~F.col(hit)).over(up)
-    rate = lambda x, n: x / F.nullif(n, F.lit(0))
-    return rows.withColumns({"tp": tp, "fp": fp, "tpr": rate(tp, F.count_if(hit).over(all_)), "fpr": rate(fp, F.count_if(~F.col(hit)).over(all_))})
+    """rows with tp, fp, tpr, fpr along the order; a rate without a denominator is null. A null hit counts as neither."""
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    up = scanned(rows, order, {"tp": one(F.col(hit)), "fp": one(~F.col(hit))}, *by, totals={"__tps": "tp", "__fps": "fp"})
+    return up.withColumns({"tpr": _rate("tp", "__tps"), "fpr": _rate("fp", "__fps")}).drop("__tps", "__fps")
 
 
 def precision_recall(rows: DataFrame, order: str, hit: str, *by: str) -> DataFrame:
     """k (from 1), precision and recall of the first k rows."""
-    up, all_ = _upto(order, *by), Window.partitionBy(*by)
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    tp = F.count_if(hit).over(up)
-    return rows.withColumns({"k": k, "precision": tp / k, "recall": tp / F.nullif(F.count_if(hit).over(all_), F.lit(0))})
+    up = scanned(rows, order, {"k": F.lit(1).cast("long"), "__tp": F.when(F.col(hit), 1).otherwise(0).cast("long")}, *by, totals={"__tps": "__tp"})
+    return up.withColumns({"k": F.col("k").cast("int"), "precision": F.col("__tp") / F.col("k"), "recall": _rate("__tp", "__tps")}).drop("__tp", "__tps")
 
 
 def precision_recall_as_coded(first_ids: DataFrame, n: int) -> DataFrame:
@@ -48,10 +46,17 @@ def recall_curve(first_ids: DataFrame, steps: int, total: int) -> DataFrame:
     return rows.select("step", (F.col("n_found") / F.lit(total)).alias("recall"))
 
 
+#: Buckets that the rows of a group are dealt to before the first of each are taken.
+BUCKETS = 32
+
+
 def precision_at(rows: DataFrame, order: str, hit: str, ks: tuple[int, ...] = (10, 100, 1000), *, clip: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """A column precision_at_k for each k; the denominator is k, or with clip the number of rows if smaller."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    ranked = rows.withColumn("rn", rank).where(F.col("rn") <= max(ks))
+    # The first rows of each bucket of a group hold the first of the group; Spark limits them before it shuffles.
+    bucket = F.pmod(F.xxhash64(order), F.lit(BUCKETS))
+    first = F.row_number().over(Window.partitionBy(*by, bucket).orderBy(order))
+    few = rows.withColumn("__rn", first).where(F.col("__rn") <= max(ks)).drop("__rn")
+    ranked = numbered(few, order, "rn", *by).where(F.col("rn") <= max(ks))
     n = lambda k: F.least(F.lit(k), F.count("*")) if clip else F.lit(k)
     return ranked.groupBy(*by).agg(*[(F.count_if((F.col("rn") <= k) & F.col(hit)) / n(k)).alias(f"precision_at_{k}") for k in ks])
 
@@ -65,9 +70,12 @@ def discovery(first_ids: DataFrame, max_steps: int | None = None) -> DataFrame:
 
 
 def cumulative_distinct(rows: DataFrame, order: str, value: str, *by: str) -> DataFrame:
-    """rows with n_seen: distinct values up to each row."""
-    first = (F.row_number().over(Window.partitionBy(*by, value).orderBy(order)) == 1).cast("int")
-    return rows.withColumn("new", first).withColumn("n_seen", F.sum("new").over(_upto(order, *by))).drop("new")
+    """rows with n_seen: distinct values up to each row; rows that share an order see each other."""
+    firsts = rows.groupBy(*by, value).agg(F.min(order).alias(order)).drop(value)
+    # A marker where a value comes first, in front of the rows there.
+    place = lambda df, at: df.withColumn("__place", F.struct(F.col(order).alias("o"), F.lit(at).alias("at")))
+    both = place(rows.withColumn("__new", F.lit(0).cast("long")), 1).unionByName(place(firsts.withColumn("__new", F.lit(1).cast("long")), 0), allowMissingColumns=True)
+    return scanned(both, "__place", {"n_seen": F.col("__new")}, *by).where("__new = 0").select(*rows.columns, "n_seen")
 
 
 def translation_pairs(items: DataFrame, order: str, text: str, *by: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import strip, summary_key, trim_key
+from .scan import numbered, scanned
 
 
 def with_provenance(topics: DataFrame, topic: str = "topic", run: str = "run", pos: str = "pos") -> DataFrame:
@@ -50,24 +51,13 @@ def assigned_clusters(deduped: DataFrame, n_clusters: int, pos: str = "pos", as_
 
 
 def dense_ids(rows: DataFrame, order: str, offset: int = 0) -> DataFrame:
-    """rows with id: offset, offset + 1, ... in order.
-
-    Rows are range-partitioned once; counts of the partitions give their first ids, so no task holds all rows.
-    """
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    within = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    counts = parts.groupBy("__part").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    return within.join(F.broadcast(before), "__part").withColumn("id", F.lit(offset) + F.col("__before") + F.col("__n") - 1).drop("__part", "__n", "__before")
+    """rows with id: offset, offset + 1, ... in order; by parts of the order and their totals, so no task holds all rows."""
+    return numbered(rows, order, "id").withColumn("id", F.col("id") + F.lit(offset) - 1)
 
 
 def cumulated(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """rows with name: the sum of value up to each row in order, by range partitions and their totals as in dense_ids."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    upto = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    totals = parts.groupBy("__part").agg(F.sum(value).alias("__total"))
-    before = totals.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return parts.withColumn(name, upto).join(F.broadcast(before), "__part").withColumn(name, F.coalesce(name, F.lit(0)) + F.col("__before")).drop("__part", "__before")
+    """rows with name: the sum of value up to each row in order, 0 before any; by parts as in dense_ids."""
+    return scanned(rows, order, {name: F.col(value)})
 
 
 def first_occurrence(rows: DataFrame, key: str, pos: str) -> DataFrame:
@@ -88,7 +78,7 @@ def attach_last(rows: DataFrame, key: str, responses: DataFrame, value: str, seq
 def chunked(rows: DataFrame, order: str, size: int, *by: str) -> DataFrame:
     """rows with chunk: batches of size in order, inside each group of by."""
     if by:
-        return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size).cast("long"))
+        return numbered(rows, order, "chunk", *by).withColumn("chunk", F.floor((F.col("chunk") - 1) / size).cast("long"))
     return dense_ids(rows, order).withColumn("chunk", F.floor(F.col("id") / size).cast("long")).drop("id")
 
 

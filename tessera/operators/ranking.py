@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import by_value
-from .dedup import dense_ids
+from .scan import numbered, scanned, with_parts
 
 
 def win_counts(topics: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -23,11 +23,9 @@ def win_counts(topics: DataFrame, comparisons: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, score: str, pos: str, *by: str, base: int = 0) -> DataFrame:
-    """rows with rank_idx: by descending score, ties in order of pos. Without by, ranks come from range partitions."""
-    if not by:
-        placed = dense_ids(rows.withColumn("__o", F.struct((-F.col(score)).alias("s"), F.col(pos).alias("p"))), "__o", base)
-        return placed.withColumn("rank_idx", F.col("id").cast("int")).drop("__o", "id")
-    return rows.withColumn("rank_idx", (F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), pos)) - 1 + base).cast("int"))
+    """rows with rank_idx: by descending score, ties in order of pos, inside each group of by; from running counts in segments."""
+    placed = numbered(rows.withColumn("__o", F.struct((-F.col(score)).alias("s"), F.col(pos).alias("p"))), "__o", "rank_idx", *by)
+    return placed.withColumn("rank_idx", (F.col("rank_idx") - 1 + base).cast("int")).drop("__o")
 
 
 def paired(topics: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
@@ -145,20 +143,127 @@ def folded(comparisons: DataFrame, topics: DataFrame, name: str, make: Callable[
     return comparisons.groupBy("run").cogroup(topics.groupBy("run")).applyInPandas(fold, HISTORY)
 
 
+#: Parts that a ranking is cut into at most where inversions are counted; their pairs are counted in one task.
+PARTS = 256
+
+
+def inversions(values, group, n_groups: int):
+    """For each group the pairs of its values in the wrong order (a larger one first). group: rises from 0."""
+    import numpy as np
+
+    out = np.zeros(n_groups, dtype="i8")
+    if not len(values):
+        return out
+    # Ranks of (group, value): between groups nothing is in the wrong order.
+    ranks = np.unique(np.rec.fromarrays([group, values]), return_inverse=True)[1]
+    of_rank = np.zeros(int(ranks.max()) + 1, dtype="i8")
+    of_rank[ranks] = group
+    # From the highest bit on: among values whose higher bits agree, each 1 before a 0 is a pair.
+    for bit in reversed(range(int(ranks.max()).bit_length())):
+        higher = ranks >> (bit + 1)
+        ones = (ranks >> bit) & 1
+        start = np.concatenate(([True], higher[1:] != higher[:-1]))
+        seen = np.cumsum(ones) - ones
+        seen = seen - seen[np.flatnonzero(start)[np.cumsum(start) - 1]]
+        zeros = ones == 0
+        np.add.at(out, of_rank[ranks[zeros]], seen[zeros])
+        ranks = ranks[np.argsort(ranks >> bit, kind="stable")]
+    return out
+
+
+def _groups(table, by: int):
+    """The index of each row's group, in order of rows sorted by group, and the first row of each."""
+    import numpy as np
+
+    codes = [table.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for i in range(by)]
+    new = np.ones(table.num_rows, dtype=bool)
+    if table.num_rows:
+        new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0) if codes else False
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _inverted(by: int, cells: bool):
+    """Rows (by, ra, rb, pa, pb) of a part to the inversions of each group; with cells less those inside a part of the other order."""
+
+    def inverted(table):
+        import numpy as np
+        import pyarrow as pa
+
+        names = table.column_names[:by]
+        table = table.sort_by([(c, "ascending") for c in (*names, "ra", "rb")])
+        group, first = _groups(table, by)
+        rb = table.column("rb").to_numpy()
+        found = inversions(rb, group, len(first))
+        if cells and len(first):
+            other = table.column("pa").to_numpy()
+            new = np.ones(len(group), dtype=bool)
+            new[1:] = (group[1:] != group[:-1]) | (other[1:] != other[:-1])
+            np.subtract.at(found, group[new], inversions(rb, np.cumsum(new) - 1, int(new.sum())))
+        return table.select(names).take(pa.array(first)).append_column("d", pa.array(found))
+
+    return inverted
+
+
+def _between(by: int):
+    """Counts (by, pa, pb, n) of one group to the pairs of rows in different parts of both orders that are in the wrong order."""
+
+    def between(table):
+        import numpy as np
+        import pyarrow as pa
+
+        a, b, n = (table.column(c).to_numpy() for c in ("pa", "pb", "n"))
+        ia, ib = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+        cells = np.zeros((ia.max() + 1, ib.max() + 1), dtype="i8")
+        np.add.at(cells, (ia, ib), n)
+        # Rows of earlier parts with a higher one of the other.
+        earlier = np.cumsum(cells, axis=0) - cells
+        higher = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier
+        return table.select(table.column_names[:by]).slice(0, 1).append_column("d", pa.array([int((cells * higher).sum())]))
+
+    return between
+
+
 def kendall(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
-    """by, tau (tau-b) of two rankings (by, topic, rank). All pairs of one ranking's topics: for rankings of bounded size."""
-    both = a.select(*by, "topic", F.col("rank").alias("ra")).join(b.select(*by, "topic", F.col("rank").alias("rb")), [*by, "topic"])
-    other = both.select(*by, F.col("topic").alias("t2"), F.col("ra").alias("ra2"), F.col("rb").alias("rb2"))
-    pairs = both.join(other, list(by)) if by else both.crossJoin(other)
-    sx, sy = F.signum(F.col("ra") - F.col("ra2")), F.signum(F.col("rb") - F.col("rb2"))
-    tau = F.sum(sx * sy) / F.nullif(F.sqrt(F.sum(F.abs(sx)) * F.sum(F.abs(sy))), F.lit(0.0))
-    return pairs.where(F.col("topic") < F.col("t2")).groupBy(*by).agg(tau.alias("tau"))
+    """by, tau (tau-b) of two rankings (by, topic, rank), from counts of inversions.
+
+    Rows are cut into parts of about equal size by (group, rank in a) and by (group, rank in b). Inversions inside a part of either
+    are counted in its task (those in a part of both once); pairs apart in both come from the counts of the parts' cells, at
+    most PARTS * PARTS of a group. So n topics cost n log n, also in one group. A ranking with all topics tied has no tau.
+    """
+    from ..plans.loops import round_table
+
+    both = a.select(*by, "topic", F.col("rank").alias("ra")).join(b.select(*by, "topic", F.col("rank").alias("rb")), [*by, "topic"]).select(*by, "ra", "rb")
+    n = min(PARTS, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = both.withColumns({"__a": F.struct("ra", "rb"), "__b": F.col("rb")})
+    rows = with_parts(rows, "__a", *by, n=n).withColumnRenamed("__part", "pa").drop("__tie")
+    rows = round_table(with_parts(rows, "__b", *by, n=n).withColumnRenamed("__part", "pb").select(*by, "ra", "rb", "pa", "pb"), "ranks")
+    fields = "".join(f"`{c}` {both.schema[c].dataType.simpleString()}, " for c in by)
+    counted = f"{fields}d bigint"
+    inside = rows.groupBy("pa").applyInArrow(_inverted(len(by), False), counted)
+    across = rows.groupBy("pb").applyInArrow(_inverted(len(by), True), counted)
+    cells = rows.groupBy(*by, "pa", "pb").agg(F.count("*").alias("n"))
+    apart = cells.groupBy(*by).applyInArrow(_between(len(by)), counted)
+    wrong = inside.unionByName(across).unionByName(apart).groupBy(*by).agg(F.sum(F.col("d").cast("decimal(38,0)")).alias("d"))
+    pairs = lambda c: F.sum(F.col(c).cast("decimal(19,0)") * (F.col(c) - 1).cast("decimal(19,0)") / 2).cast("decimal(38,0)")
+    each = rows.groupBy(*by, "ra", "rb").agg(F.count("*").alias("n"))
+    tied = {"n0": [], "n1": ["ra"], "n2": ["rb"], "n3": ["ra", "rb"]}
+    parts = [each.groupBy(*by, *c).agg(F.sum("n").alias("n")).groupBy(*by).agg(pairs("n").alias("k")).withColumn("of", F.lit(name)) for name, c in tied.items()]
+    counts = wrong.select(*by, F.col("d").alias("k"), F.lit("d").alias("of"))
+    for part in parts:
+        counts = counts.unionByName(part)
+    one = {name: F.coalesce(F.max(F.when(F.col("of") == name, F.col("k"))), F.lit(0)).alias(name) for name in ("d", *tied)}
+    found = counts.groupBy(*by).agg(*one.values())
+    right = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("d")
+    norm = F.sqrt((F.col("n0") - F.col("n1")).cast("double") * (F.col("n0") - F.col("n2")).cast("double"))
+    return found.where("n0 > 0").select(*by, (right.cast("double") / F.nullif(norm, F.lit(0.0))).alias("tau"))
 
 
 def average_ranks(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """rows with avg_rank: ascending, ties share the mean of their places."""
-    places = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(value))) if by else dense_ids(rows, value, 1).withColumnRenamed("id", "place")
-    return places.withColumn("avg_rank", F.avg("place").over(Window.partitionBy(*by, value))).drop("place")
+    """rows with avg_rank: ascending, ties share the mean of their places. Equal values are counted before they are placed."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    places = scanned(counts, value, {"__upto": F.col("__n")}, *by).select(*[F.col(c).alias(f"__{c}") for c in (*by, value)], (F.col("__upto") - (F.col("__n") - 1) / 2).alias("avg_rank"))
+    same = [rows[c].eqNullSafe(places[f"__{c}"]) for c in (*by, value)]
+    return rows.join(places, same).select(*rows.columns, "avg_rank")
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -179,6 +284,9 @@ def convergence(history: DataFrame) -> DataFrame:
 
 def run_agreement(final: DataFrame) -> DataFrame:
     """system, mean, std (population), min, max of tau over pairs of runs. final: system, run, topic, rank."""
+    from ..plans.loops import round_table
+
+    final = round_table(final.select("system", "run", "topic", "rank"), "final")
     a = final.select("system", F.col("run").alias("run_a"), "topic", "rank")
     b = final.select("system", F.col("run").alias("run_b"), "topic", "rank")
     pairs = a.select("system", "run_a").distinct().join(b.select("system", "run_b").distinct(), "system").where("run_a < run_b")
