@@ -10,7 +10,7 @@ from .common import by_value, kept_by_worker
 from .suffixes import mixed, sums, tables
 
 #: Bytes of text that are split at a time; a longer text is cut after a separator.
-BUFFER = 8 << 20
+BUFFER = 2 << 20
 WORD, GAP, SEPARATOR = 0, 1, 2
 
 
