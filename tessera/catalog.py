@@ -309,7 +309,7 @@ def coverage_contains(spark, d):
     p = table(spark, d, "part")
     truth = p.select(F.col("p_brand").alias("category"), F.col("p_type").alias("subtopic")).distinct()
     crawl = p.select(F.concat(F.lit("about "), "p_name").alias("topic"), F.col("p_partkey").alias("pos"))
-    return coverage.contained(truth, crawl, lambda s, t: F.contains(t, F.lower(s)), size=2000)
+    return coverage.contained_text(truth, crawl, F.lower("subtopic"), F.col("topic"))
 
 
 @query("""WITH c AS (SELECT p_brand AS category, lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size < 25) AS hit, p_name FROM part)

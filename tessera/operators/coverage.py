@@ -14,7 +14,7 @@ from .dedup import chunked
 def contained(truth: DataFrame, crawl: DataFrame, predicate: Callable[[Column, Column], Column], size: int = 50) -> DataFrame:
     """category, subtopic, matched_topic (null without one): the first topic, by pos, for which predicate(subtopic, topic) holds.
 
-    Topics are tried in chunks, and a subtopic leaves the probe side once it has a match. A chunk has `size` topics, so each
+    For predicates that no index serves, such as a judge's; contained_text is for texts. Topics are tried in chunks, and a subtopic leaves the probe side once it has a match. A chunk has `size` topics, so each
     join pairs the unmatched subtopics with a bounded side, which is broadcast. Each round is written to the shared folder, and
     the last is that in which no subtopic is left.
     """
@@ -36,6 +36,40 @@ def contained(truth: DataFrame, crawl: DataFrame, predicate: Callable[[Column, C
     return rest if found is None else found.unionByName(rest)
 
 
+#: Letters of the grams by which texts are looked up.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def contained_text(truth: DataFrame, crawl: DataFrame, needle: Column, topic: Column) -> DataFrame:
+    """category, subtopic, matched_topic (null without one): the first topic, by pos, whose text (an expression over crawl) contains
+    the needle (one over truth). An index instead of pairs of all: topics are listed by their grams of GRAM letters, each
+    needle is looked up under that of its grams that fewest topics have, and what is found there is compared.
+
+    A needle under GRAM letters is a gram of its own; an empty one is in every topic; a null on either side matches nothing.
+    """
+    wanted = truth.select("category", "subtopic", needle.alias("needle"))
+    needles = wanted.where("needle <> ''").select("needle").distinct()
+    texts = crawl.select("pos", "topic", topic.alias("text")).where("text is not null")
+    size = F.least(F.char_length("needle"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in needles.select(size.alias("s")).distinct().collect())
+    found = None
+    if sizes:
+        by_size = lambda c, s: F.when(F.char_length(c) >= s, _grams(c, s)).otherwise(F.array().cast("array<string>"))
+        own = needles.select("needle", F.explode(F.coalesce(*[F.when(size == s, by_size(F.col("needle"), s)) for s in sizes])).alias("gram"))
+        listed = texts.select("pos", "topic", "text", F.explode(F.flatten(F.array(*[by_size(F.col("text"), s) for s in sizes]))).alias("gram"))
+        known = listed.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        rarest = own.join(known, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("needle", "g.gram")
+        hits = listed.join(rarest, "gram").where(F.contains(F.col("text"), F.col("needle")))
+        found = hits.groupBy("needle").agg(F.min_by("topic", "pos").alias("matched_topic"))
+    first = texts.groupBy().agg(F.min_by("topic", "pos").alias("matched_topic")).where("matched_topic is not null").select(F.lit("").alias("needle"), "matched_topic")
+    found = first if found is None else found.unionByName(first)
+    return wanted.join(found, "needle", "left").select("category", "subtopic", "matched_topic")
+
+
 def keyed_coverage(truth: DataFrame, crawl: DataFrame) -> DataFrame:
     """The same with equality of keys as predicate: one equi-join."""
     keys = crawl.groupBy(trim_key(F.col("topic")).alias("k")).agg(F.min_by("topic", "pos").alias("matched_topic"))
