@@ -12,9 +12,10 @@ A document's set holds the hashes of its SHINGLE-word shingles. Two documents li
    level, rarest first, then by hash; shingles that nobody shares come first and are skipped. What is left of the
    prefix are the lists that a class is in. Rounds: (a) each class meets the leader of its lists, the member with the
    largest part of its set shared, that it shares most lists with; (b) where a list still has several components, all
-   members of lists of up to COMMON, and BUCKETS leaders of longer ones, across components; (c) what is left of longer
-   lists, across components, in blocks. A pair needs that the shared shingles of both allow a link. Each round leaves
-   components, and only lists with several go on, so a group of copies costs a pair or two for each.
+   members of lists of up to COMMON, and BUCKETS leaders of longer ones, across components; (c) where any list was longer, all
+   pairs of the lists made anew, across components, those of longer ones in blocks. A pair needs that the shared shingles of
+   both allow a link. Each round leaves components, and only lists with several go on, so a group of copies costs a pair
+   or two for each. The last round compares all that could still link, so none is lost.
 4. Verify. The sets of candidates are cut into SEGMENTS ranges; the overlap is counted in each and summed for each pair.
 
 Bitmaps are broadcast up to BROADCAST bytes together; beyond that shingles are joined with their counts.
@@ -29,8 +30,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.scan import numbered
 from . import common
 from .common import SPACE, by_value, kept_by_worker, plan_bytes, scratch, written
 from .suffixes import mixed, sums, tables
@@ -285,10 +286,11 @@ def _filtered(size: int, maps):
         import pyarrow as pa
 
         seen: set = set()
+        bitmaps = Bitmaps(maps.value) if maps else None
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for _, n, values, starts, c1, c2 in sets_of(batch.column(1), size):
-                level = maps.value.level(values) if maps else np.ones(len(values), dtype="u1")
+                level = bitmaps.level(values) if bitmaps else np.ones(len(values), dtype="u1")
                 shared = np.diff(np.concatenate(([0], np.cumsum(level > 0)))[starts])
                 stay = (n > 0) & (shared * 100 >= n * PERCENT)
                 for k in np.flatnonzero(stay):
@@ -415,7 +417,8 @@ class Join:
             a = fragment * len(data)
             old = int.from_bytes(maps[level][a : a + len(data)], "little")
             maps[level][a : a + len(data)] = (old | int.from_bytes(data, "little")).to_bytes(len(data), "little")
-        held = spark.sparkContext.broadcast(Bitmaps([(sizes[x], bytes(maps[x])) for x in sizes]))
+        # Numbers and bytes alone: workers need not know the class.
+        held = spark.sparkContext.broadcast([(sizes[x], bytes(maps[x])) for x in sizes])
         types = f"doc_id {self.id_type}, text_hash bigint, n int, s int, c1 bigint, c2 bigint, shared array<bigint>, first array<bigint>"
         return self.docs.select("doc_id", "text", "text_hash").mapInArrow(_filtered(self.size, held), types)
 
@@ -506,9 +509,8 @@ class Join:
         nodes = rows.select("node", "n", "label").distinct()
         lead = rows.groupBy("h").agg(F.min("node").alias("b"))
         joined_ = components(written(rows.select("h", F.col("node").alias("a")).join(lead, "h").select("a", "b").distinct(), "lists"))
-        place = F.row_number().over(Window.partitionBy("cluster").orderBy("label", "n", "node")) - 1
-        at = nodes.join(joined_.select("node", F.col("label").alias("cluster")), "node")
-        at = written(at.withColumn("block", F.floor(place / BLOCK).cast("int")), "blocks")
+        at = written(nodes.join(joined_.select("node", F.col("label").alias("cluster")), "node").withColumn("o", F.struct("label", "n", "node")), "clusters")
+        at = written(numbered(at, "o", "place", "cluster").withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("int")).drop("o", "place"), "blocks")
         ends = at.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         other = ends.toDF("cluster", "block2", "lo2", "hi2")
         met = ends.join(other, "cluster").where((F.col("block") <= F.col("block2")) & (F.least("lo", "lo2") < F.greatest("hi", "hi2"))).select("cluster", F.col("block").alias("i"), F.col("block2").alias("j"))
@@ -542,8 +544,11 @@ class Join:
             links = links.unionByName(written(self.linked(pairs), "links"))
             labels = components(links)
         if live.where(F.col("k") > COMMON).limit(1).count():
+            # Lists made anew may be short where the former were long, so all of them are compared: each two components that
+            # still have a link share one of them.
             live = written(self.live(written(self.narrowed(lists, labels), "lists"), labels), "live")
-            more = written(self.across(live), "links")
+            near = self.within(live).join(done, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")
+            more = written(self.linked(written(near, "pairs")).unionByName(self.across(live)), "links")
             if more.limit(1).count():
                 labels = components(links.unionByName(more))
         return labels

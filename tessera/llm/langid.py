@@ -106,6 +106,13 @@ class Model:
         self.n_states = len(states)
         self.key, self.at = (np.array(x, dtype=t) for x, t in zip(zip(*steps), ("i8", "i4")))
 
+    @classmethod
+    def restored(cls, state: dict) -> "Model":
+        """The model with these attributes: a broadcast holds them alone, so that workers need not know this class."""
+        model = cls.__new__(cls)
+        model.__dict__.update(state)
+        return model
+
     @property
     def dense_bytes(self) -> int:
         return 4 * self.n_states * self.width
@@ -243,7 +250,7 @@ def _predictor(models, name: str):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        letters, parsers = kept_by_worker(f"langid-{name}", lambda: (letter_table(), parsers_of(models.value)))
+        letters, parsers = kept_by_worker(f"langid-{name}", lambda: (letter_table(), parsers_of([Model.restored(m) for m in models.value])))
         for batch in batches:
             texts, first, size = batch.column(1), 0, 0
             lengths = pc.binary_length(texts).fill_null(0).to_pylist()
@@ -260,7 +267,7 @@ def _predictor(models, name: str):
 
 def identified(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learns from those that are not held out."""
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, rows, chars))
+    models = docs.sparkSession.sparkContext.broadcast([vars(m) for m in fit(docs, rows, chars)])
     columns = docs.select("doc_id", "text", F.coalesce(held_out(docs["doc_id"]), F.lit(False)).alias("held_out"))
     return columns.mapInArrow(_predictor(models, uuid.uuid4().hex), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
