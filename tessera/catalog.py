@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions import keys, names, parsers, text
 from .operators import coverage, curves, dedup, filters, labels, lineage, matching, ranking, refusal, sampling, stats
 from .plans import loops, providers
@@ -760,7 +761,7 @@ def streamed(spark, d, name):
 def finished(stream: DataFrame, mode: str, label: str) -> DataFrame:
     """All rows of the stream, through a table in the shared folder."""
     spark = stream.sparkSession
-    folder = loops.round_table(spark.range(1), label)
+    folder = storage.round_table(spark.range(1), label)
     path = folder.inputFiles()[0].rpartition("/")[0]
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -12,12 +12,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import query, table
+from . import storage
+from .catalog import EDGES, PUNCT, REFUSALS, TOPICS, answers, edges, query, table
 from .functions import keys, names, parsers, text
 from .operators import coverage, curves, filters, labels, lineage, matching, ranking, refusal, sampling, stats
-from .plans import config, evaluation, loops, providers
+from .plans import artifacts, config, evaluation, loops, providers, refusals
+from .plans.providers import CallError
 from .shipping import by_value
-from .sources import readers, writers
+from .sources import readers, versions, writers
 from .streaming import streams
 
 
@@ -38,7 +40,7 @@ def parts(spark, d) -> DataFrame:
 
 
 def folder(spark, label: str) -> str:
-    return f"{loops.shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{storage.shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # Text of answers
@@ -651,4 +653,97 @@ def feedback_stream(spark, d):
     return spark.read.parquet(path).drop("epoch")
 
 
+# Model calls with failures, translation, versions, long lineage, numbered streams
+
+
+class Rule(providers.Provider):
+    """Answers by an expression over the requests' rows, with the chat's last text as content."""
+
+    def __init__(self, text):
+        self.text = text
+
+    def answer(self, requests):
+        return requests.withColumn("content", F.element_at("messages", -1)["content"]).withColumn("text", self.text).drop("content")
+
+
+@query(f"""WITH {REFUSALS}, v AS (SELECT conv_id || '-' || turn AS id, query, fast, (conv_id * 7 + turn) % 5 = 4 AND turn % 3 = 0 AS declines, (conv_id * 7 + turn) % 5 = 4 AND turn % 3 = 1 AS agrees, ('0x' || substr(md5(conv_id || '-' || turn), 1, 4))::INT % 100 AS s FROM f)
+SELECT id, CASE WHEN fast IS NOT NULL THEN fast WHEN declines THEN true WHEN agrees AND coalesce(query, '') = '' THEN false ELSE s % 2 = 0 END AS is_refusal,
+CASE WHEN fast IS NOT NULL THEN 'pattern' WHEN declines OR (agrees AND coalesce(query, '') = '') THEN 'classifier' ELSE 'judge' END AS stage FROM v""")
+def cascade_translated(spark, d):
+    """Answers in Han letters are translated before the classifier, which knows only English words."""
+    rows = answers(spark, d)
+    own = (F.col("conv_id") * 7 + F.col("turn")) % 5 == 4
+    han = F.when(own & (F.col("turn") % 3 == 0), F.concat(F.lit("\u6211\u62d2\u7edd "), "answer")).when(own & (F.col("turn") % 3 == 1), F.concat(F.lit("\u6211\u540c\u610f "), "answer")).otherwise(F.col("answer"))
+    translator = Rule(F.regexp_replace(F.regexp_replace("content", "^[^:]*: \u6211\u62d2\u7edd", "Declined:"), "^[^:]*: \u6211\u540c\u610f", "Agreed:"))
+    label = lambda df: F.when(F.startswith(df["text"], F.lit("Declined:")), "rejection").otherwise("normal")
+    classify = lambda df: df.select("id", label(df).alias("label"), F.when(F.rlike("text", F.lit("^(Declined|Agreed):")), 0.995).otherwise(0.5).alias("score"))
+    s = F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 100
+    return refusals.checked(rows.select("id", "query", han.alias("answer")), translator, classify, Rule(F.when(s % 2 == 0, "Yes").otherwise("No")))
+
+
+def remote():
+    """A call that is answered, withheld, empty, down for good, or busy at first, by the length of the text."""
+    seen = set()
+
+    def call(messages, model, temperature):
+        text = messages[-1]["content"]
+        kind = len(text) % 5
+        if kind == 0:
+            raise CallError(403, "policy")
+        if kind == 1:
+            return ""
+        if kind == 2:
+            raise CallError(503)
+        if kind == 3 and text not in seen:
+            seen.add(text)
+            raise CallError(429)
+        return text.upper()
+
+    return call
+
+
+@query("""SELECT doc_id, o AS outcome, CASE o WHEN 'moderated' THEN 403 WHEN 'exhausted' THEN 503 WHEN 'answered' THEN 200 WHEN 'empty' THEN 200 END AS status, CASE WHEN length(text) % 5 IN (2, 3) AND o IS NOT NULL THEN 2 WHEN o IS NOT NULL THEN 1 END AS attempts
+FROM (SELECT *, CASE WHEN trim(coalesce(text, '')) <> '' THEN ['moderated', 'empty', 'exhausted', 'answered', 'answered'][length(text) % 5 + 1] END AS o FROM documents)""")
+def called_answers(spark, d):
+    """Every document's text sent once to a function that fails in all the ways it can."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    asked = providers.requests(rows, "echo", "m", providers.chat(None, F.col("text")))
+    found = providers.CallProvider(remote(), providers.Policy(retries=1, pause=0.0)).outcomes(asked)
+    return asked.select("doc_id", "request_id").join(found, "request_id", "left").select("doc_id", "outcome", "status", "attempts")
+
+
+@query("SELECT 'k12-' || (doc_id // 4096) AS final_topic, 'k0-' || doc_id AS origin FROM documents")
+def long_trajectories(spark, d):
+    """Twelve rounds that halve the topics."""
+    ids, i, k = table(spark, d, "documents").select("doc_id"), F.col("iteration"), F.col("k")
+    name = lambda at, n: F.concat(F.lit("k"), at.cast("string"), F.lit("-"), n.cast("string"))
+    keys = ids.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("iteration"), "doc_id").select("iteration", F.expr("shiftright(doc_id, iteration)").alias("k")).distinct()
+    edges_ = keys.select("iteration", k.alias("pos"), name(i + 1, F.shiftright("k", 1)).alias("out_topic"), name(i, k).alias("in_topic"))
+    return lineage.trajectories(edges_, ids.select(F.concat(F.lit("k0-"), F.col("doc_id").cast("string")).alias("topic"), F.col("doc_id").alias("pos")), 12)
+
+
+@query(f"""WITH {EDGES}, r AS (SELECT DISTINCT 'b' || (doc_id // 64) AS out_topic, source FROM documents), s AS (SELECT out_topic, count(source) AS n FROM r GROUP BY 1)
+SELECT e.out_topic, string_agg(DISTINCT in_topic, '|' ORDER BY in_topic) AS inputs, any_value(n) AS n_runs FROM edges e JOIN s USING (out_topic) WHERE iteration = 1 GROUP BY 1""")
+def published_artifacts(spark, d):
+    """The tables of a reduction, published as one version and read back from it."""
+    docs = table(spark, d, "documents")
+    e, originals = edges(spark, d), docs.select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("topic"), F.col("doc_id").alias("pos"))
+    sources = docs.select(F.concat(F.lit("b"), F.floor(F.col("doc_id") / 64).cast("string")).alias("topic_key"), F.col("source").alias("run")).distinct()
+    path = folder(spark, "artifacts")
+    artifacts.publish_aggregation(spark, path, e, originals, sources, 2, 20)
+    version = versions.current(spark, path)
+    finals, of_final = version.read(spark, "final_topics"), version.read(spark, "sources").select("out_topic", "n_runs")
+    return finals.join(of_final, "out_topic").select("out_topic", F.array_join("inputs", "|").alias("inputs"), "n_runs")
+
+
+@query(f"""WITH {TOPICS}, h AS (SELECT {PUNCT} AS key, min(pos) AS pos FROM t GROUP BY 1) SELECT key, pos, row_number() OVER (ORDER BY pos) - 1 AS cluster_idx FROM h WHERE key <> ''""")
+def stream_heads(spark, d):
+    """The stream's unique topics with the cluster numbers of the batch operator."""
+    batch = table(spark, d, "documents")
+    rows = spark.readStream.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet*")
+    out = folder(spark, "stream-heads")
+    streams.numbered_heads(rows.select(F.regexp_extract("text", "^[^.]*", 0).alias("topic"), "doc_id"), "topic", "doc_id", f"{out}/heads", f"{out}/marks").awaitTermination()
+    return spark.read.parquet(f"{out}/heads").select("key", "pos", "cluster_idx")
+
+
 by_value(__name__)

@@ -18,7 +18,7 @@ def contained(truth: DataFrame, crawl: DataFrame, predicate: Callable[[Column, C
     join pairs the unmatched subtopics with a bounded side, which is broadcast. Each round is written to the shared folder, and
     the last is that in which no subtopic is left.
     """
-    from ..plans.loops import round_table
+    from ..storage import round_table
 
     topics = round_table(chunked(crawl.select("topic", "pos"), "pos", size), "chunks")
     n = topics.agg(F.max("chunk")).head()[0]

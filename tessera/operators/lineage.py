@@ -26,18 +26,39 @@ def merged_mappings(edges: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(F.min_by("out_topic", "pos").alias("out_topic"), F.array_sort(F.collect_set("in_topic")).alias("inputs")).select("out_topic", "inputs")
 
 
+def composed(steps: DataFrame) -> DataFrame:
+    """out_key, in_key over all steps (iteration, out_key, in_key): what each key comes from, where a key that a step does not have
+    passes through it.
+
+    Each round composes neighbouring blocks of steps, all pairs of blocks in one join, and is written; so there are as many
+    rounds as the logarithm of the iterations, and no plan grows with them.
+    """
+    from ..storage import round_table, scratch
+
+    with scratch(steps.sparkSession):
+        blocks = round_table(steps.select(F.col("iteration").cast("int").alias("block"), "out_key", "in_key").distinct(), "blocks")
+        last = blocks.agg(F.max("block")).head()[0] or 0
+        while last > 0:
+            later = blocks.where("block % 2 = 1").select(F.expr("block div 2").cast("int").alias("block"), "out_key", F.col("in_key").alias("mid"))
+            earlier = blocks.where("block % 2 = 0").select(F.expr("block div 2").cast("int").alias("block"), F.col("out_key").alias("mid"), "in_key")
+            both = later.join(earlier, ["block", "mid"], "left").select("block", "out_key", F.coalesce("in_key", "mid").alias("in_key"))
+            # Outputs of the earlier block that the later one does not take up stay as they are.
+            past = earlier.withColumnRenamed("mid", "out_key").join(later.select("block", "out_key").distinct(), ["block", "out_key"], "left_anti").select("block", "out_key", "in_key")
+            blocks = round_table(both.unionByName(past).distinct(), "blocks")
+            last //= 2
+        return round_table(blocks.select("out_key", "in_key"), "composed", keep=True)
+
+
 def trajectories(edges: DataFrame, originals: DataFrame, iterations: int) -> DataFrame:
     """final_topic, origin pairs: each output of the last iteration with the original topics that it comes from.
 
-    Walks back one iteration at a time (a join each, on keys). A key that an iteration does not have passes through.
-    originals: topic, pos; of spellings with one key the last counts.
+    Blocks of iterations are composed by doubling. A key that an iteration does not have passes through. originals: topic, pos; of
+    spellings with one key the last counts.
     """
-    keyed = edges.select("iteration", trim_key(F.col("out_topic")).alias("out_key"), trim_key(F.col("in_topic")).alias("in_key"), "out_topic", "pos")
+    keyed = edges.where(F.col("iteration") < iterations).select("iteration", trim_key(F.col("out_topic")).alias("out_key"), trim_key(F.col("in_topic")).alias("in_key"), "out_topic", "pos")
     last = keyed.where(F.col("iteration") == iterations - 1)
-    front = last.groupBy("out_key").agg(F.min_by("out_topic", "pos").alias("final_topic")).select("final_topic", F.col("out_key").alias("at"))
-    for i in reversed(range(iterations)):
-        step = keyed.where(F.col("iteration") == i).select(F.col("out_key").alias("at"), "in_key").distinct()
-        front = front.join(step, "at", "left").select("final_topic", F.coalesce("in_key", "at").alias("at")).distinct()
+    finals = last.groupBy("out_key").agg(F.min_by("out_topic", "pos").alias("final_topic"))
+    front = finals.join(composed(keyed), "out_key", "left").select("final_topic", F.coalesce("in_key", "out_key").alias("at"))
     spelled = originals.groupBy(trim_key(F.col("topic")).alias("at")).agg(F.max_by("topic", "pos").alias("spelling"))
     return front.join(spelled, "at", "left").select("final_topic", F.coalesce("spelling", "at").alias("origin")).distinct()
 
@@ -71,7 +92,7 @@ def depth(topics: DataFrame) -> DataFrame:
     Each round follows every open topic's ancestor to that one's own, so chains take rounds by the logarithm of their
     length. Topics whose chain ends at an id that is not there have no row; a cycle of parents raises ValueError.
     """
-    from ..plans.loops import round_table
+    from ..storage import round_table
 
     seed = F.expr("parent_id is null or parent_id < 0")
     state = round_table(topics.select("id", F.when(~seed, F.col("parent_id")).alias("at"), F.when(seed, 0).otherwise(1).alias("depth")), "depth")

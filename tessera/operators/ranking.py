@@ -227,16 +227,18 @@ def kendall(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     """by, tau (tau-b) of two rankings (by, topic, rank), from counts of inversions.
 
     Rows are cut into parts of about equal size by (group, rank in a) and by (group, rank in b). Inversions inside a part of either
-    are counted in its task (those in a part of both once); pairs apart in both come from the counts of the parts' cells, at
+    are counted in its task (those in a part of both once; equal ranks in b share a part); pairs apart in both come from the counts of the parts' cells, at
     most PARTS * PARTS of a group. So n topics cost n log n, also in one group. A ranking with all topics tied has no tau.
     """
-    from ..plans.loops import round_table
+    from ..storage import round_table
 
+    if not by:
+        return kendall(a.withColumn("__all", F.lit(0)), b.withColumn("__all", F.lit(0)), "__all").drop("__all")
     both = a.select(*by, "topic", F.col("rank").alias("ra")).join(b.select(*by, "topic", F.col("rank").alias("rb")), [*by, "topic"]).select(*by, "ra", "rb")
     n = min(PARTS, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = both.withColumns({"__a": F.struct("ra", "rb"), "__b": F.col("rb")})
     rows = with_parts(rows, "__a", *by, n=n).withColumnRenamed("__part", "pa").drop("__tie")
-    rows = round_table(with_parts(rows, "__b", *by, n=n).withColumnRenamed("__part", "pb").select(*by, "ra", "rb", "pa", "pb"), "ranks")
+    rows = round_table(with_parts(rows, "__b", *by, n=n, apart=False).withColumnRenamed("__part", "pb").select(*by, "ra", "rb", "pa", "pb"), "ranks")
     fields = "".join(f"`{c}` {both.schema[c].dataType.simpleString()}, " for c in by)
     counted = f"{fields}d bigint"
     inside = rows.groupBy("pa").applyInArrow(_inverted(len(by), False), counted)
@@ -284,7 +286,7 @@ def convergence(history: DataFrame) -> DataFrame:
 
 def run_agreement(final: DataFrame) -> DataFrame:
     """system, mean, std (population), min, max of tau over pairs of runs. final: system, run, topic, rank."""
-    from ..plans.loops import round_table
+    from ..storage import round_table
 
     final = round_table(final.select("system", "run", "topic", "rank"), "final")
     a = final.select("system", F.col("run").alias("run_a"), "topic", "rank")

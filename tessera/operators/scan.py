@@ -1,6 +1,6 @@
 """Running sums over ordered rows, in segments, without a task that holds a whole segment.
 
-Rows are dealt to parts by split points of (group, order), which come from a sample of the keys with the least hashes. The split
+Rows are dealt to parts by split points of (group, order), which come from a sample of the distinct keys. The split
 points are a scalar subquery over the rows, so they are the same wherever the plan uses them, and a row's part is a
 function of its key alone. Each part sums its own rows; the parts' totals, a row for each part and group, are summed
 over the parts, and what lies before a part enters it as one more row in front. So a group is as many tasks as it
@@ -19,8 +19,12 @@ SAMPLES = 20
 
 
 def split_points(keys: DataFrame, key: str, n: int) -> Column:
-    """An array of at most n - 1 keys that cut the rows into about equal parts: a scalar subquery over a sample with the least hashes."""
-    sample = keys.select(key).orderBy(F.xxhash64(key), key).limit(SAMPLES * n)
+    """An array of at most n - 1 keys that cut the distinct keys into about equal parts: a scalar subquery over a sample of them, about
+    SAMPLES * n, that have the least hashes."""
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 31)).cast("double") / float(1 << 31)
+    count = keys.agg(F.count("*").cast("double").alias("n")).scalar()
+    # A key that many rows have is sampled once; it is reduced before the shuffle.
+    sample = keys.where(share * count < SAMPLES * n).select(key).distinct()
     ordered = sample.agg(F.sort_array(F.collect_list(key)).alias("s"))
     at = lambda i: F.get("s", F.floor(i * F.size("s") / n).cast("int"))
     return ordered.select(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at)).scalar()
@@ -34,14 +38,16 @@ def part_of(key: Column, points: Column, n: int) -> Column:
     return F.transform(F.array(key), search)[0]
 
 
-def with_parts(rows: DataFrame, order: str, *by: str, n: int | None = None) -> DataFrame:
-    """rows with __part, that rises with (by, order), and __tie, a hash of the whole row that orders equal ones."""
+def with_parts(rows: DataFrame, order: str, *by: str, n: int | None = None, apart: bool = True) -> DataFrame:
+    """rows with __part, that rises with (by, order), and __tie, a hash of the whole row that orders rows of one place. With apart
+    such rows may be in several parts; rows that are equal in all columns share one."""
     n = n or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
     keyed = rows.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
     if n == 1:
         return keyed.withColumn("__part", F.lit(0))
-    keyed = keyed.withColumn("__key", F.struct(*[F.col(b).alias(f"b{i}") for i, b in enumerate(by)], F.col(order).alias("o"), F.col("__tie").alias("t")))
+    tie = [F.col("__tie").alias("t")] if apart else []
+    keyed = keyed.withColumn("__key", F.struct(*[F.col(b).alias(f"b{i}") for i, b in enumerate(by)], F.col(order).alias("o"), *tie))
     placed = keyed.withColumn("__points", split_points(keyed, "__key", n))
     return placed.withColumn("__part", part_of(F.col("__key"), F.col("__points"), n)).drop("__key", "__points")
 

@@ -20,7 +20,7 @@ from ..operators.refusal import vote
 from ..operators.sampling import repeated
 from ..operators.stats import pool_recall, untested
 from ..sources.writers import cached
-from .loops import round_table
+from ..storage import round_table
 from .providers import Provider, chat, requests, with_request_id
 
 #: Neutral texts; a project supplies its own.
@@ -50,7 +50,7 @@ def judged_terms(terms: DataFrame, reference: DataFrame, provider: Provider, mod
     asked = provider.answer(requests(terms.crossJoin(lists), "contain", model, chat(None, F.concat(F.col("term"), F.lit("\n"), numbered(F.col("items"))))))
     parsed = F.from_json("text", "struct<match:boolean,matched_term:string>")
     each = asked.select("id", F.col("term").alias("asked"), "chunk", F.coalesce(parsed["match"], F.lit(False)).alias("match"), parsed["matched_term"].alias("term"))
-    rows = each.groupBy("id", "asked").agg(F.bool_or("match").alias("match"), F.min_by("term", F.when(F.col("match"), F.col("chunk"))).alias("term"))
+    rows = round_table(each.groupBy("id", "asked").agg(F.bool_or("match").alias("match"), F.min_by("term", F.when(F.col("match"), F.col("chunk"))).alias("term")), "judged")
     found = resolved(rows.select("id", "term"), reference)
     return rows.drop("term").join(found.select("id", "resolved"), "id").select("id", F.col("asked").alias("term"), "match", F.when(F.col("match"), F.col("resolved")).alias("resolved"))
 

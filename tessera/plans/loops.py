@@ -3,10 +3,6 @@ executor repeats a round at most."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,29 +16,10 @@ from ..operators.dedup import assigned_clusters, chunked, deduplicate, dense_ids
 from ..operators.lineage import merged_mappings, propagated, uncovered
 from ..operators.refusal import vote
 from ..operators.sampling import drawn
+from ..storage import exists, round_table, scratch
 from .providers import Provider, chat, requests
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; without that setting, on one machine, one of our own that goes with the process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
-    return folder.rstrip("/")
-
-
-def round_table(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Neutral texts; a project supplies its own.
 REDUCE_PROMPT = "Group the following topics into at most {n} groups. Answer with a JSON object from group to topics.\n{items}"
 
@@ -115,10 +92,11 @@ def formatted(generations: DataFrame, provider: Provider, model: str = "formatte
     seen = generations.withColumn("generation", without_thinking(F.col("text"))).drop("text")
     asked = provider.answer(requests(seen, "extract", model, chat(None, filled(F.lit("List the topics as a JSON list of texts:\n{}"), F.col("generation")))))
     items = asked.select("gen_id", "parent_id", F.posexplode(F.slice(F.array_distinct(json_strings(F.col("text"))), 1, most)).alias("i", "raw"))
-    items = items.withColumns({"pos": F.struct("gen_id", "i"), "is_chinese": has_han(F.col("raw"))})
+    # An answer has several readers below: it is written before.
+    items = round_table(items.withColumns({"pos": F.struct("gen_id", "i"), "is_chinese": has_han(F.col("raw"))}), "items")
     chinese = translated(items.where("is_chinese"), provider, "raw", "english", "English")
     rows = items.where(~F.col("is_chinese")).withColumn("english", F.col("raw")).unionByName(chinese)
-    rows = rows.withColumn("shortened", plain_words(F.col("english")))
+    rows = round_table(rows.withColumn("shortened", plain_words(F.col("english"))), "english")
     short = rows.where(word_count(F.col("shortened")) <= 4).withColumn("summary", or_else(F.col("shortened"), F.col("raw")))
     long = provider.answer(requests(rows.where(word_count(F.col("shortened")) > 4), "summarize", model, chat(None, filled(F.lit("Summarize in four words: {}"), F.col("shortened")))))
     long = long.withColumn("summary", summary_of(F.col("text"), F.col("shortened"))).drop(*extra)
@@ -129,10 +107,8 @@ def resumed(spark: SparkSession, path: str | None) -> DataFrame | None:
     """The topics that a crawl has kept at path, or None. A step that was not written whole has no success mark and is left out."""
     if not path:
         return None
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     steps = []
-    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/after={len(steps)}/_SUCCESS")):
+    while exists(spark, f"{path}/after={len(steps)}/_SUCCESS"):
         steps.append(f"{path}/after={len(steps)}")
     return spark.read.parquet(*steps) if steps else None
 
@@ -143,12 +119,27 @@ def crawl(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider:
     With state_path each step's topics are kept there as a folder of their own, and a crawl that finds some goes on after the
     last of them. Where templates have languages, steps take turns among these in order of their names.
 
-    A step draws prompts (no topic in the first `warmup` steps, else a refused head), generates, formats, deduplicates against all
+    Seeds with Han letters are translated first. A step draws prompts (no topic in the first `warmup` steps, else a refused head), generates, formats, deduplicates against all
     heads, probes new heads, and appends. It stops when there are more than max_topics heads.
     """
-    first = dense_ids(seeds.select(F.col("topic").alias("raw")), "raw")
+    with scratch(spark):
+        state = round_table(_crawled(spark, seeds, templates, provider, steps, batch, warmup, max_topics, n_probes, threshold, seed, model, state_path), "topics", keep=True)
+    from ..operators.stats import step_counts
+
+    return state, step_counts(state.where("step >= 0"), "step")
+
+
+def translated_seeds(seeds: DataFrame, provider: Provider) -> DataFrame:
+    """id, raw, english, is_chinese of seeds (topic), in order of their texts; those with Han letters are translated first."""
+    first = round_table(dense_ids(seeds.select(F.col("topic").alias("raw")), "raw").withColumn("is_chinese", has_han(F.col("raw"))), "seeds")
+    chinese = translated(first.where("is_chinese"), provider, "raw", "english", "English")
+    return round_table(first.where(~F.col("is_chinese")).withColumn("english", F.col("raw")).unionByName(chinese), "seeds")
+
+
+def _crawled(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider: Provider, steps: int, batch: int, warmup: int, max_topics: int, n_probes: int, threshold: float, seed: int, model: str, state_path: str | None) -> DataFrame:
     columns = ["id", "parent_id", "raw", "english", "shortened", "summary", "is_chinese", "is_head", "is_refusal", "cluster_idx", "step"]
-    state = first.select("id", F.lit(-5).cast("long").alias("parent_id"), "raw", F.col("raw").alias("english"), plain_words(F.col("raw")).alias("shortened"), F.col("raw").alias("summary"), has_han(F.col("raw")).alias("is_chinese"), F.lit(True).alias("is_head"), F.lit(True).alias("is_refusal"), F.col("id").cast("int").alias("cluster_idx"), F.lit(-1).alias("step"))
+    first = translated_seeds(seeds, provider)
+    state = first.select("id", F.lit(-5).cast("long").alias("parent_id"), "raw", "english", plain_words(F.col("english")).alias("shortened"), F.col("english").alias("summary"), "is_chinese", F.lit(True).alias("is_head"), F.lit(True).alias("is_refusal"), F.col("id").cast("int").alias("cluster_idx"), F.lit(-1).alias("step"))
     state = round_table(state.select(*columns), "topics")
     begun = resumed(spark, state_path)
     if begun is not None:
@@ -173,7 +164,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider:
             slots = slots.withColumn("parent", F.lit(None).cast("struct<parent_id:bigint,raw:string>"))
         prompt = filled(F.col("template"), F.coalesce("parent.raw", F.lit("")))
         asked = provider.answer(requests(slots, "generate", model, chat(None, prompt)))
-        generations = asked.select(F.col("i").alias("gen_id"), F.coalesce("parent.parent_id", F.lit(-1).cast("long")).alias("parent_id"), "text")
+        generations = round_table(asked.select(F.col("i").alias("gen_id"), F.coalesce("parent.parent_id", F.lit(-1).cast("long")).alias("parent_id"), "text"), "generations")
         fresh = formatted(generations, provider)
         fresh = round_table(dense_ids(fresh.drop("pos", "i", "part", "gen_id"), "order_key", state.count()), "fresh")
         clusters = state.agg(F.max("cluster_idx")).head()[0]
@@ -188,9 +179,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, templates: DataFrame, provider:
         state = round_table(state.unionByName(new.select(*columns)), "topics")
         if state_path:
             state.where(F.col("step") == step).write.mode("overwrite").parquet(f"{state_path}/after={step + 1}")
-    from ..operators.stats import step_counts
-
-    return state, step_counts(state.where("step >= 0"), "step")
+    return state
 
 
 def cluster_recursively(topics: DataFrame, provider: Provider, *, size: int, model: str = "clusterer") -> DataFrame:

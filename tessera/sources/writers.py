@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists
+
 
 def run_state(rows: DataFrame, path: str) -> None:
     """Overwrites the partitions of the runs in rows, and no others."""
@@ -22,9 +24,7 @@ def append_log(rows: DataFrame, path: str | None) -> None:
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at path; made and written first if it is not there, or with force."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    if force or not there:
+    if force or not exists(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.keys import summary_key
+from ..operators.dedup import dense_ids
 from ..operators.ranking import Elo
 from ..shipping import by_value
+from ..storage import exists, round_table, scratch
 
 
 def unique_topics(stream: DataFrame, summary: str, watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -22,6 +24,55 @@ def unique_topics(stream: DataFrame, summary: str, watermark: tuple[str, str] |
     return keyed.dropDuplicates(["key"])
 
 
+#: The state store that processors of keyed state need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstOfKey(StatefulProcessor):
+    """Gives a key's first row, and remembers that it was there."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "pos bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = min(int(pdf["pos"].min()) for pdf in rows)
+        if not self.seen.exists():
+            self.seen.update((first,))
+            yield pd.DataFrame({"key": [key[0]], "pos": [first]})
+
+    def close(self) -> None:
+        pass
+
+
+def _least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.groupby("key", as_index=False)["pos"].min()
+
+
+def numbered_heads(stream: DataFrame, summary: str, pos: str, path: str, checkpoint: str):
+    """Appends key, pos, cluster_idx of each new key to the table at path, by micro-batches; needs the RocksDB state store.
+
+    The state says which keys were there before; tasks send it a key's least pos once a batch of rows, so a frequent key is no
+    more work than others. New keys are numbered in order of pos after those of the batches before, whose number is
+    read from the table, so numbers are those of the batch operator where rows arrive in order. A batch that is
+    repeated after a failure overwrites its own folder. Rows without a key are left out: they are never merged.
+    """
+    keyed = stream.select(summary_key(F.col(summary)).alias("key"), F.col(pos).cast("long").alias("pos")).where("key <> ''")
+    heads = keyed.mapInPandas(_least, "key string, pos bigint").groupBy("key").transformWithStateInPandas(FirstOfKey(), "key string, pos bigint", "append", "none")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema("key string, pos bigint, cluster_idx bigint, epoch bigint").parquet(path).where(F.col("epoch") < epoch).count() if exists(spark, path) else 0
+        with scratch(spark):
+            # The state moves on when it is read, so what it gave is written before it is read twice.
+            new = round_table(batch, "heads")
+            rows = dense_ids(new, "pos", known).select("key", "pos", F.col("id").alias("cluster_idx"), F.lit(epoch).cast("long").alias("epoch"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+    heads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return heads.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def running_counts(stream: DataFrame, *by: str) -> DataFrame:
     """by, n_all, n_deduped, n_refused so far; for update mode."""
     head = F.coalesce("is_head", F.lit(False))

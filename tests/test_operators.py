@@ -185,3 +185,17 @@ def test_running_sums_over_partitions(spark):
         total += i % 5 if i % 7 else 0
         assert got[i] == total
     assert cumulated(rows.limit(0), "id", "v", "s").count() == 0
+
+
+def test_trajectories_over_many_iterations(spark):
+    """64 iterations: a chain that renames one topic each time, one that skips iterations, and a late merge."""
+    rows = [(i, 0, f" A{i + 1}", f"a{i}") for i in range(64)]
+    rows += [(i, 1, f"b{i + 1}", "b0" if i < 4 else f"b{i - 3}") for i in range(3, 64, 4)]
+    rows += [(63, 2, "A64", "late")]
+    edges = spark.createDataFrame(rows, "iteration int, pos int, out_topic string, in_topic string")
+    originals = spark.createDataFrame([("a0", 0), ("B0", 1), ("Late", 2)], "topic string, pos int")
+    got = {tuple(r) for r in lineage.trajectories(edges, originals, 64).collect()}
+    assert got == {(" A64", "a0"), (" A64", "Late"), ("b64", "B0")}
+    # The plan has the joins of the last step alone, however many iterations there are.
+    plan = lineage.trajectories(edges, originals, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3
