@@ -126,26 +126,33 @@ def terms(word: str) -> list[str]:
 
 
 def _contexts(batches):
-    """(text, toxic, half) to the distinct contexts of a batch's words: a hash of the word before, the word and the one after in the
-    clause, the labels and the word."""
+    """(text, toxic, half) to the distinct contexts of a batch's words, but for those that are negated or reported: a hash of the word before,
+    the word and the one after in the clause, the labels and the word."""
     import numpy as np
     import pyarrow as pa
 
-    table = kinds()
+    table, listed = kinds(), {name: set(words.split()) for name, words in WORDS.items()}
     for batch in batches:
         group = batch.column(1).to_numpy().astype("u8") * np.uint64(2) + batch.column(2).to_numpy().astype("u8")
         for part in split(batch.column(0), table):
             words = spelled(part.words)
             own = hashes(words)[part.word]
             same = part.piece[1:] == part.piece[:-1]
+            negation, report = (np.array([w in listed[name] for w in words.to_pylist()], dtype=bool)[part.word] for name in ("negation", "report"))
+            # What a negation or a report may turn round says nothing about the word.
+            starts = np.flatnonzero(np.concatenate(([True], ~same)))[: len(own)]
+            seen = np.cumsum(report) - report
+            marked = seen > seen[starts][np.cumsum(np.concatenate(([True], ~same)))[: len(own)] - 1]
+            for reach in range(1, REACH + 1):
+                marked[reach:] |= negation[:-reach] & (part.piece[reach:] == part.piece[:-reach])
             before, after = np.zeros(len(own), dtype="u8"), np.zeros(len(own), dtype="u8")
             before[1:] = np.where(same, own[:-1], 0)
             after[:-1] = np.where(same, own[1:], 0)
             context = mixed(mixed(own) + before * np.uint64(3) + after * np.uint64(5)) >> np.uint64(2) << np.uint64(2) | group[part.text]
-            context, first = np.unique(context, return_index=True)
-            word = words.take(pa.array(part.word[first]))
-            rows = pa.RecordBatch.from_arrays([pa.array(context.astype("i8")), pa.array((context & np.uint64(3)).astype("i4")), word], names=["context", "group", "word"])
-            yield rows.filter(pa.array(np.array(words.to_numpy(zero_copy_only=False) != "")[part.word[first]]))
+            use = np.flatnonzero(~marked & np.array([w != "" for w in words.to_pylist()], dtype=bool)[part.word])
+            context, first = np.unique(context[use], return_index=True)
+            word = words.take(pa.array(part.word[use[first]]))
+            yield pa.RecordBatch.from_arrays([pa.array(context.astype("i8")), pa.array((context & np.uint64(3)).astype("i4")), word], names=["context", "group", "word"])
 
 
 def _counted(batches):
@@ -195,7 +202,7 @@ def lexicon(counts: list[tuple[str, list[int]]], halves: tuple[int, ...]) -> Lex
         w = weight(toxic, clean, *total)
         if term and toxic >= SEEN and w >= WEIGHT and not (term.endswith("*") and (toxic - owed.get(term, 0)) * 100 < OWN * toxic):
             out[term] = w
-        elif not term.endswith("*") and clean >= SEEN:
+        elif term and not term.endswith("*") and clean >= SEEN:
             out[term] = 0.0
     return out
 
@@ -313,7 +320,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[DataFr
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(draw * F.when(F.col("toxic") == 1, stands[1]).otherwise(stands[0]) < 1.0)
     # About 2 * rows ids, whatever the tables have.
-    out = docs.join(F.broadcast(drawn), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    out = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
     return written(out.where("text is not null").repartition(64), "sample"), stands
 
 
