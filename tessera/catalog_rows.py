@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from . import storage
 from .catalog import EDGES, PUNCT, REFUSALS, TOPICS, answers, edges, query, table
 from .functions import keys, names, parsers, text
-from .operators import coverage, curves, filters, labels, lineage, matching, ranking, refusal, sampling, stats
+from .operators import coverage, curves, filters, labels, lineage, matching, ranking, refusal, sampling, scan, stats
 from .plans import artifacts, config, evaluation, loops, providers, refusals
 from .plans.providers import CallError
 from .shipping import by_value
-from .sources import readers, versions, writers
+from .sources import readers, reports, versions, writers
 from .streaming import streams
 
 
@@ -112,9 +112,9 @@ def split_translations(spark, d):
     return parts(spark, d).select("p_partkey", F.array_join(text.with_translations(items), "|").alias("items"), text.translation(cases(F.col("p_size") % 2, F.concat(F.lit("x [English:  "), "p_name", F.lit("] y")), F.lit("[English x]"))).alias("second"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(left(text, 200), '[^A-Za-z0-9_]', '', 'g') AS label, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS short FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9_]', '', 'g') AS label, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS short FROM documents""")
 def document_labels(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.safe_label(F.left("text", F.lit(200))).alias("label"), text.shortened(F.col("text")).alias("short"))
+    return table(spark, d, "documents").select("doc_id", text.safe_label(F.col("text")).alias("label"), text.shortened(F.col("text")).alias("short"))
 
 
 @query("""SELECT conv_id, sha256(string_agg(text, ' ' ORDER BY turn, role, text)) AS chat, bool_or(turn % 4 = 3) AS reasoning FROM conversations GROUP BY conv_id""")
@@ -277,7 +277,7 @@ def crawl_log_files(spark, d) -> DataFrame:
     """The logs of the sources: documents as topics, one JSON document a source, written and read back."""
     docs, lab = table(spark, d, "documents"), table(spark, d, "labels")
     rows = docs.join(lab, "doc_id", "left").select(
-        "source", F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.left("text", F.lit(40))).alias("raw"), F.col("lang").alias("english"), (F.col("lang") == "fr").alias("is_chinese"), F.lit(True).alias("is_head"), (F.col("toxic") == 1).alias("is_refusal"), F.concat(F.lit(" s "), (F.col("doc_id") % 50).cast("string")).alias("summary")
+        "source", F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("raw"), F.col("lang").alias("english"), (F.col("lang") == "fr").alias("is_chinese"), F.lit(True).alias("is_head"), (F.col("toxic") == 1).alias("is_refusal"), F.concat(F.lit(" s "), (F.col("doc_id") % 50).cast("string")).alias("summary")
     )
     topic = F.struct("id", "raw", "english", "is_chinese", "is_head", "is_refusal", "summary")
     listed = lambda c: F.array_sort(F.collect_list(c))
@@ -290,12 +290,12 @@ def crawl_log_files(spark, d) -> DataFrame:
     return readers.crawl_logs(spark, path).withColumn("run_id", F.regexp_extract("path", "source=([^/]*)", 1))
 
 
-@query("""SELECT source AS run_id, doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN left(text, 40) END AS raw, lang AS english, toxic = 1 AS is_refusal FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT source AS run_id, doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN text END AS raw, lang AS english, toxic = 1 AS is_refusal FROM documents LEFT JOIN labels USING (doc_id)""")
 def crawl_log_topics(spark, d):
     return readers.topics(crawl_log_files(spark, d)).select("run_id", "id", "raw", "english", "is_refusal")
 
 
-@query("""SELECT source AS log_file_name, left(text, 40) AS topic_summary FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id % 7 <> 0""")
+@query("""SELECT source AS log_file_name, text AS topic_summary FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id % 7 <> 0""")
 def crawl_log_raw_topics(spark, d):
     return readers.raw_topics(crawl_log_files(spark, d))
 
@@ -746,4 +746,51 @@ def stream_heads(spark, d):
     return spark.read.parquet(f"{out}/heads").select("key", "pos", "cluster_idx")
 
 
+# Reports in parts
+
+
+@query(r"""SELECT 1 AS part, c_custkey AS at, replace(c_name, '#', '\#') || ' & ' || c_nationkey || ' \\' AS line FROM customer
+UNION ALL SELECT * FROM (VALUES (0, NULL, '\begin{longtable}{ll}'), (0, NULL, 'c\_name & c\_nationkey \\'), (0, NULL, '\hline'), (2, NULL, '\end{longtable}'))""")
+def latex_lines(spark, d):
+    lines = reports.latex_lines(table(spark, d, "customer"), ["c_name", "c_nationkey"], F.col("c_custkey"))
+    return lines.select("place.part", "place.at", "line")
+
+
+@query(r"""WITH d AS (SELECT source, source || ' ' || lang AS part, source || ' ' || lang || ' ' || doc_id AS leaf FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+SELECT place, line FROM (SELECT DISTINCT source AS place, '- ' || source AS line FROM d UNION ALL SELECT DISTINCT source || '/' || part, '  - ' || part FROM d UNION ALL SELECT source || '/' || part || '/' || leaf, '    - ' || leaf FROM d)""")
+def markdown_lines(spark, d):
+    """The tree of sources, their languages and documents, written in parts and read back as lines."""
+    docs = table(spark, d, "documents").where("source is not null and lang is not null")
+    part = F.concat_ws(" ", "source", "lang")
+    edges_ = docs.select(F.col("source").alias("parent"), part.alias("child")).unionByName(docs.select(part.alias("parent"), F.concat_ws(" ", "source", "lang", "doc_id").alias("child")))
+    return reports.markdown_lines(edges_).select(F.array_join("place", "/").alias("place"), "line")
+
+
+@query(r"""WITH e AS (SELECT 'b' || (doc_id // 64) AS topic, 't' || doc_id AS origin FROM documents), n AS (SELECT topic, count(*) AS n FROM e GROUP BY 1), r AS (SELECT 'b' || (doc_id // 64) AS topic, count(DISTINCT source) AS n_runs FROM documents GROUP BY 1)
+SELECT topic, 0 AS i, '<details><summary>' || topic || ' (' || n || ') [' || n_runs || '/20]</summary><ul>' AS line FROM n JOIN r USING (topic) UNION ALL SELECT topic, 1, '<li>' || origin || '</li>' FROM e UNION ALL SELECT topic, 2, '</ul></details>' FROM n""")
+def explorer_lines(spark, d):
+    """The page of a reduction's final topics, written in parts and read back."""
+    docs = table(spark, d, "documents")
+    topic = F.concat(F.lit("b"), F.floor(F.col("doc_id") / 64).cast("string"))
+    found = docs.select(topic.alias("final_topic"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("origin"))
+    lines = reports.explorer_lines(found, docs.groupBy(topic.alias("topic")).agg(F.count_distinct("source").alias("n_runs")), 20)
+    path = folder(spark, "report")
+    reports.write_lines(lines, path)
+    # The parts, in order of their names, are the lines in order; a section's number of lines shows it.
+    read = readers.numbered_lines(spark, path).where(F.col("value").rlike("^<(details|li|/ul)"))
+    kind = F.when(F.startswith("value", F.lit("<details")), 0).when(F.startswith("value", F.lit("<li")), 1).otherwise(2)
+    rows = read.select(F.struct("path", "line").alias("o"), kind.alias("i"), "value", F.regexp_extract("value", "<summary>([^ ]*)", 1).alias("name"))
+    run = scan.scanned(rows, "o", {"section": F.when(F.col("i") == 0, 1).otherwise(0).cast("long")})
+    names = run.where("i = 0").select("section", F.col("name").alias("topic"))
+    return run.join(names, "section").select("topic", "i", F.col("value").alias("line"))
+
+
+@query("""SELECT topic, min(line) AS first_id FROM (SELECT unnest([source, lang || doc_id % 100]) AS topic, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) GROUP BY topic""")
+def document_line_file(spark, d):
+    """A JSON list a line for each document, in one file, read by splits."""
+    docs = table(spark, d, "documents").where("source is not null and lang is not null").orderBy("doc_id")
+    lines_ = docs.select(F.to_json(F.array("source", F.concat("lang", (F.col("doc_id") % 100).cast("string")))).alias("value"))
+    return readers.topic_lines(spark, text_file(spark, lines_, "lines"))
+
+
 by_value(__name__)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import strip
 from ..functions.names import parsed_name
+from ..operators.scan import numbered
+from ..storage import round_table
 from . import schemas
 
 PATH = "_metadata.file_path"
@@ -91,13 +93,19 @@ def meta_clusters(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("log_file", F.when(F.endswith("log_file", F.lit(".json")), F.col("log_file")).otherwise(F.concat("log_file", F.lit(".json"))))
 
 
-def topic_lines(spark: SparkSession, path: str) -> DataFrame:
-    """topic, first_id (line of its first occurrence) of a file with a JSON list of topics a line.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 0), value of text files, read by splits and written once.
 
-    Line numbers need the file's order, so it is read as one split, like any format that only its order indexes.
+    A line's place is its split's offset in the file and its row in the task that reads the split; lines are numbered by running
+    counts over these places.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = lines.select("line", F.posexplode(F.from_json("value", "array<string>")).alias("i", "topic"))
+    rows = spark.read.text(path).select(F.col(PATH).alias("path"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("o"), "value")
+    return numbered(round_table(rows, "lines"), "o", "line", "path").withColumn("line", F.col("line") - 1).drop("o")
+
+
+def topic_lines(spark: SparkSession, path: str) -> DataFrame:
+    """topic, first_id (line of its first occurrence) of a file with a JSON list of topics a line."""
+    rows = numbered_lines(spark, path).select("line", F.explode(F.from_json("value", "array<string>")).alias("topic"))
     return rows.groupBy("topic").agg(F.min("line").cast("long").alias("first_id"))
 
 

@@ -56,18 +56,29 @@ def nested_results(rows: DataFrame) -> DataFrame:
     return per_category.agg(F.map_from_entries(F.collect_list(F.struct("category", "s"))).alias("results"))
 
 
+#: Rows of a report that is one text; longer ones are written in parts, see reports.
+SHORT = 10_000
+
+
+def _short(rows: DataFrame) -> list:
+    found = rows.limit(SHORT + 1).collect()
+    if len(found) > SHORT:
+        raise ValueError(f"a report of over {SHORT} rows is written in parts, see tessera.sources.reports")
+    return found
+
+
 def latex_table(rows: DataFrame, columns: list[str]) -> str:
-    """A longtable of the rows; for reports, which are short."""
+    """A longtable of up to SHORT rows."""
     clean = lambda x: "".join(f"\\{c}" if c in "&%$#_{}" else c for c in str("" if x is None else x))
-    body = "".join(" & ".join(clean(r[c]) for c in columns) + " \\\\\n" for r in rows.select(*columns).toLocalIterator())
+    body = "".join(" & ".join(clean(r[c]) for c in columns) + " \\\\\n" for r in _short(rows.select(*columns)))
     return f"\\begin{{longtable}}{{{'l' * len(columns)}}}\n" + " & ".join(map(clean, columns)) + " \\\\\n\\hline\n" + body + "\\end{longtable}\n"
 
 
 def markdown_tree(edges: DataFrame) -> str:
-    """Nested lists of parent, child edges, roots (never a child) first; for reports."""
+    """Nested lists of up to SHORT parent, child edges, roots (never a child) first."""
     children: dict[str, list[str]] = {}
     inner = set()
-    for r in edges.select("parent", "child").orderBy("parent", "child").toLocalIterator():
+    for r in _short(edges.select("parent", "child").orderBy("parent", "child")):
         children.setdefault(r["parent"], []).append(r["child"])
         inner.add(r["child"])
     out: list[str] = []
@@ -80,11 +91,11 @@ def markdown_tree(edges: DataFrame) -> str:
 
 
 def explorer(trajectories: DataFrame, sources: DataFrame, n_runs: int) -> str:
-    """An HTML page of final topics by falling number of origins, with a search field. sources: topic, n_runs."""
+    """An HTML page of up to SHORT final topics by falling number of origins, with a search field. sources: topic, n_runs."""
     grouped = trajectories.groupBy("final_topic").agg(F.array_sort(F.collect_set("origin")).alias("origins"))
     rows = grouped.join(sources.select(F.col("topic").alias("final_topic"), "n_runs"), "final_topic", "left").orderBy(F.desc(F.size("origins")), "final_topic")
     parts = []
-    for r in rows.toLocalIterator():
+    for r in _short(rows):
         items = "".join(f"<li>{html.escape(o)}</li>" for o in r["origins"])
         badge = f" [{r['n_runs'] or 0}/{n_runs}]"
         parts.append(f"<details><summary>{html.escape(r['final_topic'])} ({len(r['origins'])}){badge}</summary><ul>{items}</ul></details>")
