@@ -6,6 +6,7 @@ and give what the readers find there.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 
@@ -793,4 +794,57 @@ def document_line_file(spark, d):
     return readers.topic_lines(spark, text_file(spark, lines_, "lines"))
 
 
+# What each mode of the evaluation driver makes of the parts: its rows, and a figure of them.
+@query(r"""WITH ids AS (SELECT p_name AS topic, p_partkey AS id, p_size < 25 AS hit, split_part(p_name, ' ', 1) AS gt FROM part), t AS (SELECT topic, min(id) AS first_id, row_number() OVER (ORDER BY topic) AS pos FROM ids GROUP BY topic), g AS (SELECT DISTINCT gt FROM ids),
+m AS (SELECT gt, topic FROM g JOIN t ON split_part(topic, ' ', 1) LIKE gt || '%'), r AS (SELECT id, hit, row_number() OVER (ORDER BY id) AS k FROM ids), f AS (SELECT gt, min(first_id) AS first_id FROM m JOIN t USING (topic) GROUP BY gt),
+c AS (SELECT k, hit, (count(*) FILTER (hit) OVER (ORDER BY k))::DOUBLE / count(*) FILTER (hit) OVER () AS tpr FROM r), n AS (SELECT count(*) AS n FROM t), b AS (SELECT item_id, item_id % 3 = 0 AS refused FROM benchmark),
+runs AS (SELECT DISTINCT p_type AS model, (p_size % 3)::VARCHAR AS run, p_name AS topic FROM part), found AS (SELECT model, run, count(DISTINCT gt) AS k FROM runs LEFT JOIN m USING (topic) GROUP BY GROUPING SETS ((model, run), (model)))
+SELECT 'match' AS mode, (SELECT count(*) FROM g)::BIGINT AS n, count(*)::DOUBLE AS figure FROM m
+UNION ALL SELECT 'clusters', count(*), count(*) FILTER (topic IN (SELECT topic FROM m)) FROM t
+UNION ALL SELECT 'first', count(*), sum(first_id) FROM f
+UNION ALL SELECT 'recall', 100, round(sum((SELECT count(*) FROM f WHERE greatest(first_id, 1) <= s.s) / 10.0::DOUBLE), 6) FROM range(1, 101) s(s)
+UNION ALL SELECT 'precision', 1, count(*) FILTER (k <= 10 AND hit) / 10 FROM r
+UNION ALL SELECT 'roc', count(*), round(sum(tpr), 6) FROM c
+UNION ALL SELECT 'summary', 1, count(*) FILTER (hit) / count(*) FROM ids
+UNION ALL SELECT 'rank', n * ((60 // (n // 2) * (n // 2) + 19) // 20), n FROM n
+UNION ALL SELECT 'benchmark', 2 * count(*), 2 * count(*) FILTER (refused) FROM b
+UNION ALL SELECT 'pool', 1, count(*) FILTER (item_id % 2 = 0 OR refused) / count(*) FROM b
+UNION ALL SELECT 'models', count(*), sum(k) FROM found""")
+def evaluation_all(spark, d):
+    """All modes of the evaluation driver in one call, kept below one folder."""
+    p, bench = parts(spark, d), table(spark, d, "benchmark")
+    ids = p.select(F.col("p_name").alias("topic"), F.col("p_partkey").alias("id"), (F.col("p_size") < 25).alias("is_match"))
+    first = ids.groupBy("topic").agg(F.min("id").alias("first_id"))
+    truth = p.select(F.substring_index("p_name", " ", 1).alias("gt")).distinct()
+    answers_ = truth.join(first.select("topic"), F.startswith(F.substring_index("topic", " ", 1), F.col("gt"))).groupBy("gt").agg(F.collect_set("topic").alias("matched")).withColumn("flag", F.lit(True))
+    items = bench.select(F.col("item_id").cast("string").alias("topic"), F.concat(F.lit("Q "), F.col("item_id").cast("string")).alias("prompt"))
+    topics = first.select("topic", F.col("topic").alias("pos"))
+    runs = p.select(F.col("p_type").alias("model"), (F.col("p_size") % 3).cast("string").alias("run"), F.col("p_name").alias("topic"), F.col("p_name").alias("pos"))
+    judge, stronger = providers.FunctionProvider(marked_topics), Rule(F.lit("\\boxed{a}"))
+    refusing = Rule(F.when(F.substring_index("prompt", " ", -1).cast("long") % 3 == 0, "I cannot help you with that").otherwise("Sure"))
+    numbered_ = scan.numbered(topics, "pos", "n").select("topic", F.col("n").alias("pos"))
+    tables = {"truth": truth, "topics": topics, "clusters": first.withColumnRenamed("topic", "cluster"), "answers": answers_, "ranked": scan.numbered(ids, "id", "rank"), "benchmark": items, "pool": items.select("topic"), "discovered": items.where(F.col("topic").cast("long") % 2 == 0).select("topic")}
+    path = folder(spark, "evaluation")
+    run = lambda modes, **more: evaluation.evaluate(tables | more, modes, path)
+    out = run({"match": {"provider": judge, "size": 20}, "clusters": {}, "first": {}, "recall": {"steps": 100, "total": 10}, "precision": {"ks": (10,)}, "roc": {}, "benchmark": {"provider": refusing, "times": 2, "model": "m"}, "pool": {"provider": refusing, "model": "m"}})
+    out |= run({"summary": {}}, clusters=ids, truth=truth.withColumn("first_id", F.lit(1)))
+    out |= run({"rank": {"provider": stronger, "name": "elo", "make": ranking.Elo, "comparisons": 60, "batch": 20}}, topics=numbered_)
+    out |= run({"models": {"provider": judge, "size": 20}}, topics=runs)
+    figures = {
+        "match": F.sum(F.size("matched")),
+        "clusters": F.count_if("is_match"),
+        "first": F.sum("first_id"),
+        "recall": F.round(F.sum("recall"), 6),
+        "precision": F.max("precision_at_10"),
+        "roc": F.round(F.sum("tpr"), 6),
+        "summary": F.max("cluster_rate"),
+        "rank": F.count_distinct("topic"),
+        "benchmark": F.count_if("is_refusal"),
+        "pool": F.max("recall"),
+        "models": F.sum("n_found"),
+    }
+    rows = [out[m].agg(F.lit(m).alias("mode"), F.count("*").alias("n"), f.cast("double").alias("figure")) for m, f in figures.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 by_value(__name__)

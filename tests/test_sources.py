@@ -105,3 +105,42 @@ def test_stream_append_is_idempotent(spark, tmp_path):
     for _ in range(2):
         streams.append_table(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_reports_in_parts(spark, tmp_path):
+    from tessera.sources import reports
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("e", "d")], "parent string, child string")
+    reports.write_lines(reports.markdown_lines(edges), str(tmp_path / "md"))
+    assert [r["value"] for r in readers.numbered_lines(spark, str(tmp_path / "md")).orderBy("path", "line").collect()] == ["- a", "  - b", "    - c", "  - d", "- e", "  - d"]
+    with pytest.raises(ValueError, match="cycle"):
+        reports.markdown_lines(spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a")], "parent string, child string"))
+    rows = spark.createDataFrame([(2, None), (1, "x_1 & 5%")], "i int, t string")
+    lines = [r["line"] for r in reports.latex_lines(rows, ["t", "i"], F.col("i")).orderBy("place").collect()]
+    assert lines == ["\\begin{longtable}{ll}", "t & i \\\\", "\\hline", "x\\_1 \\& 5\\% & 1 \\\\", " & 2 \\\\", "\\end{longtable}"]
+    t = spark.createDataFrame([("f", "<o>"), ("f", "p"), ("g", "q"), ("f", "p")], "final_topic string, origin string")
+    page = [r["line"] for r in reports.explorer_lines(t, spark.createDataFrame([("f", 2)], "topic string, n_runs int"), 3).orderBy("place").collect()]
+    assert page[1:-1] == ["<details><summary>f (2) [2/3]</summary><ul>", "<li>&lt;o&gt;</li>", "<li>p</li>", "</ul></details>", "<details><summary>g (1) [0/3]</summary><ul>", "<li>q</li>", "</ul></details>"]
+
+
+def test_short_reports_refuse_long_tables(spark, monkeypatch):
+    monkeypatch.setattr(writers, "SHORT", 3)
+    with pytest.raises(ValueError, match="in parts"):
+        writers.latex_table(spark.range(4), ["id"])
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    want = set()
+    for name, n in (("a.txt", 3000), ("b.txt", 17)):
+        lines = [f"{name} line {i} " + "x" * (i % 50) for i in range(n)]
+        (tmp_path / "l" / name).write_text("\n".join(lines) + "\n")
+        want |= {(name, i, t) for i, t in enumerate(lines)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path / "l"))
+        got = {(r["path"].rpartition("/")[2], r["line"], r["value"]) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
