@@ -9,7 +9,7 @@
 2. Counts of each candidate's first k words and of the rest are joined, and each cut scored in decimals.
 3. Candidates inside a longer one of nearly their own count go by an anti-join with the one-word extensions: each
    occurrence of a longer phrase is one of any phrase between the two, so some extension has at least as many.
-4. A window ranks those that are left; Spark limits each task to the first rows before it shuffles.
+4. Windows rank those that are left: in buckets of a language first, then the first rows of these.
 
 Defined results: null text has no words, null lang is `und`; A-Z count as a-z and no other letter; repeated rows count
 as often as they occur; an empty table gives an empty table; further columns are not read.
@@ -30,6 +30,8 @@ from .suffixes import mixed
 SIZES, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: What is between words, and what ends a piece.
 GAPS, SEPARATORS = b" \t", b".,;:!?\n\x0b\x0c\r"
+#: Buckets that a language's phrases are ranked in before.
+BUCKETS = 64
 #: Bits of a sieve: for each entry, and at most (64 MB).
 EACH, SIEVE = 16, 1 << 29
 #: Bits of one part of a sieve, as Spark's bitmaps have them.
@@ -183,8 +185,11 @@ def collocations(docs: DataFrame, sizes: int = SIZES, least: int = LEAST, share:
         longer = candidates.where("size > 2").select("lang", "a", F.explode(F.array(part(F.lit(1), F.col("size") - 1), part(F.lit(2), F.col("size") - 1))).alias("phrase"))
         longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
         alone = lowest.join(longer, (lowest["lang"] == longer["lang"]) & (lowest["phrase"] == longer["phrase"]) & (100 * longer["most"] >= share * lowest["a"]), "left_anti")
-        order = Window.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("a"), "phrase")
-        best = alone.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        order = (F.desc("s.score"), F.desc("a"), F.asc("phrase"))
+        # The first of a language are among the first of each bucket, so the last window sees BUCKETS * top rows of it at most.
+        bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))
+        few = alone.withColumn("place", F.row_number().over(Window.partitionBy("lang", bucket).orderBy(*order))).where(F.col("place") <= top)
+        best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
         return written(best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "s.l", "s.r", "n", "s.score"), "collocations", keep=True)
 
 
