@@ -69,6 +69,18 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return long.unionByName(short).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")).select(F.size("window").alias("n"), "window", "items")
 
 
+def _short_hits(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """Places of the windows under WINDOW words, all lengths in one pass: by the first two words (or the only one), then whole."""
+    pair = F.when(F.col("n") == 1, F.get("window", 0)).otherwise(F.xxhash64(F.get("window", 0), F.get("window", 1)))
+    heads = written(known.groupBy(pair.alias("key")).agg(F.sort_array(F.collect_set("n")).alias("lengths")), "heads")
+    place = lambda i: F.struct(i.alias("pos"), F.slice(F.col("h"), i + 1, max(lengths)).alias("next"))
+    each = base.where(F.size("h") >= lengths[0]).select("doc_id", "digest", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - 1), place)).alias("w")).select("doc_id", "digest", "w.*")
+    keys = [F.get("next", 0)] * (1 in lengths) + [F.when(F.size("next") > 1, F.xxhash64(F.get("next", 0), F.get("next", 1)))] * (lengths[-1] > 1)
+    met = each.select("*", F.explode(F.array(*keys)).alias("key")).join(heads, "key").select("doc_id", "digest", "pos", "next", F.explode("lengths").alias("n"))
+    whole = met.where(F.size("next") >= F.col("n")).select("doc_id", "digest", "pos", "n", F.slice("next", F.lit(1), F.col("n")).alias("window"))
+    return whole.join(known.drop("n"), "window")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, digest (of the text), spans (pos, n of the item windows found) and items, for documents with any."""
     known = written(item_windows(benchmark), "windows")
@@ -81,9 +93,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         runs = base.where(F.size("h") >= WINDOW).select("doc_id", "digest", F.explode(_runs(F.col("h"))).alias("r")).select("doc_id", "digest", "r.*")
         extended = runs.join(marks, "fingerprint").select("doc_id", "digest", F.explode(_windows(F.col("hashes"), F.col("start"), WINDOW)).alias("w"))
         found.append(extended.select("doc_id", "digest", "w.*").join(full, "window"))
-    for n in sorted(set(lengths) - {WINDOW}):
-        each = base.where(F.size("h") >= n).select("doc_id", "digest", F.explode(_windows(F.col("h"), F.lit(0), n)).alias("w")).select("doc_id", "digest", "w.*")
-        found.append(each.join(known.where(F.col("n") == n), "window"))
+    if few := sorted(set(lengths) - {WINDOW}):
+        found.append(_short_hits(base, known.where(F.col("n") < WINDOW), few))
     if not found:
         found.append(base.where(F.lit(False)).select("doc_id", "digest", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("items")))
     rows = found[0].select("doc_id", "digest", "pos", "n", "items")

@@ -179,7 +179,9 @@ def fitted(docs: DataFrame, batches: int | None = None, threshold: int = THRESHO
     batches = batches or min(MOST, max(LEAST, plan_bytes(docs) // BATCH))
     runs = LineRuns(spark, threshold)
     with scratch(spark):
-        rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+        # Documents without an id are spread by their texts.
+        spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+        rows = docs.select("text", F.pmod(spread, F.lit(batches)).cast("int").alias("batch"))
         keys = written(rows.mapInArrow(_document_keys(min_chars, "batch"), "batch int, h1 bigint, h2 bigint").select("h1", "h2", "batch"), "line-keys", partition="batch")
         for b in range(batches):
             runs.add_counts(keys.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.count("*").alias("n")))
