@@ -46,28 +46,33 @@ def _grams(text: Column, size: int) -> Column:
 
 def contained_text(truth: DataFrame, crawl: DataFrame, needle: Column, topic: Column) -> DataFrame:
     """category, subtopic, matched_topic (null without one): the first topic, by pos, whose text (an expression over crawl) contains
-    the needle (one over truth). An index instead of pairs of all: topics are listed by their grams of GRAM letters, each
-    needle is looked up under that of its grams that fewest topics have, and what is found there is compared.
+    the needle (one over truth). An index instead of pairs of all: texts are listed by their grams of GRAM letters, each
+    needle is looked up under that of its grams that fewest texts have, and what is found there is compared.
 
-    A needle under GRAM letters is a gram of its own; an empty one is in every topic; a null on either side matches nothing.
+    Equal texts are one, with the first of their topics. A plan's estimate knows nothing of the number of grams, so what is broadcast is
+    the needles' side, by the size of its files, and never the list of texts. A needle under GRAM letters is a gram of its own; an empty
+    one is in every topic; a null on either side matches nothing.
     """
+    from ..storage import round_table, sized
+
     wanted = truth.select("category", "subtopic", needle.alias("needle"))
     needles = wanted.where("needle <> ''").select("needle").distinct()
-    texts = crawl.select("pos", "topic", topic.alias("text")).where("text is not null")
+    rows = crawl.select("pos", "topic", topic.alias("text")).where("text is not null")
+    texts = round_table(rows.groupBy("text").agg(F.min_by("topic", "pos").alias("topic"), F.min("pos").alias("pos")), "texts")
     size = F.least(F.char_length("needle"), F.lit(GRAM))
     sizes = sorted(r[0] for r in needles.select(size.alias("s")).distinct().collect())
     found = None
     if sizes:
         by_size = lambda c, s: F.when(F.char_length(c) >= s, _grams(c, s)).otherwise(F.array().cast("array<string>"))
-        own = needles.select("needle", F.explode(F.coalesce(*[F.when(size == s, by_size(F.col("needle"), s)) for s in sizes])).alias("gram"))
-        listed = texts.select("pos", "topic", "text", F.explode(F.flatten(F.array(*[by_size(F.col("text"), s) for s in sizes]))).alias("gram"))
-        known = listed.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-        rarest = own.join(known, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("needle", "g.gram")
-        hits = listed.join(rarest, "gram").where(F.contains(F.col("text"), F.col("needle")))
+        own = round_table(needles.select("needle", F.explode(F.coalesce(*[F.when(size == s, by_size(F.col("needle"), s)) for s in sizes])).alias("gram")), "grams")
+        listed = lambda *c: texts.select(*c, F.explode(F.flatten(F.array(*[by_size(F.col("text"), s) for s in sizes]))).alias("gram"))
+        known = round_table(listed().join(sized(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n")), "known")
+        rarest = own.join(sized(known), "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("needle", "g.gram")
+        hits = listed("pos", "topic", "text").join(sized(round_table(rarest, "rarest")), "gram").where(F.contains(F.col("text"), F.col("needle")))
         found = hits.groupBy("needle").agg(F.min_by("topic", "pos").alias("matched_topic"))
     first = texts.groupBy().agg(F.min_by("topic", "pos").alias("matched_topic")).where("matched_topic is not null").select(F.lit("").alias("needle"), "matched_topic")
     found = first if found is None else found.unionByName(first)
-    return wanted.join(found, "needle", "left").select("category", "subtopic", "matched_topic")
+    return wanted.join(sized(round_table(found, "found")), "needle", "left").select("category", "subtopic", "matched_topic")
 
 
 def keyed_coverage(truth: DataFrame, crawl: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,3 +60,14 @@ def round_table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         _open[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes in memory that a side of a join may have to be broadcast.
+BROADCAST = 64 << 20
+
+
+def sized(df: DataFrame, growth: int = 4) -> DataFrame:
+    """A written table as a side of a join: with a broadcast hint if the size of its files allows it, else with one for a merge join,
+    so that neither side is broadcast by an estimate. growth: memory over file size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size * growth <= BROADCAST else df.hint("merge")

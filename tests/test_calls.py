@@ -1,5 +1,6 @@
 """Model calls: retries, outcomes, a cache; each request answered once; translation in the cascade and of seeds."""
 
+import re
 import time
 
 import pytest
@@ -173,3 +174,23 @@ def test_texts_found_by_their_grams(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     empty = coverage.contained_text(truth, crawl.limit(0), F.col("subtopic"), F.col("topic"))
     assert empty.where("matched_topic is not null").count() == 0 and empty.count() == len(needles)
+
+
+def test_a_list_of_texts_is_never_broadcast(spark, monkeypatch):
+    from tessera import storage
+
+    plans, write = [], storage.round_table
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(storage, "round_table", lambda df, *more, **named: write(planned(df), *more, **named))
+    truth = spark.createDataFrame([("c", "alpha"), ("c", "nothing")], "category string, subtopic string")
+    crawl = spark.range(3000).select(F.concat(F.lit("some alpha text "), F.col("id").cast("string")).alias("topic"), F.col("id").alias("pos"))
+    for most in (storage.BROADCAST if hasattr(storage, "BROADCAST") else 0, 0):
+        monkeypatch.setattr(storage, "BROADCAST", most, raising=False)
+        found = planned(coverage.contained_text(truth, crawl, F.col("subtopic"), F.col("topic")))
+        assert {(r["subtopic"], r["matched_topic"]) for r in found.collect()} == {("alpha", "some alpha text 0"), ("nothing", None)}
+    for plan in plans:
+        lines = plan.splitlines()
+        depth = [re.search("[A-Za-z]", x).start() if re.search("[A-Za-z]", x) else 0 for x in lines]
+        for i in (i for i, x in enumerate(lines) if "BroadcastExchange" in x):
+            below = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            assert not any("Generate" in x for x in lines[i:below])
