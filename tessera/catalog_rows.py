@@ -275,19 +275,21 @@ def renamed_labels(spark, d):
 
 
 def crawl_log_files(spark, d) -> DataFrame:
-    """The logs of the sources: documents as topics, one JSON document a source, written and read back."""
+    """The logs of the sources: documents as topics, a JSON document for each part of a source's log, written and read back."""
     docs, lab = table(spark, d, "documents"), table(spark, d, "labels")
     rows = docs.join(lab, "doc_id", "left").select(
         "source", F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("raw"), F.col("lang").alias("english"), (F.col("lang") == "fr").alias("is_chinese"), F.lit(True).alias("is_head"), (F.col("toxic") == 1).alias("is_refusal"), F.concat(F.lit(" s "), (F.col("doc_id") % 50).cast("string")).alias("summary")
     )
+    # Topics of a part are gathered once; its other lists are taken from them row by row.
     topic = F.struct("id", "raw", "english", "is_chinese", "is_head", "is_refusal", "summary")
-    listed = lambda c: F.array_sort(F.collect_list(c))
-    logs = rows.groupBy("source").agg(listed(topic).alias("heads"), listed(F.when(F.col("is_refusal"), topic)).alias("refused"), listed(F.when(F.col("id") % 2 == 0, topic)).alias("even"), listed(F.when(F.col("id") % 2 == 1, topic)).alias("odd"))
+    gathered = writers.log_parts(rows, "id", F.coalesce(F.octet_length("raw"), F.lit(0)) + 200, "source").groupBy("source", "part").agg(F.array_sort(F.collect_list(topic)).alias("heads"))
+    taken = lambda test: F.filter("heads", test)
+    logs = gathered.select("source", "heads", taken(lambda t: t["is_refusal"]).alias("refused"), taken(lambda t: t["id"] % 2 == 0).alias("even"), taken(lambda t: t["id"] % 2 == 1).alias("odd"))
     history = F.struct(F.array(F.size("heads"), F.size("even")).alias("all_per_step"), F.array(F.size("heads"), F.size("odd")).alias("deduped_per_step"), F.array(F.size("refused"), F.lit(0)).alias("refusal_per_step"))
     topics = F.struct(F.col("refused").alias("head_refusal_topics"), F.col("heads").alias("head_topics"), F.array("even", "odd").alias("cluster_topics"))
     document = logs.select("source", F.struct(history.alias("history")).alias("stats"), F.struct(topics.alias("topics")).alias("queue"), F.transform("refused", lambda t: t["summary"]).alias("head_refusal_topics_summaries"))
     path = folder(spark, "logs")
-    document.write.partitionBy("source").json(path)
+    document.write.option("maxRecordsPerFile", 1).partitionBy("source").json(path)
     return readers.crawl_logs(spark, path).withColumn("run_id", F.regexp_extract("path", "source=([^/]*)", 1))
 
 
@@ -309,7 +311,7 @@ def discovered_topics(spark, d):
 @query("""WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS even, count(*) FILTER (doc_id % 2 = 1) AS odd, count(*) FILTER (toxic = 1) AS refused FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)
 SELECT source AS run_id, 0 AS step, n AS n_all, n AS n_deduped, refused AS n_refused FROM s UNION ALL SELECT source, 1, even, odd, 0 FROM s""")
 def crawl_log_steps(spark, d):
-    return readers.steps(crawl_log_files(spark, d))
+    return readers.steps(crawl_log_files(spark, d), parts=True)
 
 
 def nation_map(spark, d) -> DataFrame:
@@ -476,7 +478,7 @@ def first_samples(spark, d):
 @query("""WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS even, count(*) FILTER (toxic = 1) AS refused FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)
 SELECT source AS run_id, 2 AS n_steps, (n + even) / 2 AS topics_per_step, refused / (n + even + 1e-10) AS refusal_rate FROM s""")
 def step_averages(spark, d):
-    return stats.step_averages(readers.steps(crawl_log_files(spark, d)), "run_id").withColumn("n_steps", F.col("n_steps").cast("int"))
+    return stats.step_averages(readers.steps(crawl_log_files(spark, d), parts=True), "run_id").withColumn("n_steps", F.col("n_steps").cast("int"))
 
 
 @query("""SELECT 'p_size' AS column, sum(p_size)::DOUBLE AS total, count(p_size) AS n FROM part UNION ALL SELECT 'p_partkey', sum(p_partkey)::DOUBLE, count(*) FILTER (p_size % 2 = 0) * 0 + count(p_partkey) FROM part""")

@@ -15,7 +15,8 @@ PATH = "_metadata.file_path"
 
 
 def crawl_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row a log: the document's fields, path, run_id (file name)."""
+    """One row a document: its fields, path, run_id (file name). A document is one row in one task, so long logs are written in parts of
+    the same form, see writers.log_parts; readers of topics and summaries take them as they are."""
     docs = spark.read.schema(schemas.CRAWL_LOG).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
     path = F.col(PATH)
     return docs.withColumns({"path": path, "run_id": F.regexp_replace(F.substring_index(path, "/", -1), r"\.json$", "")})
@@ -45,11 +46,12 @@ def raw_topics(logs: DataFrame) -> DataFrame:
     return topics(logs, "refused").where("raw is not null").select(F.col("run_id").alias("log_file_name"), F.col("raw").alias("topic_summary"))
 
 
-def steps(logs: DataFrame) -> DataFrame:
-    """run_id, step, n_all, n_deduped, n_refused."""
+def steps(logs: DataFrame, parts: bool = False) -> DataFrame:
+    """run_id, step, n_all, n_deduped, n_refused. With parts, documents of one run_id are parts of one log, and their numbers are added."""
     h = F.arrays_zip("stats.history.all_per_step", "stats.history.deduped_per_step", "stats.history.refusal_per_step")
     rows = logs.select("run_id", F.posexplode(h).alias("step", "h"))
-    return rows.select("run_id", "step", F.col("h.all_per_step").alias("n_all"), F.col("h.deduped_per_step").alias("n_deduped"), F.col("h.refusal_per_step").alias("n_refused"))
+    rows = rows.select("run_id", "step", F.col("h.all_per_step").alias("n_all"), F.col("h.deduped_per_step").alias("n_deduped"), F.col("h.refusal_per_step").alias("n_refused"))
+    return rows.groupBy("run_id", "step").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_deduped", "n_refused")]) if parts else rows
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:

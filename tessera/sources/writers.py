@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import scanned
 from ..storage import exists
 
 
@@ -16,6 +17,17 @@ def run_state(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+#: Bytes of the texts in a document of a crawl log.
+PART = 4 << 20
+
+
+def log_parts(topics: DataFrame, order: str, size: Column, *by: str) -> DataFrame:
+    """topics with part: a log's (by) topics in order, cut where their sizes add up to PART, so a part has less than PART and one topic more."""
+    sized = topics.withColumn("__size", size.cast("long"))
+    placed = scanned(sized, order, {"__upto": F.col("__size")}, *by)
+    return placed.withColumn("part", F.floor((F.col("__upto") - F.col("__size")) / PART)).drop("__size", "__upto")
+
+
 def append_log(rows: DataFrame, path: str | None) -> None:
     """Appends JSON lines; without a path does nothing."""
     if path:

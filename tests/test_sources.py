@@ -144,3 +144,18 @@ def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == want
+
+
+def test_long_logs_are_written_in_parts(spark, tmp_path, monkeypatch):
+    from tessera import catalog_rows
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 290, "s").otherwise("t").alias("source"), F.lit(100).alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(0, 300, 3).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(1).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(writers, "PART", 3000)
+    logs = catalog_rows.crawl_log_files(spark, str(tmp_path))
+    sizes = [r["n"] for r in logs.select(F.size("queue.topics.head_topics").alias("n")).collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 3000 // 200 + 1
+    assert {(r["run_id"], r["step"], r["n_all"], r["n_deduped"], r["n_refused"]) for r in catalog_rows.crawl_log_steps(spark, str(tmp_path)).collect()} == {("s", 0, 290, 290, 97), ("s", 1, 145, 145, 0), ("t", 0, 10, 10, 3), ("t", 1, 5, 5, 0)}
+    assert {(r["run_id"], r["n_steps"]): r["topics_per_step"] for r in catalog_rows.step_averages(spark, str(tmp_path)).collect()} == {("s", 2): 217.5, ("t", 2): 7.5}
+    assert sorted(r["id"] for r in catalog_rows.crawl_log_topics(spark, str(tmp_path)).collect()) == list(range(300))
