@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,36 +110,78 @@ class TrueSkill(RatingSystem):
 HISTORY = "system string, run string, snapshot int, topic string, rating double, sigma double, rank int"
 
 
-def folded(comparisons: DataFrame, topics: DataFrame, name: str, make: Callable[[], RatingSystem], every: int | None = None) -> DataFrame:
-    """system, run, snapshot, topic, rating, sigma, rank (from 1) after every `every` comparisons, and at the end.
+#: Rows of a rating history that a fold hands on at a time.
+HANDED = 10_000
 
-    comparisons: run, seq, winner, loser; topics: run, topic, pos. A fold is sequential, so a run is one task; runs and systems are
-    independent groups and spread over the cluster.
-    """
 
-    def fold(key, games: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        order = names.sort_values("pos")["topic"].tolist()
-        system = make()
-        system.start(order)
-        rows, games = [], games.sort_values("seq")
-        n = len(games)
-        step = every or max(n, 1)
+def _fold(name: str, make: Callable[[], RatingSystem], every: int | None):
+    """Rows (run, game, a, b) in order to histories: those of a run are together, its topics (game false, a) before its games (a beat b)."""
+
+    def fold(batches):
+        import pyarrow as pa
+
+        names = ["system", "run", "snapshot", "topic", "rating", "sigma", "rank"]
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+        rows: list[tuple] = []
+        order: list = []
+        system, run, n, open_ = None, None, 0, False
+
+        def handed():
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+            rows.clear()
+            return out
+
+        def start():
+            started = make()
+            started.start(order)
+            return started
 
         def snapshot(number: int) -> None:
             scores = system.scores()
             place = {t: i for i, t in enumerate(order)}
             for rank, t in enumerate(sorted(scores, key=lambda x: (-scores[x][0], place[x])), 1):
-                rows.append((name, key[0], number, t, scores[t][0], scores[t][1], rank))
+                rows.append((name, run, number, t, scores[t][0], scores[t][1], rank))
+
+        for batch in batches:
+            for of, game, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if not open_ or of != run:
+                    if open_:
+                        system = system or start()
+                        if not n or not every or n % every:
+                            snapshot((n - 1) // every if n and every else 0)
+                    system, run, order, n, open_ = None, of, [], 0, True
+                if not game:
+                    order.append(a)
+                    continue
+                system = system or start()
+                system.update(a, b)
+                n += 1
+                if every and n % every == 0:
+                    snapshot((n - 1) // every)
+                if len(rows) >= HANDED:
+                    yield handed()
+        if open_:
+            system = system or start()
+            if not n or not every or n % every:
+                snapshot((n - 1) // every if n and every else 0)
+        yield handed()
+
+    return fold
 
-        for i, (winner, loser) in enumerate(zip(games["winner"], games["loser"]), 1):
-            system.update(winner, loser)
-            if i % step == 0 or i == n:
-                snapshot((i - 1) // step)
-        if not n:
-            snapshot(0)
-        return pd.DataFrame(rows, columns=["system", "run", "snapshot", "topic", "rating", "sigma", "rank"])
 
-    return comparisons.groupBy("run").cogroup(topics.groupBy("run")).applyInPandas(fold, HISTORY)
+def folded(comparisons: DataFrame, topics: DataFrame, name: str, make: Callable[[], RatingSystem], every: int | None = None) -> DataFrame:
+    """system, run, snapshot, topic, rating, sigma, rank (from 1) after every `every` comparisons, and at the end.
+
+    comparisons: run, seq, winner, loser; topics: run, topic, pos. A fold is sequential, so a run is one task; runs and systems are
+    independent groups and spread over the cluster. The task reads its games as a sorted stream, which Spark sorts on disk where need be, and
+    hands snapshots on as they come: it holds the state of a run's topics and nothing of its games. Of equal seq, the lesser names come first.
+    """
+    text = lambda c: F.col(c).cast("string")
+    first = topics.select(text("run").alias("run"), F.lit(False).alias("game"), "pos", text("topic").alias("a"))
+    games = comparisons.select(text("run").alias("run"), F.lit(True).alias("game"), "seq", text("winner").alias("a"), text("loser").alias("b"))
+    both = first.unionByName(games, allowMissingColumns=True)
+    last = [F.asc_nulls_last(c) for c in ("pos", "seq")]
+    return both.repartition("run").sortWithinPartitions("run", "game", *last, "a", "b").select("run", "game", "a", "b").mapInArrow(_fold(name, make, every), HISTORY)
 
 
 #: Parts that a ranking is cut into at most where inversions are counted; their pairs are counted in one task.

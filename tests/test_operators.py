@@ -199,3 +199,32 @@ def test_trajectories_over_many_iterations(spark):
     # The plan has the joins of the last step alone, however many iterations there are.
     plan = lineage.trajectories(edges, originals, 64)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 3
+
+
+def test_fold_reads_games_as_a_stream(spark):
+    games = spark.range(25_000).select(F.concat(F.lit("r"), (F.col("id") % 2).cast("string")).alias("run"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("winner"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("loser"))
+    names = spark.createDataFrame([(r, t, i) for r in ("r0", "r1") for i, t in enumerate("ab")], "run string, topic string, pos int")
+    got = ranking.folded(games, names, "elo", ranking.Elo, every=1000)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in (0, 1):
+        system, want = ranking.Elo(), {}
+        system.start(["a", "b"])
+        for i, k in enumerate(range(r, 25_000, 2), 1):
+            system.update(*("ab" if k % 3 == 0 else "ba"))
+            if i % 1000 == 0 or i == 12_500:
+                want |= {((i - 1) // 1000, t): x for t, (x, _) in system.scores().items()}
+        assert {(x["snapshot"], x["topic"]): x["rating"] for x in got.where(f"run = 'r{r}'").collect()} == want
+
+
+def test_a_fold_holds_no_games(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows]) for k in range(4)], names=["run", "game", "a", "b"])
+    played = batch([("r", True, "a", "b")] * 10_000)
+    stream = lambda: (b for b in [batch([("r", False, t, None) for t in "ab"]), *[played] * 30])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in ranking._fold("trueskill", ranking.TrueSkill, 100)(stream())) == 2 * 3000
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
