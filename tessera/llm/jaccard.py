@@ -18,7 +18,7 @@ A document's set holds the hashes of its SHINGLE-word shingles. Two documents li
    or two for each. The last round compares all that could still link, so none is lost.
 4. Verify. The sets of candidates are cut into SEGMENTS ranges; the overlap is counted in each and summed for each pair.
 
-Bitmaps are broadcast up to BROADCAST bytes together; beyond that shingles are joined with their counts.
+Bitmaps are broadcast up to BITMAPS * BROADCAST bytes together; beyond that shingles are joined with their counts.
 
 Defined results: null text, or text without words, has an empty set and links with nothing; fewer words than a shingle
 are one shingle of their own length; repeated rows link (unless empty); equal doc_ids are separate documents until
@@ -36,7 +36,9 @@ from . import common
 from .common import SPACE, by_value, kept_by_worker, plan_bytes, scratch, written
 from .suffixes import mixed, sums, tables
 
-SHINGLE, PERCENT, COMMON, BUCKETS, SEGMENTS, BROADCAST = 5, 80, 16, 16, 8, 128 << 20
+#: BROADCAST: bytes in memory that a side of a join may have to be broadcast; the driver holds it several times while it is made (rows, table,
+#: blocks). All bitmaps together may have BITMAPS times as many. Results depend on neither.
+SHINGLE, PERCENT, COMMON, BUCKETS, SEGMENTS, BROADCAST, BITMAPS = 5, 80, 16, 16, 8, 32 << 20, 4
 #: Classes of a block, and shingles of a range, where blocks are compared.
 BLOCK, COLUMNS = 1024, 2048
 #: Bytes of text hashed at a time; shingles held before they are dealt to the fragments; bytes of input for a fragment.
@@ -391,8 +393,11 @@ class Join:
         self.size = size
         self.docs = docs.select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
         self.id_type = docs.schema["doc_id"].dataType.simpleString()
+        self.held = None
         self.bits = min(max((plan_bytes(docs) // FRAGMENT).bit_length(), 5), 18)
         self.rows = written(self._sets().withColumn("node", F.monotonically_increasing_id()), "sets")
+        if self.held:
+            self.held.destroy()  # the sets are written; else driver and executors keep the bitmaps for the rest of the join
         self.classes = written(self.rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("node").alias("node"), F.min(F.when(F.col("s") > 0, F.col("node"))).alias("own")), "classes")
         # Each task gives a class once; the rows of other tasks are few.
         own = self.rows.where("s > 0")
@@ -407,7 +412,7 @@ class Join:
         found = counts.agg(*[F.count(F.when(F.col("k") >= x, 1)) for x in LEVELS]).head()
         found = [n for n in found if n]  # numbers fall from level to level
         sizes = {x: max((16 * n).bit_length(), self.bits + 3) for x, n in zip(LEVELS, found)}
-        while sum(1 << m for m in sizes.values()) > 8 * BROADCAST:
+        while sum(1 << m for m in sizes.values()) > 8 * BITMAPS * BROADCAST:
             fewer = {x: max(m - 1, self.bits + 3) for x, m in sizes.items()}
             if fewer == sizes or any((1 << m) < 4 * n for m, n in zip(fewer.values(), found)):  # at least four bits for each
                 return self._joined_sets(counts)
@@ -417,13 +422,13 @@ class Join:
             a = fragment * len(data)
             old = int.from_bytes(maps[level][a : a + len(data)], "little")
             maps[level][a : a + len(data)] = (old | int.from_bytes(data, "little")).to_bytes(len(data), "little")
-        # Numbers and bytes alone: workers need not know the class.
-        held = spark.sparkContext.broadcast([(sizes[x], bytes(maps[x])) for x in sizes])
+        # Numbers and bytes alone: workers need not know the class. A map goes as its bytes are taken, so that none is held twice.
+        self.held = spark.sparkContext.broadcast([(m, bytes(maps.pop(x))) for x, m in sizes.items()])
         types = f"doc_id {self.id_type}, text_hash bigint, n int, s int, c1 bigint, c2 bigint, shared array<bigint>, first array<bigint>"
-        return self.docs.select("doc_id", "text", "text_hash").mapInArrow(_filtered(self.size, held), types)
+        return self.docs.select("doc_id", "text", "text_hash").mapInArrow(_filtered(self.size, self.held), types)
 
     def _joined_sets(self, counts: DataFrame) -> DataFrame:
-        """The same by a join of all shingles with their counts, for bitmaps over BROADCAST."""
+        """The same by a join of all shingles with their counts, for bitmaps over BITMAPS * BROADCAST."""
         types = f"doc_id {self.id_type}, text_hash bigint, n int, s int, c1 bigint, c2 bigint, shared array<bigint>, first array<bigint>"
         every = self.docs.select("doc_id", "text", "text_hash").mapInArrow(_filtered(self.size, None), types).drop("first")
         every = written(every.withColumn("row", F.monotonically_increasing_id()), "every")

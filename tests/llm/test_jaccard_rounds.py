@@ -66,3 +66,20 @@ def test_random_sets_with_short_lists(spark, monkeypatch, seed):
             words[draw.randrange(len(words))] = f"w{draw.randrange(60)}"
         texts.append(" ".join(words))
     assert components(spark, texts) == expected(texts)
+
+
+def test_bitmaps_go_when_the_sets_are_written(spark, monkeypatch):
+    context, made, gone = type(spark.sparkContext), [], []
+    send = context.broadcast
+
+    def watched(self, value):
+        held = send(self, value)
+        end = held.destroy
+        held.destroy = lambda *more: (gone.append(held), end(*more))
+        made.append(held)
+        return held
+
+    monkeypatch.setattr(context, "broadcast", watched)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(40)) + (" x" if i else "")) for i in range(3)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.joined(docs).collect()} == {0}
+    assert made and made == gone
